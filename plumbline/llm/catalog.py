@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, exact_dedup, licenses, sharding
+from plumbline.llm import chat, exact_dedup, licenses, sharding, topk, url_filter
 from plumbline.llm.shared import LOWER, UPPER
 
 SHARDS = 40
@@ -28,6 +28,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"), keep="largest")
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.stored(topk.whole_numbers(read(spark, sf_dir, "embeddings")), "top-vectors")
+    return topk.exact_top_k(rows.where("id % 50 = 0"), rows, 5)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licences(read(spark, sf_dir, "documents"), licenses.known_licences(spark))
 
@@ -37,11 +42,21 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link_tools(calls, results, chat.REPLY)
 
 
+# The rules of the address filter (verdict, host, path).
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_exact_topk": op6_exact_topk,
     "op7_license_scan": op7_license_scan,
     "op8_chat_format": op8_chat_format,
+    "op10_url_filter": op10_url_filter,
 }
 
 _FOLD = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -50,6 +65,14 @@ SQL: dict[str, str] = {
 with t as (select doc_id, {_FOLD} as t from documents),
 g as (select t, max(doc_id) as keep_id, count(*) as group_size from t group by t)
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256 from t join g using (t)
+""",
+    "op6_exact_topk": """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) as bigint) as score
+      from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
+from p qualify rank <= 5
 """,
     "op7_license_scan": licenses.licence_sql(),
     "op8_chat_format": chat.chat_sql(),
