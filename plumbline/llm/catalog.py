@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, exact_dedup, licenses, sharding, topk, url_filter
+from plumbline.llm import bpe, chat, exact_dedup, licenses, packing, sharding, topk, url_filter
 from plumbline.llm.shared import LOWER, UPPER
 
 SHARDS = 40
 
 
+def vocabulary_file(name: str) -> str:
+    """Where a public vocabulary lies; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,6 +35,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"), keep="largest")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_and_decode(read(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json"))
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = topk.stored(topk.whole_numbers(read(spark, sf_dir, "embeddings")), "top-vectors")
     return topk.exact_top_k(rows.where("id % 50 = 0"), rows, 5)
@@ -42,6 +53,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link_tools(calls, results, chat.REPLY)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), end_id=0, length=1024)
+
+
 # The rules of the address filter (verdict, host, path).
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -53,9 +68,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_bpe": op5_bpe,
     "op6_exact_topk": op6_exact_topk,
     "op7_license_scan": op7_license_scan,
     "op8_chat_format": op8_chat_format,
+    "op9_packing": op9_packing,
     "op10_url_filter": op10_url_filter,
 }
 
