@@ -8,7 +8,9 @@ short. Documents with one key, such as copies, are told apart by a hash of their
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ DIMS, BITS = 3, 10  # of the curve: 30-bit keys
 SAMPLE_DOCS = 20_000  # documents whose keys place the range boundaries, at most about this many
 RANGE_BYTES = 4_000_000  # of text in a range, about
 MAX_RANGES = 1 << 20
-CACHE_WORDS = 400_000  # remembered words of a Python worker, at most
+CACHE_WORDS = 500_000  # remembered words of a Python worker, at most: about 150 MB
 
 
 def hilbert_index(places: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -54,25 +56,35 @@ def hilbert_index(places: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def curve_key(total: np.ndarray, words: int) -> int:
-    """Key of a document from the sum of its words' signs: each coordinate, about normal, is spread over the axis."""
-    z = total / max(words, 1) ** 0.5
+def curve_keys(totals: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Keys of documents from the sums of their words' signs: each coordinate, about normal, is spread over the axis."""
+    z = totals / np.sqrt(np.maximum(words, 1))[:, None]
     at = np.clip(((np.tanh(z * 0.8) + 1) / 2 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
-    return int(hilbert_index(at[None, :])[0])
+    return hilbert_index(at)
+
+
+def _byte_letters() -> dict[int, str]:
+    """How a byte-level vocabulary shows bytes: printable ones as themselves, the others as the characters from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class Words:
-    """A worker's memory of words: their ids as bytes, and their signs. A word is what stands between single blanks that
-    have no other white space beside them, with its blank in front: no pre-token of a byte-level vocabulary crosses that."""
+    """A worker's memory of words: their ids as bytes, and their signs. A word is what stands between single blanks or
+    line breaks that have no other white space beside them, with its blank in front: no pre-token of a byte-level
+    vocabulary crosses that."""
 
     _of: dict[str, Words] = {}
 
     def __init__(self, path: str):
-        import regex
-
-        self.tok, self.at, self.ids, self.signs = tokenizer(path), {}, [], []
+        self.tok, self.at, self.ids, self.signs = tokenizer(path), {}, [], np.zeros((1024, DIMS))
         self.kind = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.uneven, self.cut = regex.compile(r"\s{2}"), regex.compile(r"(?<=\S) (?=\S)")
+        self.uneven, self.cut = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
+        # letters, then marks: two pre-tokens for certain, which the model can encode as they are
+        self.plain = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ſ]+)([,.;:!?]*)").fullmatch
+        self.parts: dict[str, bytes] = {}
+        self.shown, self.model, self.code = _byte_letters(), self.tok.model, "H" if self.kind.itemsize == 2 else "I"
 
     @classmethod
     def of(cls, path: str) -> Words:
@@ -83,31 +95,55 @@ class Words:
     def split(self, text: str) -> list[str]:
         if not text:
             return []
-        parts = self.cut.split(text) if self.uneven.search(text) or text[0] == " " or text[-1] == " " else text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]]
+        if self.uneven.search(text) or text[0] == " " or text[-1] == " ":
+            parts = self.cut.split(text)
+            return [parts[0], *[" " + p for p in parts[1:]]]
+        out = []
+        for line in text.split("\n"):  # a lone line break is a pre-token of its own
+            first, *rest = line.split(" ")
+            out += ["\n", first] if first else ["\n"]
+            out += [" " + p for p in rest]
+        return out[1:]
+
+    def part(self, p: str) -> bytes:
+        """The ids of one pre-token."""
+        have = self.parts.get(p)
+        if have is None:
+            shown = p.encode().decode("latin-1").translate(self.shown)
+            have = self.parts[p] = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return have
 
     def learn(self, words: set[str]) -> None:
         if len(self.at) + len(words) > CACHE_WORDS:
-            self.at, self.ids, self.signs = {}, [], []
+            self.at, self.ids, self.parts = {}, [], {}
         new = [w for w in words if w not in self.at]
-        for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.at[w] = len(self.ids)
-            self.ids.append(np.asarray(e.ids, self.kind).tobytes())
-            h = zlib.crc32(w.strip().lower().encode())
-            self.signs.append([1.0 - 2.0 * ((h >> d) & 1) for d in range(DIMS)])
-
-    def documents(self, texts: list[str]):
-        """(ids as bytes, key) of each text."""
+        found = [self.plain(w) for w in new]
+        first, n = len(self.ids), len(new)
+        while first + n > len(self.signs):
+            self.signs = np.concatenate((self.signs, np.zeros_like(self.signs)))
+        hashes = np.array([zlib.crc32(w.strip().lower().encode()) for w in new], np.int64)
+        self.signs[first : first + n] = 1.0 - 2.0 * ((hashes[:, None] >> np.arange(DIMS)) & 1)
+        for i, (w, m) in enumerate(zip(new, found, strict=True)):
+            self.at[w] = first + i
+            if m is None:
+                self.ids.append(array(self.code, self.tok.encode(w, add_special_tokens=False).ids).tobytes())
+            else:
+                self.ids.append(self.part(m[1]) + (self.part(m[2]) if m[2] else b""))
+
+    def documents(self, texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """The ids of each text as bytes, and the texts' keys."""
         split = [self.split(t) for t in texts]
-        missing = {w for ws in split for w in ws if w not in self.at}
-        if len(self.at) + len(missing) > CACHE_WORDS:
-            missing = {w for ws in split for w in ws}
-        if missing:
-            self.learn(missing)
-        signs, ids, at = np.array(self.signs).reshape(-1, DIMS), self.ids, self.at
-        for ws in split:
-            places = [at[w] for w in ws]
-            yield b"".join([ids[i] for i in places]), curve_key(signs[places].sum(0) if places else np.zeros(DIMS), len(places))
+        coded, totals = [], np.zeros((len(texts), DIMS))
+        for row, ws in enumerate(split):
+            try:
+                places = list(map(self.at.__getitem__, ws))
+            except KeyError:
+                self.learn(set(ws))
+                places = list(map(self.at.__getitem__, ws))
+            coded.append(b"".join(map(self.ids.__getitem__, places)))
+            if places:
+                totals[row] = self.signs[places].sum(0)
+        return coded, curve_keys(totals, np.array([len(ws) for ws in split]))
 
 
 def _slices(batches, rows: int = 256):
@@ -135,7 +171,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, length: int = 1024, id_col
         words = Words.of(path)
         for b in _slices(batches):
             texts = b.column("t").to_pylist()
-            ks = [k for _, k in words.documents(texts)]
+            _, ks = words.documents(texts)
             order = [pa.array(ks, pa.int64()), b.column("tie"), pa.array([len(t) + 1 for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(order, names=["key", "tie", "size"])
 
@@ -150,10 +186,10 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, length: int = 1024, id_col
         words = Words.of(path)
         end = np.asarray([end_id], words.kind).tobytes()
         for b in _slices(batches):
-            done = list(words.documents(b.column("t").to_pylist()))
-            place = (np.array([k for _, k in done], np.int64) << 32) | b.column("tie").to_numpy()
+            done, ks = words.documents(b.column("t").to_pylist())
+            place = (ks << 32) | b.column("tie").to_numpy()
             part = np.searchsorted(cuts.value, place, side="right").astype(np.int32)
-            arrays = [pa.array(part), pa.array(place), b.column("id"), pa.array([i + end for i, _ in done], pa.binary())]
+            arrays = [pa.array(part), pa.array(place), b.column("id"), pa.array([i + end for i in done], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["part", "place", "id", "ids"])
 
     id_kind = dict(docs.dtypes)[id_col]
