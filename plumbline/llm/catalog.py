@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, exact_dedup, licenses, packing, sharding, topk, url_filter
+from plumbline.llm import bpe, chat, exact_dedup, jaccard, licenses, packing, sharding, topk, toxicity, url_filter
 from plumbline.llm.shared import LOWER, UPPER
 
 SHARDS = 40
@@ -24,6 +24,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+CATEGORIES = ["low_quality", "toxic"]
+
+
+def toxicity_chain(docs: DataFrame, sf_dir: str) -> toxicity.ToxicityChain:
+    labels = read(docs.sparkSession, sf_dir, "labels").withColumn("low_quality", 1 - F.col("quality"))
+    return toxicity.fit_chain(docs, labels, CATEGORIES)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.judge(docs, toxicity_chain(docs, sf_dir))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_by_size(read(spark, sf_dir, "documents"), SHARDS)
     return out.select(
@@ -66,6 +83,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
+    "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_bpe": op5_bpe,
