@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from plumbline.plans import history_queries, schedule_queries, text_queries
+
+_MODULES = (history_queries, schedule_queries, text_queries)
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE: dict = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
