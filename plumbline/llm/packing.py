@@ -1,7 +1,7 @@
 """Packing along a space-filling curve: like documents share training sequences, and little is padding.
 
-A document's words are hashed to signs in a few dimensions; their mean is its place, and the Hilbert index of that
-place its key. Keys are cut into ranges at quantiles of a size-weighted sample, documents travel once (as token ids) to
+A document's token ids are hashed to signs in a few dimensions; the sum of them over the root of their number is its
+place, and the Hilbert index of that place its key. Keys are cut into ranges at quantiles of a size-weighted sample, documents travel once (as token ids) to
 their range, are sorted by key there, and are laid end to end into sequences. Only the last sequence of a range can be
 short. Documents with one key, such as copies, are told apart by a hash of their id, so that a range stays bounded.
 """
@@ -21,7 +21,7 @@ from plumbline.llm.bpe import tokenizer
 from plumbline.llm.shared import text_or_empty
 
 DIMS, BITS = 3, 10  # of the curve: 30-bit keys
-SAMPLE_DOCS = 20_000  # documents whose keys place the range boundaries, at most about this many
+SAMPLE_DOCS = 4_000  # documents whose keys place the range boundaries, at most about this many
 RANGE_BYTES = 4_000_000  # of text in a range, about
 MAX_RANGES = 1 << 20
 CACHE_WORDS = 500_000  # remembered words of a Python worker, at most: about 150 MB
@@ -56,10 +56,10 @@ def hilbert_index(places: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def curve_keys(totals: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Keys of documents from the sums of their words' signs: each coordinate, about normal, is spread over the axis."""
-    z = totals / np.sqrt(np.maximum(words, 1))[:, None]
-    at = np.clip(((np.tanh(z * 0.8) + 1) / 2 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
+def curve_keys(totals: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Keys of documents from the sums of their ids' signs: each coordinate is spread over the axis."""
+    z = totals / np.sqrt(np.maximum(ids, 1))[:, None]
+    at = np.clip(((np.tanh(z * 0.3) + 1) / 2 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
     return hilbert_index(at)
 
 
@@ -71,20 +71,22 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Words:
-    """A worker's memory of words: their ids as bytes, and their signs. A word is what stands between single blanks or
-    line breaks that have no other white space beside them, with its blank in front: no pre-token of a byte-level
-    vocabulary crosses that."""
+    """A worker's memory of words and their ids as bytes. A word is what stands between single blanks or line breaks that
+    have no other white space beside them, with its blank in front: no pre-token of a byte-level vocabulary crosses that."""
 
     _of: dict[str, Words] = {}
 
     def __init__(self, path: str):
-        self.tok, self.at, self.ids, self.signs = tokenizer(path), {}, [], np.zeros((1024, DIMS))
+        self.tok, self.at, self.parts = tokenizer(path), {}, {}
         self.kind = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.uneven, self.cut = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
         # letters, then marks: two pre-tokens for certain, which the model can encode as they are
         self.plain = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ſ]+)([,.;:!?]*)").fullmatch
-        self.parts: dict[str, bytes] = {}
         self.shown, self.model, self.code = _byte_letters(), self.tok.model, "H" if self.kind.itemsize == 2 else "I"
+        ids = np.arange(1 << 16, dtype=np.uint64)  # a hashed vector of signs for each id; ids beyond repeat
+        with np.errstate(over="ignore"):
+            bits = (ids + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+        self.signs = 1.0 - 2.0 * ((bits[:, None] >> np.arange(DIMS, dtype=np.uint64)) & np.uint64(1)).astype(float)
 
     @classmethod
     def of(cls, path: str) -> Words:
@@ -109,41 +111,40 @@ class Words:
         """The ids of one pre-token."""
         have = self.parts.get(p)
         if have is None:
-            shown = p.encode().decode("latin-1").translate(self.shown)
+            if p.isascii():
+                shown = "\u0120" + p[1:] if p[0] == " " else p
+            else:
+                shown = p.encode().decode("latin-1").translate(self.shown)
             have = self.parts[p] = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
         return have
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.at) + len(words) > CACHE_WORDS:
-            self.at, self.ids, self.parts = {}, [], {}
-        new = [w for w in words if w not in self.at]
-        found = [self.plain(w) for w in new]
-        first, n = len(self.ids), len(new)
-        while first + n > len(self.signs):
-            self.signs = np.concatenate((self.signs, np.zeros_like(self.signs)))
-        hashes = np.array([zlib.crc32(w.strip().lower().encode()) for w in new], np.int64)
-        self.signs[first : first + n] = 1.0 - 2.0 * ((hashes[:, None] >> np.arange(DIMS)) & 1)
-        for i, (w, m) in enumerate(zip(new, found, strict=True)):
-            self.at[w] = first + i
-            if m is None:
-                self.ids.append(array(self.code, self.tok.encode(w, add_special_tokens=False).ids).tobytes())
-            else:
-                self.ids.append(self.part(m[1]) + (self.part(m[2]) if m[2] else b""))
+    def encode(self, w: str) -> bytes:
+        bare = w[1:] if w[0] == " " else w
+        if w.isascii() and bare.isalpha():
+            return self.part(w)
+        if w.isascii() and bare[-1:] in ",.;:!?" and bare[:-1].isalpha():
+            return self.part(w[:-1]) + self.part(w[-1])
+        if m := self.plain(w):
+            return self.part(m[1]) + (self.part(m[2]) if m[2] else b"")
+        return array(self.code, self.tok.encode(w, add_special_tokens=False).ids).tobytes()
 
     def documents(self, texts: list[str]) -> tuple[list[bytes], np.ndarray]:
         """The ids of each text as bytes, and the texts' keys."""
-        split = [self.split(t) for t in texts]
         coded, totals = [], np.zeros((len(texts), DIMS))
-        for row, ws in enumerate(split):
+        for row, t in enumerate(texts):
+            ws = self.split(t)
             try:
-                places = list(map(self.at.__getitem__, ws))
+                coded.append(b"".join(map(self.at.__getitem__, ws)))
             except KeyError:
-                self.learn(set(ws))
-                places = list(map(self.at.__getitem__, ws))
-            coded.append(b"".join(map(self.ids.__getitem__, places)))
-            if places:
-                totals[row] = self.signs[places].sum(0)
-        return coded, curve_keys(totals, np.array([len(ws) for ws in split]))
+                new = {w for w in ws if w not in self.at}
+                if len(self.at) + len(new) > CACHE_WORDS:
+                    self.at, self.parts, new = {}, {}, set(ws)
+                for w in new:
+                    self.at[w] = self.encode(w)
+                coded.append(b"".join(map(self.at.__getitem__, ws)))
+            if ws:
+                totals[row] = self.signs[np.frombuffer(coded[-1], self.kind) & 0xFFFF].sum(0)
+        return coded, curve_keys(totals, np.array([len(c) // self.kind.itemsize for c in coded]))
 
 
 def _slices(batches, rows: int = 256):
