@@ -22,7 +22,7 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def edges_from_lists(nodes: DataFrame, id_col: str, list_col: str) -> DataFrame:
     """(src, dst) of comma or semicolon separated successors that exist among the nodes."""
-    parts = F.filter(F.transform(F.split(F.regexp_replace(list_col, ";", ","), ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.regexp_replace(list_col, ";", ","), ","), lambda x: F.trim(x)), lambda x: x != "")
     flat = nodes.select(F.col(id_col).alias("src"), F.explode(parts).alias("dst"))
     return flat.join(nodes.select(F.col(id_col).alias("dst")), "dst", "left_semi").select("src", "dst").distinct()
 

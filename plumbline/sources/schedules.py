@@ -89,7 +89,7 @@ def from_columns(df: DataFrame) -> DataFrame:
 def _edges(c: str, kind: str) -> Column:
     if kind.startswith("array"):
         return F.col(c)
-    parts = F.transform(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), ";", ","), ","), F.trim)
+    parts = F.transform(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), ";", ","), ","), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 
 
@@ -97,7 +97,7 @@ def _typed(df: DataFrame, kinds: dict | None = None, have: dict | None = None) -
     kind = dict(df.dtypes)
     df = df.withColumns({"planned_start": schedule_date(F.col("start_raw").cast("string")), "planned_finish": schedule_date(F.col("finish_raw").cast("string"))})
     number = F.regexp_replace(F.lower(F.col("duration_raw").cast("string")), r"[hd]|days?|hours?", "").try_cast("double")
-    given = F.greatest(F.lit(0), F.round(number)).cast("int")
+    given = F.when(number.isNotNull(), F.greatest(F.lit(0), F.round(number))).cast("int")
     return df.select(
         "activity_id", "activity_name", "wbs_id", level_of(F.col("wbs_level").cast("string")).alias("wbs_level"), "discipline", "location", "start_raw", "finish_raw",
         "planned_start", "planned_finish", F.coalesce(given, F.datediff("planned_finish", "planned_start") + 1, F.lit(1)).alias("duration_days"),
