@@ -74,6 +74,13 @@ def exact_dedup(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """docs without the rows that exact_dedup drops; ids must tell the rows of docs apart."""
-    gone = exact_dedup(docs, id_col, text_col, keep).where("not kept").select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    """docs without the rows that exact_dedup drops. Of rows that repeat both id and text, one stays."""
+    found = exact_dedup(docs, id_col, text_col, keep).select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"), "kept")
+    gone, kept = found.where("not kept").select("__id", "__sha").distinct(), found.where("kept").select("__id", "__sha")
+    same = lambda a, b: a["__id"].eqNullSafe(b["__id"]) & (a["__sha"] == b["__sha"])
+    both = gone.join(kept, same(gone, kept), "left_semi")  # repeated rows, of which one stays
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id"), F.sha2(fold_ascii(text_or_empty(text_col)), 256).alias("__sha"))
+    out = packed.join(gone, same(packed, gone), "left_anti")
+    if not both.isEmpty():
+        out = out.unionByName(packed.join(both, same(packed, both), "left_semi").dropDuplicates(["__id", "__sha"]))
+    return out.select("__row.*")

@@ -48,6 +48,12 @@ def test_dedup(spark, docs, keep, hashed):
     assert exact_dedup.exact_dedup(empty(spark)).count() == 0
 
 
+def test_drop_copies(spark, docs):
+    got = exact_dedup.drop_copies(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted({(1, "Same Text"), (3, None), (5, "  "), (None, "no id"), (7, LONG), *ROWS[9:]}, key=repr)
+
+
 def test_sharding(spark, docs):
     def lawful(df, shards, rows):
         got = df.collect()
