@@ -1,6 +1,7 @@
 """Toxicity by a classifier chain: categories are predicted one after another, each model seeing the earlier ones' probabilities.
 
-Models are L1 logistic regressions over hashed words, fitted by Spark ML on a bounded sample of labelled documents.
+Models are L1 logistic regressions over the words
+of a text, fitted by Spark ML on a bounded sample of labelled documents.
 While fitting, earlier categories enter as out-of-fold probabilities, so that a later model does not lean on answers
 its predecessors have learned by heart. Scoring is a projection over all documents and whole texts, without a shuffle.
 """
@@ -10,7 +11,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,24 +20,27 @@ from plumbline.llm.shared import text_or_empty
 
 LABEL_SAMPLE = 8_000  # labelled documents that the models are fitted on, at most about this many
 FOLDS = 3
-BUCKETS = 1 << 18
+VOCABULARY = 20_000  # words that are features: the most frequent of the sample, by documents
+PARTITIONS = 4  # of the bounded sample: gradients then go to the driver without a shuffle
 PENALTY = 0.001
 
 
-def _featured(docs: DataFrame, text: str) -> DataFrame:
-    words = docs.withColumn("__w", F.split(F.lower(text_or_empty(text)), r"[^\p{L}]+"))
-    return HashingTF(inputCol="__w", outputCol="__f0", numFeatures=BUCKETS, binary=True).transform(words).drop("__w")
+def _worded(docs: DataFrame, text: str) -> DataFrame:
+    return docs.withColumn("__w", F.filter(F.split(F.lower(text_or_empty(text)), r"[^\p{L}]+"), lambda w: w != ""))
 
 
 class ToxicityChain:
     """Fitted links, in order: (category, model or None, prior). threshold: of the last category."""
 
-    def __init__(self, links: list, threshold: float):
-        self.links, self.threshold = links, threshold
+    def __init__(self, vocabulary: CountVectorizerModel | None, links: list, threshold: float):
+        self.vocabulary, self.links, self.threshold = vocabulary, links, threshold
 
     def score(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """docs with a column p_<category> for each category and flagged (boolean), which must not be names of docs."""
-        out = _featured(docs, text_col)
+        if self.vocabulary is None:
+            priors = {f"p_{name}": F.lit(float(prior)) for name, _, prior in self.links}
+            return docs.withColumns(priors | {"flagged": F.lit(False)})
+        out = self.vocabulary.transform(_worded(docs, text_col)).drop("__w")
         for k, (name, model, prior) in enumerate(self.links):
             out = _apply(out, model, k, prior).withColumnRenamed(f"__p{k}", f"p_{name}")
             out = _chained(out, k, f"p_{name}")
@@ -61,7 +65,7 @@ def _fit(df: DataFrame, k: int, label: str, penalty: float):
     prior = df.agg(F.avg(label)).first()[0]
     if prior in (None, 0.0, 1.0):
         return None, float(prior or 0.0)
-    lr = LogisticRegression(featuresCol=f"__f{k}", labelCol=label, regParam=penalty, elasticNetParam=1.0, maxIter=40, standardization=False)
+    lr = LogisticRegression(featuresCol=f"__f{k}", labelCol=label, regParam=penalty, elasticNetParam=1.0, maxIter=30, tol=1e-4, standardization=False)
     return lr.fit(df), float(prior)
 
 
@@ -70,7 +74,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
 
     At most about `sample` labelled documents are drawn, by a hash of the id. Labels with a null are left out, repeated
     ones count once, as the highest. Without labels, or with one value only, a category has its prior as probability and
-    flags nothing. The threshold is where the out-of-fold predictions of the last category reach their best F1.
+    flags nothing; so it is without a word that two documents share. The threshold is where the out-of-fold predictions of the last category reach their best F1.
     """
     marks = labels.select(F.col(id_col).alias("__id"), *[F.col(c).cast("double").alias(f"__l{k}") for k, c in enumerate(categories)]).dropna()
     marks = marks.groupBy("__id").agg(*[F.max(f"__l{k}").alias(f"__l{k}") for k in range(len(categories))])
@@ -78,8 +82,16 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
     if n > sample:
         marks = marks.where(F.pmod(F.xxhash64("__id", F.lit(29)), F.lit(1 << 30)) < F.lit(int(sample / n * (1 << 30))))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(marks), "__id")  # the bounded sample
-    rows = _featured(rows, "__t").drop("__t").withColumn("__fold", F.pmod(F.xxhash64("__id", F.lit(31)), F.lit(FOLDS))).cache()
+    rows = _worded(rows, "__t").drop("__t").withColumn("__fold", F.pmod(F.xxhash64("__id", F.lit(31)), F.lit(FOLDS)))
+    rows = rows.coalesce(PARTITIONS).cache()
     held, links, threshold = [rows], [], 1.1
+    if rows.select(F.explode("__w").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        rows.unpersist()
+        return ToxicityChain(None, [(c, None, 0.0) for c in categories], threshold)
+    least = 2 if rows.count() > 10 else 1
+    vocabulary = CountVectorizer(inputCol="__w", outputCol="__f0", vocabSize=VOCABULARY, minDF=least, binary=True).fit(rows)
+    rows = vocabulary.transform(rows).drop("__w").cache()
+    held.append(rows)
     for k, name in enumerate(categories):
         label = f"__l{k}"
         model, prior = _fit(rows, k, label, penalty)
@@ -88,7 +100,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
         for fold in range(FOLDS):
             own, _ = _fit(rows.where(F.col("__fold") != fold), k, label, penalty)
             parts.append(_apply(rows.where(F.col("__fold") == fold), own, k, prior))
-        rows = reduce(DataFrame.unionByName, parts)
+        rows = reduce(DataFrame.unionByName, parts).coalesce(PARTITIONS)
         if k + 1 < len(categories):
             rows = _chained(rows, k, f"__p{k}").cache()
             held.append(rows)
@@ -96,7 +108,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
             threshold = _best_f1(rows.select(f"__p{k}", label).toPandas().to_numpy())  # two numbers a sampled document
     for h in held:
         h.unpersist()
-    return ToxicityChain(links, threshold)
+    return ToxicityChain(vocabulary, links, threshold)
 
 
 def _best_f1(pairs) -> float:
