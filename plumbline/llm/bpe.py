@@ -1,9 +1,10 @@
 """BPE encoding and decoding by a table of distinct words.
 
-Texts are split at white space in Spark and distinct words are counted; each distinct word is encoded once, and its
-pieces come from a join of ids with the vocabulary. The ids go back to the positions of their words in two parts: the
-most frequent words (HEAD_WORDS of them, a documented bound) are broadcast, all rarer ones return through a join on the
-word. A text travels as the ranks of its words, about a fifth of its bytes.
+Texts are split at white space in Spark and each distinct word is encoded once; its pieces come from a join of its ids
+with the vocabulary. Ids go back to the positions of their words in two parts. The most frequent words (HEAD_WORDS, a
+documented bound) are encoded first and broadcast. The positions of all rarer words are shuffled by word, each of which
+is encoded once where its positions meet, and its ids travel back to their texts. A text travels as the deflated ranks
+of its words.
 
 White space never lies inside a token of a vocabulary whose pre-tokenizer drops it, so that words can be encoded apart.
 """
@@ -11,7 +12,11 @@ White space never lies inside a token of a vocabulary whose pre-tokenizer drops
 from __future__ import annotations
 
 import hashlib
+import re
+import uuid
 import zlib
+from array import array
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -20,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import stored, text_or_empty
+from plumbline.llm.shared import text_or_empty
 
-HEAD_WORDS = 300_000  # broadcast words at most: about 12 MB
+HEAD_WORDS = 400_000  # broadcast words at most: about 16 MB
 # Fixed value: the white space of the vocabulary's normaliser (Unicode White_Space).
 BLANKS = r"[\t-\r \u0085   -     　]+"
+_CUT, _ODD = re.compile(BLANKS), re.compile("[\x1c-\x1f]")
 
 
 @lru_cache(maxsize=4)
@@ -49,16 +55,31 @@ def distinct_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """words with ids array<int>: each row's word encoded once."""
+def frequent_words(docs: DataFrame, text_col: str = "text", bound: int = HEAD_WORDS) -> DataFrame:
+    """(word, n): up to `bound` of the most frequent words. Which words these are decides where a word is encoded, not what
+    its ids are; a task passes on those it meets three times at least, so that the many rare words are not shuffled."""
+
+    def run(batches):
+        seen: Counter = Counter()
+        for b in batches:
+            for t in b.column("t").to_pylist():
+                seen.update(split_words(t))
+            if len(seen) > 1_500_000:  # words met once make room
+                seen = Counter({w: n for w, n in seen.items() if n > 1})
+        kept = [(w, n) for w, n in seen.items() if n > 2]
+        for a in range(0, len(kept), 50_000):
+            part = kept[a : a + 50_000]
+            yield pa.RecordBatch.from_pydict({"word": [w for w, _ in part], "n": [n for _, n in part]}, schema=pa.schema([("word", pa.string()), ("n", pa.int64())]))
+
+    met = docs.select(text_or_empty(text_col).alias("t")).mapInArrow(run, "word string, n long")
+    return met.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(bound)
 
-    def run(frames):
-        t = tokenizer(path)
-        for f in frames:
-            ids = [e.ids for e in t.encode_batch_fast(list(f["word"]), add_special_tokens=False)]
-            yield f.assign(ids=ids)
 
-    return words.mapInPandas(run, "word string, n long, ids array<int>")
+def split_words(text: str) -> list[str]:
+    """The words between white space; like distinct_words(), but inside a task."""
+    if _ODD.search(text):
+        return [w for w in _CUT.split(text) if w]
+    return text.split()
 
 
 def decode_ids(rows: DataFrame, vocab: DataFrame, key: str, ids_col: str = "ids") -> DataFrame:
@@ -73,21 +94,72 @@ def decode_ids(rows: DataFrame, vocab: DataFrame, key: str, ids_col: str = "ids"
     return rows.select(key).join(got, key, "left").select(key, F.coalesce("decoded", F.lit("")).alias("decoded"))
 
 
-def lexicon(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """(word, n, ids, pieces array<string>) of every distinct word of the texts."""
-    words = encode_words(distinct_words(docs, text_col), path)
-    names = {i: p for p, i in tokenizer(path).get_vocab(with_added_tokens=True).items()}
-    shared = docs.sparkSession.sparkContext.broadcast(names)
+class Pieces:
+    """A worker's way from words to ids and from ids to pieces."""
+
+    _of: dict[str, Pieces] = {}
+
+    def __init__(self, path: str):
+        self.tok = tokenizer(path)
+        self.names = {i: p for p, i in self.tok.get_vocab(with_added_tokens=True).items()}
+        self.kind = "<u2" if max(self.names, default=0) < 1 << 16 else "<u4"
+
+    @classmethod
+    def of(cls, path: str) -> Pieces:
+        if path not in cls._of:
+            cls._of[path] = cls(path)
+        return cls._of[path]
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each word."""
+        return [array("I", self.tok.encode(w, add_special_tokens=False).ids).tobytes() for w in words]
+
+    def decoded(self, ids: bytes) -> str:
+        names = self.names
+        return " ".join([names[i] for i in np.frombuffer(ids, "<u4").tolist()])
+
+
+def encode_words(words: DataFrame, path: str) -> DataFrame:
+    """(word, ids binary, decoded): each row's word encoded once, its ids joined with their pieces."""
+
+    def run(batches):
+        p = Pieces.of(path)
+        for b in batches:
+            ids = p.ids(b.column("word").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(ids, pa.binary()), pa.array([p.decoded(i) for i in ids], pa.string())], names=["word", "ids", "decoded"])
+
+    return words.select("word").mapInArrow(run, "word string, ids binary, decoded string")
+
+
+def encode_places(places: DataFrame, path: str) -> DataFrame:
+    """(uid, at binary) of places(uid, pos, word), which meet by word: each distinct word is encoded once. at is the place
+    (four bytes, highest first, so that bytes sort as places do) and the ids, of two bytes where the vocabulary allows."""
 
-    def pieces(batches):  # the join of ids and pieces, its smaller side broadcast
-        have = shared.value
+    def run(batches):
+        p, word, ids = Pieces.of(path), None, b""
         for b in batches:
-            ids = b.column("ids")
-            flat, offsets = ids.flatten().to_numpy(), ids.offsets
-            ps = pa.ListArray.from_arrays(offsets, pa.array([have[i] for i in flat.tolist()], pa.string()))
-            yield pa.RecordBatch.from_arrays([*b.columns, ps], names=[*b.schema.names, "pieces"])
+            out = []
+            for w, pos in zip(b.column("word").to_pylist(), b.column("pos").to_pylist(), strict=True):
+                if w != word:
+                    word, ids = w, np.frombuffer(p.ids([w])[0], "<u4").astype(p.kind).tobytes()
+                out.append(pos.to_bytes(4, "big") + ids)
+            yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array(out, pa.binary())], names=["uid", "at"])
 
-    return words.mapInArrow(pieces, "word string, n long, ids array<int>, pieces array<string>")
+    n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return places.repartition(n, "word").sortWithinPartitions("word").mapInArrow(run, "uid long, at binary")
+
+
+_heads: dict[str, tuple[dict, list, list]] = {}
+
+
+def _head(name: str, head) -> tuple[dict[str, int], list[bytes], list[str]]:
+    """The broadcast words in a worker: rank of each, and by rank its ids as bytes and its decoded form."""
+    if name not in _heads:
+        _heads.clear()
+        t = pa.ipc.open_stream(head.value).read_all()
+        ranks = {w: i for i, w in enumerate(t.column("word").to_pylist())}
+        _heads[name] = ranks, t.column("ids").to_pylist(), t.column("decoded").to_pylist()
+    return _heads[name]
 
 
 def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
@@ -97,54 +169,55 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     A null text counts as empty and has no tokens. Null and repeated ids are kept apart by row; an empty table gives no
     rows; other columns of docs are ignored.
     """
-    import regex
-
     spark = docs.sparkSession
-    words = stored(lexicon(docs, path, text_col), "bpe-words")
-    ranked = words.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).select("word", "ids", "pieces").toPandas()
-    ranks = {w: i for i, w in enumerate(ranked["word"])}
-    entry = lambda ids, ps: (np.asarray(ids, "<u4").tobytes(), " ".join(ps))
-    head = spark.sparkContext.broadcast((ranks, [entry(i, p) for i, p in zip(ranked["ids"], ranked["pieces"], strict=True)]))
-    full = len(ranked) < HEAD_WORDS
+    ranked = encode_words(frequent_words(docs, text_col), path).toArrow()  # columns, not Python objects
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, ranked.schema) as out:
+        out.write_table(ranked)
+    head, name = spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex
+    del ranked, sink
     base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t")).withColumn("uid", F.monotonically_increasing_id())
 
     def to_ranks(batches):
         """A text as ranks of its words (32-bit, deflated); -1 stands for a word that is not in the head."""
-        rank = head.value[0]
-        odd, blanks = regex.compile("[\x1c-\x1f]"), regex.compile(BLANKS)
+        rank = _head(name, head)[0]
         for b in batches:
-            packed, rare = [], []
+            packed = []
             for t in b.column("t").to_pylist():
-                ws = [w for w in blanks.split(t) if w] if odd.search(t) else t.split()
+                ws = split_words(t)
                 at = np.fromiter((rank.get(w, -1) for w in ws), np.int32, len(ws))
-                gone = np.flatnonzero(at < 0)
-                rare.append([ws[i] for i in gone])
                 # planes of bytes deflate better than whole numbers
-                packed.append(zlib.compress(at.view(np.uint8).reshape(-1, 4).T.tobytes(), 1))
-            arrays = [b.column("uid"), b.column("id"), pa.array(packed, pa.binary()), pa.array(rare, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["uid", "id", "packed", "rare"])
+                packed.append(zlib.compress(at.view(np.uint8).reshape(-1, 4).T.tobytes(), 6))
+            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("id"), pa.array(packed, pa.binary())], names=["uid", "id", "packed"])
 
-    kind = f"uid long, id {dict(docs.dtypes)[id_col]}, packed binary, rare array<string>"
+    def rare(batches):
+        """Positions of the words that are not in the head, counted among them."""
+        rank = _head(name, head)[0]
+        for b in batches:
+            uids, pos, words = [], [], []
+            for uid, t in zip(b.column("uid").to_pylist(), b.column("t").to_pylist(), strict=True):
+                gone = [w for w in split_words(t) if w not in rank]
+                uids += [uid] * len(gone)
+                pos += range(len(gone))
+                words += gone
+            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(pos, pa.int32()), pa.array(words, pa.string())], names=["uid", "pos", "word"])
+
+    kind = f"uid long, id {dict(docs.dtypes)[id_col]}, packed binary"
     ranked_docs = base.select("uid", "id", "t").mapInArrow(to_ranks, kind)
-    if full:
-        met = ranked_docs.withColumn("found", F.lit(None).cast("array<struct<pos:int,ids:array<int>,decoded:string>>"))
-    else:
-        ranked_docs = stored(ranked_docs, "bpe-docs")
-        places = ranked_docs.select("uid", F.posexplode("rare").alias("pos", "word"))
-        known = words.select("word", "ids", F.array_join("pieces", " ").alias("decoded"))
-        back = places.join(known, "word").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("pos", "ids", "decoded"))).alias("found"))
-        met = ranked_docs.drop("rare").join(back, "uid", "left")
+    places = base.select("uid", "t").mapInArrow(rare, "uid long, pos int, word string")
+    back = encode_places(places, path).groupBy("uid").agg(F.collect_list("at").alias("found"))
+    met = ranked_docs.join(back, "uid", "left").select("id", "packed", "found")
 
     def digest(batches):
-        table = head.value[1]
-        ids_of, text_of = [x[0] for x in table], [x[1] for x in table]
+        (_, ids_of, text_of), p = _head(name, head), Pieces.of(path)
         for b in batches:
             n, h, g, all_ids, decoded = [], [], [], [], []
             for packed, found in zip(b.column("packed").to_pylist(), b.column("found").to_pylist(), strict=True):
                 at = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
                 seq = at.tolist()
                 if found:
-                    rare = iter([(np.asarray(x["ids"], "<u4").tobytes(), x["decoded"]) for x in found])
+                    ids = [np.frombuffer(x, p.kind, offset=4).astype("<u4").tobytes() for x in sorted(found)]
+                    rare = iter([(x, p.decoded(x)) for x in ids])
                     got = [(ids_of[r], text_of[r]) if r >= 0 else next(rare) for r in seq]
                     data, words_ = b"".join([x[0] for x in got]), [x[1] for x in got if x[0]]
                 else:

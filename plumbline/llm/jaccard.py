@@ -34,6 +34,8 @@ from plumbline.llm.shingles import mix, odd_sketch, set_hashes, shingle_sets
 LIST = 64  # sets in a short list, at most
 LIGHT = 19  # no set of more elements is light
 SUBSETS = 1000  # nor one of more subsets
+BROADCAST = 200_000  # names of sets that are broadcast, at most; more are joined by a shuffle
+WIDE = 1000  # elements from which a set has a sketch of 8192 bits too
 _ROWS = 256  # texts hashed at a time
 
 
@@ -58,7 +60,8 @@ def _sets(batches, width: int, column: str = "t"):
 
 
 def set_table(docs: DataFrame, width: int) -> DataFrame:
-    """(id, n, h1, h2, sketch, few): size, 128-bit name and sketch of each row's set; few: the elements of small sets."""
+    """(id, n, h1, h2, sketch, wide, few): size, 128-bit name and sketch of each row's set; wide: a larger sketch of large
+    sets; few: the elements of small ones."""
 
     def run(batches):
         for part, sets in _sets(batches, width):
@@ -70,13 +73,14 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
                     pa.array([x[0] for x in names], pa.int64()),
                     pa.array([x[1] for x in names], pa.int64()),
                     pa.array([odd_sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                    pa.array([odd_sketch(s, 13) if len(s) >= WIDE else None for s in sets], pa.list_(pa.int64())),
                     pa.array([s.view(np.int64) if 0 < len(s) <= LIGHT else None for s in sets], pa.list_(pa.int64())),
                 ],
-                names=["id", "n", "h1", "h2", "sketch", "few"],
+                names=["id", "n", "h1", "h2", "sketch", "wide", "few"],
             )
 
     kind = dict(docs.dtypes)["id"]
-    return docs.select("id", "t").mapInArrow(run, f"id {kind}, n long, h1 long, h2 long, sketch array<long>, few array<long>")
+    return docs.select("id", "t").mapInArrow(run, f"id {kind}, n long, h1 long, h2 long, sketch array<long>, wide array<long>, few array<long>")
 
 
 def postings(docs: DataFrame, width: int, percent: int, slack: float) -> DataFrame:
@@ -129,7 +133,10 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     named = docs.select("t").mapInArrow(name, "sid long, h2 long, t string")
     # equal sets of different tasks: any of their texts
-    met = named.join(wanted.select("sid").distinct(), "sid").groupBy("sid", "h2").agg(F.first("t").alias("t"))
+    wanted = stored(wanted.select("sid").distinct(), "jaccard-wanted")
+    if wanted.count() <= BROADCAST:
+        wanted = F.broadcast(wanted)
+    met = named.join(wanted, "sid").groupBy("sid", "h2").agg(F.first("t").alias("t"))
     return met.mapInArrow(build, "sid long, h2 long, els array<long>")
 
 
@@ -160,12 +167,29 @@ def light_links(light: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("sid", "m.sid").alias("a"), F.greatest("sid", "m.sid").alias("b")).distinct()
 
 
+def _pair(met: DataFrame) -> DataFrame:
+    """(a, b), the smaller name first, of rows with sid and m.sid."""
+    return met.select(F.least("sid", "m.sid").alias("a"), F.greatest("sid", "m.sid").alias("b")).distinct()
+
+
+def _named(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sizes and sketches allow to link."""
+    mark = nodes.select("sid", F.struct("n", "sketch", "wide").alias("s"))
+    both = pairs.join(mark.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a").join(mark.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b")
+    return both.where(_may_link(percent).replace("a.", "sa.").replace("b.", "sb.")).select("a", "b").distinct()
+
+
 def _may_link(percent: int) -> str:
     """SQL over rows a and b with n and sketch: sizes and sketches allow a link."""
     n = "(a.n + b.n)"
     need = f"({percent} * {n} + {99 + percent}) div {100 + percent}"
+    wide = f"aggregate(zip_with(a.wide, b.wide, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= {n} - 2 * ({need})"
     bits = " + ".join(f"bit_count(a.sketch[{i}] ^ b.sketch[{i}])" for i in range(8))
-    return f"{percent} * greatest(a.n, b.n) <= 100 * least(a.n, b.n) and {bits} <= {n} - 2 * ({need})"
+    return f"{percent} * greatest(a.n, b.n) <= 100 * least(a.n, b.n) and {bits} <= {n} - 2 * ({need}) and coalesce({wide}, true)"
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -177,7 +201,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select(F.struct(F.col("a").alias("h1"), F.col("a2").alias("h2")).alias("a"), F.struct(F.col("b").alias("h1"), F.col("b2").alias("h2")).alias("b"))
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", slack: float = 1.5) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", slack: float = 1.25) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id: the smallest id that links reach, its own included.
 
     Links: see above. A null or empty text, or one of blanks, has no shingles and links with nothing. Copies, and rows
@@ -186,7 +210,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     """
     base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
     table = stored(set_table(base, width), "jaccard-sets")
-    nodes = table.where("n > 0").groupBy("h1", "h2").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("few").alias("few"))
+    nodes = table.where("n > 0").groupBy("h1", "h2").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"), F.first("few").alias("few"))
     nodes = stored(nodes, "jaccard-nodes").withColumn("sid", F.col("h1"))
     # inverted lists of two sets or more
     post = postings(base, width, percent, slack)
@@ -206,50 +230,50 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
         spent += count * subset_count(n, percent) - (scans.get(n) or 0)
         if spent <= best:
             light, best = n, spent
-    # short lists: pairs, but for two light sets
-    low = lists.where(F.col("k") <= LIST).select("tok", "sid", "n")
+    # one star a list: each set against the set of the list that shares most of what it posts
+    full, first = posted_sql(percent, slack), prefix_sql(percent)
     size_ok = f"{percent} * greatest(a.n, b.n) <= 100 * least(a.n, b.n) and not (a.n <= {light} and b.n <= {light})"
-    pairs = low.alias("a").join(low.alias("b"), F.expr(f"a.tok = b.tok and a.sid < b.sid and {size_ok}"))
-    pairs = pairs.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct()
-    # long lists: sets that are bound to them, against the centre of each list and size class
+    weight = lists.groupBy("sid").agg(F.count_if(F.col("k") > LIST).alias("long"), F.first("n").alias("n"), F.count("*").alias("common"))
+    weight = stored(weight.withColumn("bound", F.expr(f"{full} - long < {first}")), "jaccard-weight")
+    low = lists.where(F.col("k") <= LIST).join(weight.select("sid", "common"), "sid").select("tok", "sid", "n", "k", "common")
+    low = stored(low, "jaccard-short")
+    hub = low.groupBy("tok").agg(F.max(F.struct("common", "sid", "n")).alias("m"))
+    pairs = _pair(low.alias("a").join(hub, "tok").where("sid <> m.sid").where(size_ok.replace("b.n", "m.n")))
+    # long lists: stars by size class
     high = lists.where(F.col("k") > LIST)
-    full, first = posted_sql(percent, slack), prefix_sql(percent)
-    weight = high.groupBy("sid").agg(F.count("*").alias("long"), F.first("n").alias("n"))
-    weight = weight.withColumn("bound", F.expr(f"{full} - long < {first}"))
     size_class = F.floor(F.log("n") / F.lit(log(100 / percent) + 1e-9)).cast("int") if percent < 100 else F.col("n").cast("int")
-    high = high.where(F.expr(f"r < {first}")).join(weight.select("sid", "long", "bound"), "sid")
-    high = stored(high.withColumn("class", size_class).select("tok", "sid", "n", "long", "bound", "class"), "jaccard-long")
+    high = high.where(F.expr(f"r < {first}")).join(weight.select("sid", "common", "bound"), "sid")
+    high = stored(high.withColumn("class", size_class).select("tok", "sid", "n", "common", "bound", "class"), "jaccard-long")
     reach = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class")
-    centre = high.groupBy("tok", "class").agg(F.max(F.struct("long", "sid")).alias("m"))
-    star = high.select("tok", "sid", reach).join(centre, ["tok", "class"]).where("sid <> m.sid")
-    star = star.select(F.least("sid", "m.sid").alias("a"), F.greatest("sid", "m.sid").alias("b")).distinct()
-    pairs = pairs.unionByName(star)
+    hub = high.groupBy("tok", "class").agg(F.max(F.struct("common", "sid")).alias("m"))
+    pairs = pairs.unionByName(_pair(high.select("tok", "sid", reach).join(hub, ["tok", "class"]).where("sid <> m.sid")))
     if light:
         pairs = pairs.unionByName(light_links(nodes.where((F.col("n") <= light) & F.col("few").isNotNull()), percent))
     # sketches, then whole sets
-    mark = nodes.select("sid", F.struct("n", "sketch").alias("s"))
-    both = pairs.distinct().join(mark.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a").join(mark.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b")
-    may = _may_link(percent)
-    likely = stored(both.where(may.replace("a.", "sa.").replace("b.", "sb.")).select("a", "b").distinct(), "jaccard-likely")
-    wanted = likely.select(F.col("a").alias("sid")).unionByName(likely.select(F.col("b").alias("sid")))
-    sets = stored(whole_sets(base, wanted, width), "jaccard-whole")
+    likely = stored(_likely(pairs.distinct(), nodes, percent), "jaccard-likely")
+    sets = stored(whole_sets(base, _named(likely), width), "jaccard-whole")
     links = stored(_verified(likely, sets, percent), "jaccard-links")
     groups = stored(components(links), "jaccard-groups")
-    # bound sets against members of other groups
+    # short lists: pairs of different groups that no star has tried
     own = F.struct(F.col("sid").alias("h1"), F.col("h2"))
-    known = nodes.select("sid", "h2", "sketch").withColumn("node", own)
-    known = known.join(groups, "node", "left").select("sid", "sketch", F.coalesce("component", "node").alias("g"))
-    members = stored(high.select("tok", "sid", "n", "bound", "class").join(known, "sid"), "jaccard-members")
+    grouped = nodes.select("sid", "h2", "sketch", "wide").withColumn("node", own).join(groups, "node", "left")
+    grouped = stored(grouped.select("sid", "sketch", "wide", F.coalesce("component", "node").alias("g")), "jaccard-grouped")
+    open_ = low.where("k > 2").select("tok", "sid", "n").join(grouped.select("sid", "g"), "sid")
+    more = open_.alias("a").join(open_.alias("b"), F.expr(f"a.tok = b.tok and a.sid < b.sid and a.g <> b.g and {size_ok}"))
+    more = more.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct().join(likely, ["a", "b"], "left_anti")
+    rest = _likely(more, nodes, percent)
+    # bound sets against members of other groups
+    members = stored(high.select("tok", "sid", "n", "bound", "class").join(grouped, "sid"), "jaccard-members")
     top = members.groupBy("tok", "g").agg(F.count("*").alias("k")).groupBy("tok").agg(F.max(F.struct("k", "g")).alias("m"), F.count("*").alias("gs"))
     # of a pair of two groups, one member at least is outside the list's largest group
     top = top.where("gs > 1").select("tok", F.col("m.g").alias("top"))
-    outside = members.join(top, "tok").where("g <> top").select("tok", "sid", "n", "bound", "g", "sketch", reach)
-    cond = f"a.tok = b.tok and a.class = b.class and a.g <> b.g and (a.bound or b.bound) and {may} and not (a.n <= {light} and b.n <= {light})"
-    rest = outside.alias("a").join(members.alias("b"), F.expr(cond))
-    rest = stored(rest.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")).distinct().join(likely, ["a", "b"], "left_anti"), "jaccard-rest")
+    outside = members.join(top, "tok").where("g <> top").select("tok", "sid", "n", "bound", "g", "sketch", "wide", reach)
+    cond = f"a.tok = b.tok and a.class = b.class and a.g <> b.g and (a.bound or b.bound) and {_may_link(percent)} and not (a.n <= {light} and b.n <= {light})"
+    far = outside.alias("a").join(members.alias("b"), F.expr(cond))
+    far = far.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")).distinct().join(likely, ["a", "b"], "left_anti")
+    rest = stored(rest.unionByName(far).distinct(), "jaccard-rest")
     if not rest.isEmpty():
-        wanted = rest.select(F.col("a").alias("sid")).unionByName(rest.select(F.col("b").alias("sid")))
-        lack = wanted.distinct().join(sets.select("sid"), "sid", "left_anti")
+        lack = _named(rest).join(sets.select("sid"), "sid", "left_anti")
         if not lack.isEmpty():
             sets = sets.unionByName(stored(whole_sets(base, lack, width), "jaccard-whole"))
         more = stored(_verified(rest, sets, percent), "jaccard-links")

@@ -91,6 +91,7 @@ def set_hashes(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
 
 
-def odd_sketch(s: np.ndarray) -> np.ndarray:
-    """512 parities, as eight numbers: two sketches differ in no more bits than their sets in elements."""
-    return np.packbits((np.bincount((s >> U(55)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).view(np.int64)
+def odd_sketch(s: np.ndarray, bits: int = 9) -> np.ndarray:
+    """2**bits parities, 64 to a number: two sketches differ in no more bits than their sets in elements."""
+    at = (s >> U(64 - bits)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=1 << bits) & 1).astype(np.uint8)).view(np.int64)
