@@ -39,30 +39,63 @@ def argument_problem(tool: Column, arguments: Column, schemas: dict[str, dict[st
 
 
 def call_levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
+    """calls with level: the turn where every call is later than what it needs (turns are an order already), else
+    dependency_levels. calls has call_id (with conv_id, if there are conversations) and turn; needs has the same keys
+    and needed."""
+    keys = _keys(calls)
+    at = calls.select(*keys, "turn")
+    edges = needs.join(at, keys).join(at.select(*keys[:-1], F.col("call_id").alias("needed"), F.col("turn").alias("before")), [*keys[:-1], "needed"])
+    if edges.where("before >= turn").isEmpty():
+        return calls.withColumn("level", F.col("turn").cast("long"))
+    return dependency_levels(calls, needs)
+
+
+def _keys(calls: DataFrame) -> list[str]:
+    return [k for k in ("conv_id", "call_id") if k in calls.columns]
+
+
+def dependency_levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     """calls with level: 0 with nothing needed, else one more than the highest level needed (null in or after a cycle).
 
-    calls has call_id (unique) and turn, needs has (call_id, needed). Where every call is later than what it needs,
-    turns are an order already and level is null for no call: levels are then the turns. Only calls that reach an edge
-    against the turns are peeled level by level, one join a level.
+    Calls are known by (conv_id, call_id), or call_id alone if calls has no conv_id; needs has the same keys and needed.
+    What is needed but no call counts as not needed. Where no call needs two others, distances are doubled, so that a
+    chain takes as many rounds as its length has binary digits; otherwise there is one round a level.
     """
-    at = calls.select("call_id", "turn")
-    edges = needs.join(at, "call_id").join(at.select(F.col("call_id").alias("needed"), F.col("turn").alias("before")), "needed")
-    if edges.where("before >= turn").isEmpty():
-        return calls.withColumn("level", F.col("turn").cast("long"))
-    left = stored(edges.select("call_id", "needed").distinct(), "chat-edges")
-    todo = stored(at.select("call_id"), "chat-calls")
-    done, level = None, 0
-    while not todo.isEmpty():
-        free = stored(todo.join(left.select("call_id"), "call_id", "left_anti"), "chat-free")
+    keys = _keys(calls)
+    at = calls.select(*keys).distinct()
+    edges = needs.select(*keys, "needed").distinct().join(at, keys, "left_semi")
+    edges = stored(edges.join(at.withColumnRenamed("call_id", "needed"), [*keys[:-1], "needed"], "left_semi").select(*keys, "needed"), "chat-edges")
+    single = edges.groupBy(*keys).count().where("count > 1").isEmpty()
+    depths = (_chained if single else _peeled)(edges, keys).withColumn("needing", F.lit(True))
+    out = calls.drop("level").join(depths, keys, "left")
+    return out.withColumn("level", F.when(F.col("needing"), F.col("level")).otherwise(F.lit(0).cast("long"))).drop("needing")
+
+
+def _chained(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, level) of calls that need one other each: level counts the edges up to `needed`, null once that is the last."""
+    up = edges.withColumn("level", F.lit(1).cast("long"))
+    n, span = edges.count(), 1
+    while span <= 2 * n and not up.where("needed is not null").isEmpty():
+        on = up.select(*keys[:-1], F.col("call_id").alias("needed"), F.col("needed").alias("next"), F.col("level").alias("more"))
+        longer = up.join(on, [*keys[:-1], "needed"], "left").select(*keys, F.col("next").alias("needed"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"))
+        up, span = stored(longer, "chat-chains"), 2 * span
+    return up.select(*keys, F.when(F.col("needed").isNull(), F.col("level")).alias("level"))
+
+
+def _peeled(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, level) of calls that need others, level by level; edges to a call whose level is found fall away."""
+    left, level, none = edges, 1, F.lit(None).cast("long")
+    done = None
+    while not left.isEmpty():
+        open_ = left.select(*keys).distinct()
+        rest = stored(left.join(open_.withColumnRenamed("call_id", "needed"), [*keys[:-1], "needed"], "left_semi").select(*keys, "needed"), "chat-edges")
+        free = stored(open_.join(rest.select(*keys).distinct(), keys, "left_anti").withColumn("level", F.lit(level).cast("long")), "chat-free")
         if free.isEmpty():  # what is left needs itself
             break
-        found = free.withColumn("level", F.lit(level).cast("long"))
-        done = found if done is None else done.unionByName(found)
-        todo = stored(todo.join(free, "call_id", "left_anti"), "chat-calls")
-        left = stored(left.join(free.select(F.col("call_id").alias("needed")), "needed", "left_anti").select("call_id", "needed"), "chat-edges")
-        level += 1
-    none = F.lit(None).cast("long")
-    return calls.join(done, "call_id", "left") if done is not None else calls.withColumn("level", none)
+        done = free if done is None else done.unionByName(free)
+        left, level = rest, level + 1
+    cyclic = left.select(*keys).distinct().withColumn("level", none)
+    return cyclic if done is None else done.unionByName(cyclic)
 
 
 def link_tools(calls: DataFrame, results: DataFrame, schemas: dict, needs: DataFrame | None = None) -> DataFrame:
@@ -72,10 +105,11 @@ def link_tools(calls: DataFrame, results: DataFrame, schemas: dict, needs: DataF
     (conv_id, call_id), nulls never; of several results, the first after the call links and later ones are "repeated".
     status: linked, unanswered (no result), early (its only results stand before it), orphan, repeated. json is
     the call, its canonical arguments and its result. Arguments that break the schema keep their row, with problem set
-    and, if they are no JSON, null arguments. Empty tables give empty results.
+    and, if they are no JSON, null arguments. level is the depth of dependency if needs is given (dependency_levels),
+    else the turn. Empty tables give empty results.
     """
     if needs is not None:
-        calls = call_levels(calls, needs)
+        calls = dependency_levels(calls, needs)
     elif "level" not in calls.columns:
         calls = calls.withColumn("level", F.col("turn").cast("long"))
     c = calls.select("conv_id", "call_id", "level", F.col("turn").alias("call_turn"), "tool", "arguments")
@@ -127,7 +161,8 @@ def conversation_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame,
         F.to_json(F.struct(F.col("turn").alias("turn"), F.col("text").alias("prompt"))).alias("arguments"),
     )
     results = m.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).cast("string").alias("call_id"), "turn", F.col("text").alias("content"))
-    return calls, results
+    needs = m.where("role = 'user'").select("conv_id", F.col("turn").cast("string").alias("call_id"), (F.col("turn") - 2).cast("string").alias("needed")).distinct()
+    return calls, results, needs
 
 
 def chat_sql() -> str:
@@ -149,3 +184,15 @@ over as (select d.conv_id, d.call_id, null::bigint as level, null::bigint as cal
     from dated d left join first f using (conv_id, call_id) where d.at is null or (d.late and d.turn > f.turn))
 select * from linked union all select * from over
 """
+
+
+def levels_sql() -> str:
+    """chat_sql with the depth of dependency as level: the place of a call in its unbroken run of every second turn."""
+    return f"""
+with plain as ({chat_sql()}),
+asked as (select distinct conv_id, turn from conversations where role = 'user'),
+placed as (select *, turn - 2 * row_number() over (partition by conv_id, turn % 2 order by turn) as run from asked),
+deep as (select conv_id, turn as call_turn, row_number() over (partition by conv_id, turn % 2, run order by turn) - 1 as level from placed)
+select p.conv_id, p.call_id, d.level, p.call_turn, p.result_turn, p.status, p.problem, p.json
+from plain p left join deep d using (conv_id, call_turn)
+"""

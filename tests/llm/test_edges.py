@@ -245,6 +245,19 @@ def test_call_order(spark):
     assert {r.call_id: r.level for r in plain.collect()} == {"a": 5, "b": 1, "c": 2, "x": 7, "y": 8}
 
 
+def test_dependency_levels(spark):
+    calls = spark.createDataFrame([(1, "1", 1), (1, "3", 3), (1, "5", 5), (1, "9", 9), (2, "3", 3), (2, "1", 8), (3, "a", 1), (3, "b", 2), (3, "c", 3), (None, "1", 1), (4, None, 1)], "conv_id long, call_id string, turn long")
+    needs = [(1, "3", "1"), (1, "5", "3"), (1, "9", "7"), (2, "3", "1"), (3, "b", "c"), (3, "c", "b")]
+    want = {(1, "1"): 0, (1, "3"): 1, (1, "5"): 2, (1, "9"): 0, (2, "3"): 1, (2, "1"): 0, (3, "a"): 0, (3, "b"): None, (3, "c"): None, (None, "1"): 0, (4, None): 0}
+    for more in ([], [(1, "5", "1"), (3, "c", "a")]):  # one need each, then several
+        got = chat.dependency_levels(calls, spark.createDataFrame(needs + more, "conv_id long, call_id string, needed string"))
+        assert {(r.conv_id, r.call_id): r.level for r in got.collect()} == want
+    rows = [(9, t, "assistant" if t % 2 else "user", f"t{t}") for t in range(40) if t != 20]
+    c, r, n = chat.conversation_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {x.call_turn: x.level for x in chat.link_tools(c, r, chat.REPLY, n).where("call_turn is not null").collect()}
+    assert got == {t: t // 2 if t < 20 else t // 2 - 11 for t in range(0, 40, 2) if t != 20}
+
+
 def test_urls(spark):
     urls = ["http://a.example.net/en/1", "http://a.example.net/fr/1", "https://B.Example.com/de/x?y=1", "http://x.org/fr/", "http://x.org/en/", None, "no scheme", "http://net", "http://net/", "://h?q#f", "http://anet/"]
     rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumn("host", F.lit("clash"))
