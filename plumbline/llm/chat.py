@@ -6,7 +6,7 @@ hold any share of the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import stored
@@ -99,11 +99,13 @@ def _peeled(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def link_tools(calls: DataFrame, results: DataFrame, schemas: dict, needs: DataFrame | None = None) -> DataFrame:
-    """One row per call, and one per result without a call: conv_id, call_id, level, call_turn, result_turn, status, problem, json.
+    """One row per call, and one per result that links to no call: conv_id, call_id, level, call_turn, result_turn, status, problem, json.
 
     calls: conv_id, call_id, turn, tool, arguments (JSON text). results: conv_id, call_id, turn, content. Both meet by
-    (conv_id, call_id), nulls never; of several results, the first after the call links and later ones are "repeated".
-    status: linked, unanswered (no result), early (its only results stand before it), orphan, repeated. json is
+    (conv_id, call_id), nulls never; of several calls the first (by turn, then tool and arguments) is answered, by the
+    first result after it (by turn, then content). So every row of calls and of results comes out once, equal rows too.
+    status of a call: linked, unanswered (no result), early (its only results do not stand after it), repeated (not the
+    first). status of a result: orphan (no call), repeated (after the linked one), premature (not after its call). json is
     the call, its canonical arguments and its result. Arguments that break the schema keep their row, with problem set
     and, if they are no JSON, null arguments. level is the depth of dependency if needs is given (dependency_levels),
     else the turn. Empty tables give empty results.
@@ -112,24 +114,26 @@ def link_tools(calls: DataFrame, results: DataFrame, schemas: dict, needs: DataF
         calls = dependency_levels(calls, needs)
     elif "level" not in calls.columns:
         calls = calls.withColumn("level", F.col("turn").cast("long"))
-    c = calls.select("conv_id", "call_id", "level", F.col("turn").alias("call_turn"), "tool", "arguments")
-    r = results.select("conv_id", "call_id", F.col("turn").alias("result_turn"), "content")
     keys = ["conv_id", "call_id"]
-    when = c.groupBy(*keys).agg(F.min("call_turn").alias("at"))
-    dated = r.join(when, keys, "left").withColumn("late", F.col("result_turn") > F.col("at"))
-    first = dated.where("late").groupBy(*keys).agg(F.min(F.struct("result_turn", "content")).alias("f"))
-    early = dated.where("not late").groupBy(*keys).agg(F.lit(True).alias("early"))
-    linked = c.join(first, keys, "left").join(early, keys, "left").select(
-        *keys, "level", "call_turn", F.col("f.result_turn").alias("result_turn"), "tool", "arguments", F.col("f.content").alias("content"),
-        F.when(F.col("f").isNotNull(), "linked").when(F.col("early"), "early").otherwise("unanswered").alias("status"),
-    )
-    taken = linked.where("status = 'linked'").select(*keys, F.col("result_turn").alias("taken"))
     none = lambda kind: F.lit(None).cast(kind)
-    over = dated.join(taken, keys, "left").where("at is null or (late and result_turn > taken)").select(
-        *keys, none("long").alias("level"), none("long").alias("call_turn"), "result_turn", none("string").alias("tool"), none("string").alias("arguments"), "content",
-        F.when(F.col("at").isNull(), "orphan").otherwise("repeated").alias("status"),
+    c = calls.select(*keys, F.lit(0).alias("kind"), "turn", "level", "tool", "arguments", none("string").alias("content"))
+    r = results.select(*keys, F.lit(1).alias("kind"), "turn", none("long").alias("level"), none("string").alias("tool"), none("string").alias("arguments"), "content")
+    apart = F.col("conv_id").isNull() | F.col("call_id").isNull()  # these meet nobody, and are dealt out by what they hold
+    m = c.unionByName(r).withColumn("apart", F.when(apart, F.xxhash64("conv_id", "call_id", "turn", "arguments", "content")))
+    w = Window.partitionBy(*keys, "apart").orderBy("kind", F.asc_nulls_last("turn"), F.asc_nulls_last("tool"), F.asc_nulls_last("arguments"), F.asc_nulls_last("content"))
+    sofar, all_ = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    m = m.withColumns({"nth": F.row_number().over(w), "asked": F.first("kind").over(sofar) == 0, "at": F.first("turn").over(sofar)})
+    late = (F.col("kind") == 1) & F.col("asked") & F.coalesce(F.col("turn") > F.col("at"), F.lit(False))
+    m = m.withColumn("late", late).withColumns({"nth_late": F.count_if("late").over(sofar), "answer": F.first(F.when(F.col("late"), F.struct("turn", "content")), ignorenulls=True).over(all_), "replies": F.sum("kind").over(all_)})
+    call, answer = F.col("kind") == 0, F.col("answer")
+    links = call & (F.col("nth") == 1) & answer.isNotNull() & ~apart
+    status = F.when(apart, F.when(call, "unanswered").otherwise("orphan"))
+    status = status.when(call, F.when(F.col("nth") > 1, "repeated").when(links, "linked").when(F.col("replies") > 0, "early").otherwise("unanswered"))
+    status = status.when(~F.col("asked"), "orphan").when(F.col("late"), "repeated").otherwise("premature")
+    both = m.where(apart | call | ~F.col("late") | (F.col("nth_late") > 1)).select(
+        *keys, "level", F.when(call, F.col("turn")).alias("call_turn"), F.when(call, F.when(links, answer["turn"])).otherwise(F.col("turn")).alias("result_turn"), "tool", "arguments",
+        F.when(call, F.when(links, answer["content"])).otherwise(F.col("content")).alias("content"), status.alias("status"),
     )
-    both = linked.unionByName(over)
     canon = canonical_json(F.col("arguments"))
     body = F.concat(
         F.lit('{"arguments":'), F.coalesce(canon, F.lit("null")),
@@ -155,8 +159,7 @@ def conversation_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame,
     """calls, results and needs of plain conversations: a user turn t asks the tool `reply`, under the identifier t; an
     assistant turn t answers t-1; a call needs the call two turns before it. System turns are neither."""
     m = conversations.select("conv_id", "turn", "role", "text")
-    calls = m.where("role = 'user'").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
-    calls = calls.select(
+    calls = m.where("role = 'user'").select(
         "conv_id", F.col("turn").cast("string").alias("call_id"), "turn", F.lit("reply").alias("tool"),
         F.to_json(F.struct(F.col("turn").alias("turn"), F.col("text").alias("prompt"))).alias("arguments"),
     )

@@ -237,6 +237,20 @@ def test_chat(spark):
     assert chat.link_tools(calls.limit(0), results.limit(0), chat.REPLY).count() == 0
 
 
+def test_chat_keeps_every_row(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "user", None), (1, 1, "assistant", "y"), (1, 1, "assistant", "x"), (1, 1, "assistant", "x"), (2, 4, "assistant", "alone"), (None, 0, "user", "n"), (None, 1, "assistant", "n")]
+    calls, results, _ = chat.conversation_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = Counter((r.conv_id, r.call_turn, r.result_turn, r.status, r.json.split('"prompt":')[1][:3] if '"prompt":' in r.json else None, r.json.split('"result":')[1][:3]) for r in chat.link_tools(calls, results, chat.REPLY).collect())
+    assert got == Counter([
+        (1, 0, 1, "linked", '"a"', '"x"'), (1, 0, None, "repeated", '"a"', "nul"), (1, 0, None, "repeated", '"b"', "nul"), (1, 0, None, "repeated", None, "nul"),
+        (1, None, 1, "repeated", None, '"x"'), (1, None, 1, "repeated", None, '"y"'), (2, None, 4, "orphan", None, '"al'), (None, 0, None, "unanswered", '"n"', "nul"), (None, None, 1, "orphan", None, '"n"'),
+    ])
+    c = spark.createDataFrame([(1, "a", 3, "reply", "{}"), (1, "b", 3, "reply", "{}")], "conv_id long, call_id string, turn long, tool string, arguments string")
+    r = spark.createDataFrame([(1, "a", 2, "before"), (1, "a", 3, "beside"), (1, "a", None, "undated"), (1, "a", 5, "answer"), (1, "b", 1, "before")], "conv_id long, call_id string, turn long, content string")
+    got = sorted((x.call_id, x.status, x.json.split('"result":')[1].split(",")[0]) for x in chat.link_tools(c, r, chat.REPLY).collect())
+    assert got == [("a", "linked", '"answer"'), ("a", "premature", '"before"'), ("a", "premature", '"beside"'), ("a", "premature", '"undated"'), ("b", "early", "null"), ("b", "premature", '"before"')]
+
+
 def test_call_order(spark):
     calls = spark.createDataFrame([("a", 5), ("b", 1), ("c", 2), ("x", 7), ("y", 8)], "call_id string, turn long")
     needs = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y"), ("y", "x")], "call_id string, needed string")
