@@ -1,6 +1,6 @@
 """Licence scan: canonical digests of whole texts (and of single lines) joined to the digests of known licences.
 
-A text is brought to a canonical form (letter case, copyright lines, equivalent spellings, punctuation and blanks), its
+A text is brought to a canonical form (letter case, copyright notices, equivalent spellings, punctuation and blanks), its
 SHA-256 is taken, and the digest is hash-joined to the table of known licences. The known table has a fixed size and is
 broadcast; documents are not shuffled, only the few lines that hit are grouped by document.
 """
@@ -76,14 +76,19 @@ THIS SOFTWARE.""",
     ),
 ]
 
-_COPYRIGHT = r"^[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: What makes a notice: copyright before a sign, a year, a <placeholder> or "by", or a sign of its own.
+_MADE = r"(?:copyright[ \t:,]*(?:\(c\)|©|(?:19|20)[0-9]{2}|[<\[{]|by\b)|\(c\)[ \t:,]*(?:copyright|(?:19|20)[0-9]{2}|[<\[{])|©)"
+_GRANT = r"permission (?:is hereby granted|to use)"
+#: Notice lines, up to a grant on the same line; a notice inside a line if a grant follows it there; lines that only reserve rights.
+_NOTICE = rf"^[^a-z0-9\n]*{_MADE}[^\n]*?(?={_GRANT}|$)|{_MADE}[^\n]{{0,500}}?(?={_GRANT})|^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
+_COPYRIGHT = r"^[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"  # of the SQL alone, which drops more: all lines that begin so
 _NOT_WORD = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F ‐-―‘-‟…]+"
 _MARK = r"(licenc|acknowledgement|authoris|favour|fulfil|organis|recognis|whilst)"
 
 
 def canonical(text: Column) -> Column:
     """Canonical form with one line for each line of the text; blanks between words are single."""
-    t = F.regexp_replace(fold_ascii(text), f"(?md){_COPYRIGHT}", "")
+    t = F.regexp_replace(fold_ascii(text), f"(?md){_NOTICE}", "")
     t = F.regexp_replace(t, _NOT_WORD, " ")
     s = t
     for other, word in SPELLINGS.items():

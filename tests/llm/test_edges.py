@@ -224,6 +224,33 @@ def test_licences(spark, docs):
     assert licenses.scan_licences(docs, known).count() == len(ROWS) and licenses.scan_licences(empty(spark), known).count() == 0
 
 
+def test_licences_in_other_lines(spark):
+    import textwrap
+
+    rows, want = [], {}
+    for name, text in licenses.KNOWN:
+        if len(text) < 100:
+            continue
+        head, *body = text.split("\n")
+        notice = ["Copyright (c) 2020-2024 Jane Doe. All rights reserved."] if body[0].startswith("Copyright") else []
+        body = body[len(notice) :]
+        at = " ".join(body).index("COPYRIGHT HOLDERS") if name == "MIT" else 50
+        forms = ["\n".join([head, *notice, *textwrap.wrap(" ".join(body), w)]) for w in (40, 60, 72, 80, 99999)]
+        forms += [" ".join([head, *notice, *body]), "\n".join([head, *notice, " ".join(body)[:at], " ".join(body)[at:]])]
+        forms += ["\n".join([head, "All rights reserved.", n, *body]) for n in ("© Someone", "Copyright 1999 A", "Copyright by B", "(c) 2001 C", "# Copyright (C) [year] [name]") if notice]
+        for f in forms:
+            rows.append((len(rows), f))
+            want[len(want)] = name
+        for f in ("\n".join([head, *body[:-1]]), text.replace("LIABLE", "LIKELY")):  # with words lost or changed
+            rows.append((len(rows), f))
+            want[len(want)] = None
+    lines = ["copyright holders may", "(c) the third item", "All rights reserved by nobody"]
+    rows += [(900 + i, f"Text\n{x}\nMore") for i, x in enumerate(lines)]
+    got = licenses.scan_licences(spark.createDataFrame(rows, SCHEMA), licenses.known_licences(spark)).collect()
+    assert {r.doc_id: r.license for r in got if r.doc_id < 900} == want
+    assert len({r.digest for r in got if r.doc_id >= 900}) == 3  # text that is no notice stays
+
+
 def test_chat(spark):
     calls = spark.createDataFrame(
         [(1, "a", 1, "reply", '{"turn":1,"prompt":"x"}'), (1, "b", 3, "reply", '{"prompt":5,"turn":1}'), (1, "c", 5, "reply", "no json"), (1, "d", 6, "other", "{}"), (2, None, 1, "reply", None)],
