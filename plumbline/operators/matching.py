@@ -132,19 +132,27 @@ def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def duplicate_pairs(items: DataFrame, threshold: float = 0.7, keys: tuple[str, ...] = ("discipline", "day")) -> DataFrame:
     """(a, b, similarity) of items(id, seq, text, keys) that share the blocking keys and whose words overlap enough.
 
-    Inside a block pairs meet through their words, and a pair needs a common one."""
+    Inside a block pairs meet through the rarest words of each: sets of Jaccard similarity t share at least t * n words
+    with either, so that one of the first n - t * n + 1 words, rarest first, is common to both. A pair needs a common word.
+    """
     w = items.select("id", *keys, words(F.col("text")).alias("ws")).withColumn("n", F.size("ws"))
     flat = w.select("id", "n", *keys, F.explode("ws").alias("w"))
-    a, b = flat.alias("a"), flat.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*keys, "w")]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
+    seen = flat.groupBy("w").agg(F.count("*").alias("f"))
+    ranked = flat.join(seen, "w").groupBy("id", "n", *keys).agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("s"))
+    length = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+    head = ranked.select("id", "n", *keys, F.explode(F.slice("s", F.lit(1), F.greatest(F.least(length, F.col("n")), F.lit(1)))).alias("x")).select("id", "n", *keys, "x.w")
+    a, b = head.alias("a"), head.alias("b")
+    cond = F.col("a.w") == F.col("b.w")
+    for k in keys:
+        cond = cond & (F.col(f"a.{k}") == F.col(f"b.{k}"))
     # sets of sizes n <= m can reach the threshold only if n >= threshold * m
-    sized = (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold) & (F.col("a.id") < F.col("b.id"))
-    common = a.join(b, cond & sized).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count("*").alias("c"))
+    sized = (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold - 1e-9) & (F.col("a.id") < F.col("b.id"))
+    met = a.join(b, cond & sized).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    sets = w.select("id", "ws", "n")
+    both = met.join(sets.select(F.col("id").alias("a"), F.col("ws").alias("wa"), F.col("n").alias("na")), "a").join(sets.select(F.col("id").alias("b"), F.col("ws").alias("wb"), F.col("n").alias("nb")), "b")
+    common = both.withColumn("c", F.size(F.array_intersect("wa", "wb")))
     sim = F.col("c").cast("double") / (F.col("na") + F.col("nb") - F.col("c"))
-    return common.where(sim >= threshold).select("a", "b", rounded(sim, 3).alias("similarity"))
+    return common.where((F.col("c") > 0) & (sim >= threshold)).select("a", "b", rounded(sim, 3).alias("similarity"))
 
 
 def duplicate_groups(pairs: DataFrame) -> DataFrame:

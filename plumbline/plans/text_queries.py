@@ -123,6 +123,12 @@ def _pairs(s, d):
     return M.duplicate_pairs(t, 0.5)
 
 
+def _all_pairs(s, d):
+    """Over the turns of every role, each distinct text once, under the first (conv_id, turn) that has it."""
+    t = B.table(s, d, "conversations").where("text is not null").groupBy("text").agg(F.min(F.struct("conv_id", "turn")).alias("id"))
+    return M.duplicate_pairs(t, 0.5, ())
+
+
 QUERIES = {
     "status_extract": lambda s, d: _reports(s, d).select("activity_id", T.reported_status(F.col("text")).alias("status")),
     "location_extract": lambda s, d: _reports(s, d).select("activity_id", T.location(F.col("text")).alias("location")),
@@ -136,6 +142,8 @@ QUERIES = {
     "threshold_sweep": lambda s, d: M.threshold_sweep(_scored(s, d), SWEEP),
     "token_jaccard_topk": _jaccard,
     "dedupe_pairs": _pairs,
+    "dedupe_pairs_all": _all_pairs,
+    "dedupe_groups_all": lambda s, d: M.duplicate_groups(_all_pairs(s, d)),
     "dedupe_groups": lambda s, d: M.duplicate_groups(_pairs(s, d)),
     "fuzzy_ratio": _ratio,
     "quality_issues": _quality,

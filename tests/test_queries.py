@@ -31,3 +31,15 @@ def test_query(spark, con, name):
     assert sorted(at) == cols
     want = sorted((tuple(norm(r[at.index(c)]) for c in cols) for r in res.fetchall()), key=repr)
     assert got == want
+
+
+def test_duplicates_of_every_role(spark):
+    import re
+
+    first = {}
+    for c, t, x in duckdb.sql(f"select conv_id, turn, text from '{SF}/conversations.parquet' where text is not null order by 1, 2").fetchall():
+        first.setdefault(x, (c, t))
+    sets = sorted((at, set(re.findall("[a-z0-9]+", x.lower()))) for x, at in first.items())
+    want = {(i, j) for k, (i, x) in enumerate(sets) for j, y in sets[k + 1 :] if x & y and len(x & y) / len(x | y) >= 0.5}
+    got = registry.QUERIES["dedupe_pairs_all"](spark, SF).collect()
+    assert len(got) == len(want) and {(tuple(r.a), tuple(r.b)) for r in got} == want
