@@ -53,7 +53,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_and_decode(read(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json"))
+    return bpe.encode_and_decode(read(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json"), steady=True)
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
