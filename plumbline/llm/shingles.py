@@ -1,41 +1,25 @@
 """Word shingles as sets of 64-bit hashes, for a list of texts at a time, with numpy.
 
 Words are what stands between the blanks 0x20 and 0x09-0x0D after A-Z are lower-cased. A shingle is `width` words in a
-row; a text of fewer words is one shingle, a text without words has none.
+row; a text of fewer words is one shingle, a text without words has none. A word of up to 16 bytes is hashed as two
+64-bit numbers through keyed bijections (no two words of up to 8 bytes and one length collide), a longer one by keyed
+BLAKE2b; two given shingles have one hash with a probability of about 2**-64.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+import hashlib
 
 import numpy as np
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
-
-
-@lru_cache(maxsize=1)
-def _bytes() -> np.ndarray:
-    """A random number for each byte; capital letters have those of the small ones."""
-    t = np.random.Generator(np.random.PCG64(20240607)).integers(0, 1 << 64, 256, dtype=np.uint64) | U(1)
-    t[ord("A") : ord("Z") + 1] = t[ord("a") : ord("z") + 1]
-    return t
-
-
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get(0)
-    if have is None or len(have[0]) < n:
-        n = max(n, 1 << 20)
-        up, down = np.full(n, U(_BASE)), np.full(n, U(_INVERSE))
-        up[0] = down[0] = U(1)
-        have = _powers[0] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
-    return have
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k bytes of eight
+_KEY = b"plumbline.llm.shingles"
+_K0, _K1, _K2 = (U(int.from_bytes(hashlib.blake2b(_KEY, digest_size=8, salt=bytes([i])).digest(), "little") | 1) for i in range(3))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,13 +32,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, place of each text's first word, one more at the end)."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    buf = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    buf = np.frombuffer(b" ".join(raw) + b" " * 17, np.uint8)
     blank = _BLANK[buf]
     before = np.concatenate(([True], blank[:-1]))
     start, end = np.flatnonzero(~blank & before), np.flatnonzero(blank & ~before)
-    up, down = _power_table(len(buf))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_bytes()[buf] * up[: len(buf)], dtype=np.uint64)))
-    h = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+    size = end - start
+    low = _LOWER[buf]
+    eight = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))  # the eight bytes from each place on
+    first = eight[start] & _KEEP[np.minimum(size, 8)]
+    second = eight[start + 8] & _KEEP[np.clip(size - 8, 0, 8)]
+    h = mix(mix(first ^ _K0) + second * _K1 + size.astype(np.uint64) * _K2)
+    for i in np.flatnonzero(size > 16):
+        h[i] = int.from_bytes(hashlib.blake2b(low[start[i] : end[i]].tobytes(), digest_size=8, key=_KEY).digest(), "little")
     heads = np.cumsum([0] + [len(r) + 1 for r in raw])
     return h, np.searchsorted(start, heads)
 
