@@ -30,40 +30,28 @@ def exact_dedup(
     bytes differ are told apart, whatever content_hash gives. An empty table gives an empty result; other columns of
     docs are ignored, whatever their names.
     """
-    spark = docs.sparkSession
     norm = text_or_empty(text_col)
     norm = normalise(norm) if normalise else norm
     sign = 1 if keep == "largest" else -1
-    base = docs.select(F.col(id_col).alias("id"), norm.alias("t")).withColumn("uid", F.monotonically_increasing_id())
-    hashed = base.withColumn("h", content_hash("t"))
-    keys = stored(hashed.select("id", "uid", "h", F.unhex(F.sha2("t", 256)).alias("sha")), "dedup-keys")
+    base = docs.select(F.col(id_col).alias("id"), norm.alias("t"))
+    # rows are numbered once, in a stored table; uid only tells rows apart that repeat id and text
+    keys = stored(base.select("id", F.monotonically_increasing_id().alias("uid"), content_hash("t").alias("h"), F.unhex(F.sha2("t", 256)).alias("sha")), "dedup-keys")
     # the largest (rank, -uid) of a group stays; a null id comes last either way
     rank = F.struct((F.lit(sign) * F.col("id")).alias("r"), (-F.col("uid")).alias("u"), F.col("id").alias("id"))
-    groups = keys.groupBy("h").agg(F.count("*").alias("n"), F.max(rank).alias("top"))
-    groups = groups.select("h", "n", F.col("top.id").alias("keep_id"), (-F.col("top.u")).alias("keep_uid"))
-    many = groups.where("n > 1")
-    texts = stored(hashed.select("uid", "h", "t").join(many.select("h", "keep_uid"), "h"), "dedup-texts")
-    first = texts.where("uid = keep_uid").select("h", F.col("t").alias("first"))
-    clash = texts.join(first, "h").where("t <> first").select("h", "uid", "t")
-    clash = stored(clash, "dedup-clashes")
-    hit = not clash.isEmpty()
-    out = keys.join(groups, "h")
-    if hit:  # hashes that agree over different bytes: these rows group by the text itself
-        rows = clash.join(keys.select("uid", "id"), "uid")
-        by_text = rows.groupBy("h", "t").agg(F.count("*").alias("c_n"), F.max(rank).alias("top"))
-        by_text = by_text.select("h", "t", "c_n", F.col("top.id").alias("c_id"), (-F.col("top.u")).alias("c_uid"))
-        own = rows.select("h", "t", "uid").join(by_text, ["h", "t"]).select("uid", "c_n", "c_id", "c_uid")
-        lost = clash.groupBy("h").agg(F.count("*").alias("lost"))
-        out = out.join(lost, "h", "left").join(own, "uid", "left")
-        mine = F.col("c_n").isNotNull()
-        out = out.withColumns(
-            {
-                "keep_id": F.when(mine, F.col("c_id")).otherwise(F.col("keep_id")),
-                "keep_uid": F.coalesce("c_uid", "keep_uid"),
-                "n": F.coalesce("c_n", F.col("n") - F.coalesce("lost", F.lit(0))),
-            }
-        )
-    discard(texts)
+    top = [F.count("*").alias("n"), F.max(rank).alias("top")]
+    named = ["n", F.col("top.id").alias("keep_id"), (-F.col("top.u")).alias("keep_uid")]
+    # groups are stored before rows meet them, so that Spark can split the rows of a large one
+    groups = stored(keys.groupBy("h").agg(*top).select("h", *named), "dedup-groups")
+    texts = stored(base.select("id", content_hash("t").alias("h"), "t").join(groups.where("n > 1").select("h", "keep_id"), "h"), "dedup-texts")
+    first = stored(texts.where("id <=> keep_id").groupBy("h").agg(F.min("t").alias("first")), "dedup-first")
+    clash = stored(texts.join(first, "h").where("t <> first").select("h", F.unhex(F.sha2("t", 256)).alias("sha")).distinct(), "dedup-clashes")
+    discard(texts, first)
+    if clash.isEmpty():
+        out = keys.join(groups, "h")
+    else:  # hashes that agree over different bytes: these rows group by their text, known by its SHA-256
+        keys = stored(keys.join(clash.withColumn("other", F.col("sha")), ["h", "sha"], "left"), "dedup-keys")
+        groups = stored(keys.groupBy("h", "other").agg(*top).select("h", F.col("other").alias("of"), *named), "dedup-groups")
+        out = keys.join(groups, "h").where("other <=> of")
     return out.select(
         F.col("id").alias(id_col),
         "keep_id",
