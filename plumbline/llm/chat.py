@@ -20,36 +20,27 @@ def canonical_json(text: Column) -> Column:
     return F.to_json(F.try_parse_json(text))
 
 
-def argument_problem(tool: Column, arguments: Column, schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
-    """Null if arguments (JSON text) fit the tool's schema {argument: (type, required)}, else what is wrong first."""
+def argument_problem(tool: Column, arguments: Column, schemas: dict[str, dict[str, tuple]]) -> Column:
+    """Null if arguments (JSON text) fit the tool's schema {argument: (type, required) or (type, required, characters at
+    most)}, else what is wrong first."""
     parsed = F.try_parse_json(arguments)
     out = F.lit("unknown tool")
     for name, schema in schemas.items():
         keys = F.coalesce(F.json_object_keys(arguments), F.array().cast("array<string>"))
         checks = [F.when(F.json_object_keys(arguments).isNull(), "no object")]
         checks.append(F.when(F.size(F.array_except(keys, F.array(*map(F.lit, schema)))) > 0, "extra argument"))
-        for arg, (kind, required) in schema.items():
+        for arg, (kind, required, *most) in schema.items():
             have = F.schema_of_variant(F.variant_get(parsed, f"$.{arg}", "variant"))
             there = F.array_contains(keys, arg)
             if required:
                 checks.append(F.when(~there, f"{arg} is missing"))
             checks.append(F.when(there & (F.coalesce(have, F.lit("VOID")) != TYPES[kind]), f"{arg} is no {kind}"))
+            if most:
+                checks.append(F.when(F.char_length(F.try_variant_get(parsed, f"$.{arg}", "string")) > most[0], f"{arg} is too long"))
         out = F.when(tool == name, F.coalesce(*checks)).otherwise(out)
     return out
 
 
-def call_levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
-    """calls with level: the turn where every call is later than what it needs (turns are an order already), else
-    dependency_levels. calls has call_id (with conv_id, if there are conversations) and turn; needs has the same keys
-    and needed."""
-    keys = _keys(calls)
-    at = calls.select(*keys, "turn")
-    edges = needs.join(at, keys).join(at.select(*keys[:-1], F.col("call_id").alias("needed"), F.col("turn").alias("before")), [*keys[:-1], "needed"])
-    if edges.where("before >= turn").isEmpty():
-        return calls.withColumn("level", F.col("turn").cast("long"))
-    return dependency_levels(calls, needs)
-
-
 def _keys(calls: DataFrame) -> list[str]:
     return [k for k in ("conv_id", "call_id") if k in calls.columns]
 
@@ -152,7 +143,7 @@ def _quoted(c: str) -> Column:
 
 
 # The one tool of the `conversations` table, whose user turns are calls and assistant turns results.
-REPLY = {"reply": {"prompt": ("string", True), "turn": ("integer", True)}}
+REPLY = {"reply": {"prompt": ("string", True, 300), "turn": ("integer", True)}}
 
 
 def conversation_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -177,7 +168,7 @@ dated as (select r.*, c.turn as at, r.turn > c.turn as late from results r left
 first as (select conv_id, call_id, min(turn) as turn, min({t: turn, x: text}).x as content from dated where late group by 1, 2),
 linked as (select c.conv_id, c.call_id, c.turn as level, c.turn as call_turn, f.turn as result_turn,
     case when f.turn is not null then 'linked' else 'unanswered' end as status,
-    case when c.text is null then 'prompt is missing' end as problem,
+    case when c.text is null then 'prompt is missing' when length(c.text) > 300 then 'prompt is too long' end as problem,
     '{"arguments":{' || coalesce('"prompt":' || cast(to_json(c.text) as varchar) || ',', '') || '"turn":' || c.turn || '},"call_id":"' || c.call_id || '","result":'
       || coalesce(cast(to_json(f.content) as varchar), 'null') || ',"tool":"reply"}' as json
     from calls c left join first f using (conv_id, call_id)),
