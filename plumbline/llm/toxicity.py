@@ -1,7 +1,6 @@
 """Toxicity by a classifier chain: categories are predicted one after another, each model seeing the earlier ones' probabilities.
 
-Models are L1 logistic regressions over the words
-of a text, fitted by Spark ML on a bounded sample of labelled documents.
+Models are L1 logistic regressions over the words of a text, fitted by Spark ML on a bounded sample of labelled documents.
 While fitting, earlier categories enter as out-of-fold probabilities, so that a later model does not lean on answers
 its predecessors have learned by heart. Scoring is a projection over all documents and whole texts, without a shuffle.
 """
@@ -20,7 +19,6 @@ from plumbline.llm.shared import text_or_empty
 
 LABEL_SAMPLE = 8_000  # labelled documents that the models are fitted on, at most about this many
 FOLDS = 3
-VOCABULARY = 20_000  # words that are features: the most frequent of the sample, by documents
 PARTITIONS = 4  # of the bounded sample: gradients then go to the driver without a shuffle
 PENALTY = 0.001
 
@@ -89,7 +87,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
         rows.unpersist()
         return ToxicityChain(None, [(c, None, 0.0) for c in categories], threshold)
     least = 2 if rows.count() > 10 else 1
-    vocabulary = CountVectorizer(inputCol="__w", outputCol="__f0", vocabSize=VOCABULARY, minDF=least, binary=True).fit(rows)
+    # all words that documents of the sample share are features: the bound on rows bounds them
+    vocabulary = CountVectorizer(inputCol="__w", outputCol="__f0", vocabSize=(1 << 31) - 1, minDF=least, binary=True).fit(rows)
     rows = vocabulary.transform(rows).drop("__w").cache()
     held.append(rows)
     for k, name in enumerate(categories):
