@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.shared import fold_ascii, text_or_empty
 
 LABEL_SAMPLE = 20_000  # labelled addresses that the trees are fitted on, at most about this many
+FOLDS = 3  # of the sample, for the block rates of suffixes
 FEATURES = ["length", "host_length", "path_length", "labels", "depth", "digit_ratio", "entropy", "params", "hyphens", "fragment", "secure", "extension", "suffix_rate"]
 
 
@@ -96,13 +97,24 @@ def fit(labelled: DataFrame, label_col: str = "block", sample: int = LABEL_SAMPL
         return UrlModel(None, None, 1.0 if n and ones == n else 0.0)
     if n > sample:
         rows = rows.where(F.pmod(F.xxhash64("host", "path", F.lit(seed)), F.lit(1 << 30)) < F.lit(int(sample / n * (1 << 30))))
-    rows = rows.withColumn("y", F.col(label_col).cast("double")).select("suffix", "y", *FEATURES[:-1]).cache()
+    rows = rows.withColumn("y", F.col(label_col).cast("double"))
+    rows = rows.select("suffix", "y", F.pmod(F.xxhash64("host", "path", F.lit(seed + 1)), F.lit(FOLDS)).alias("fold"), *FEATURES[:-1]).cache()
     prior = rows.agg(F.avg("y")).first()[0]
     if prior in (None, 0.0, 1.0):
+        rows.unpersist()
         return UrlModel(None, None, float(prior or 0.0))
-    rates = rows.groupBy("suffix").agg(((F.sum("y") + prior * 2) / (F.count("*") + 2)).alias("suffix_rate"))
-    rates = rates.sparkSession.createDataFrame(rates.collect(), rates.schema)  # no more rows than the sample
-    data = VectorAssembler(inputCols=FEATURES, outputCol="f").transform(rows.join(F.broadcast(rates), "suffix"))
+    rate = lambda y, n: (y + prior * 2) / (n + 2)
+    folds = rows.groupBy("suffix", "fold").agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect()  # no more rows than the sample
+    total: dict[str, tuple[float, int]] = {}
+    for r in folds:
+        y, n = total.get(r.suffix, (0.0, 0))
+        total[r.suffix] = y + r.y, n + r.n
+    spark = rows.sparkSession
+    rates = spark.createDataFrame([(s, rate(*t)) for s, t in total.items()], "suffix string, suffix_rate double")
+    # the trees see, of each row's suffix, the rate in the other folds: its own label is not among what it is told
+    told = [(r.suffix, r.fold, rate(total[r.suffix][0] - r.y, total[r.suffix][1] - r.n)) for r in folds]
+    told = spark.createDataFrame(told, "suffix string, fold long, suffix_rate double")
+    data = VectorAssembler(inputCols=FEATURES, outputCol="f").transform(rows.join(F.broadcast(told), ["suffix", "fold"]))
     gbt = GBTClassifier(featuresCol="f", labelCol="y", maxIter=trees, maxDepth=depth, seed=seed, stepSize=0.3)
     model = gbt.fit(data.select("f", "y"))
     rows.unpersist()
