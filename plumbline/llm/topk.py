@@ -23,7 +23,7 @@ LONG = 2**63 - 1
 
 
 def whole_numbers(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """(id, v array<bigint>, norm) with v = floor(scale * x); rows with a null vector or a null or non-finite component go."""
+    """(id, v array<bigint>, norm) with v = floor(scale * x); rows with a null id, a null vector or a null or non-finite component go."""
     x = F.col(vec_col)
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     v = F.transform(x, lambda c: F.floor(F.lit(scale) * c.cast("double")).cast("long"))
@@ -157,14 +157,17 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFr
         return blocks.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     # first pass: the longest candidates give each query its k-th best so far
-    pairs = asked.withColumn("chunk", F.lit(first)).join(blocks, "chunk").withColumn("floors", F.lit(None).cast("binary"))
+    pairs = asked.withColumn("chunk", F.explode(F.array(F.lit(first)))).join(blocks, "chunk").withColumn("floors", F.lit(None).cast("binary"))
     begun = stored(pairs.mapInArrow(scan, kind), "top-first")
     at_k = begun.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query_id", F.col("score").alias("floor"))
     floors = _with_floors(asked, at_k)
-    # every other block: lengths alone exclude a block whose longest vector can't reach any query's threshold
-    rest = floors.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(blocks.agg(F.max("chunk")).first()[0]))))
-    rest = rest.where(F.col("chunk") != first).join(blocks, "chunk")
+    # every other block: lengths alone exclude a block whose longest vector can't reach any query's threshold; only blocks'
+    # numbers and lengths meet for that, vectors follow where a pair is left
+    floors, lengths = stored(floors, "top-floors"), blocks.groupBy("chunk").agg(F.max("norm").alias("norm"))
+    rest = floors.select("block", "q_norm", "least", F.explode(F.sequence(F.lit(0), F.lit(blocks.agg(F.max("chunk")).first()[0]))).alias("chunk"))
+    rest = rest.where(F.col("chunk") != first).join(lengths, "chunk")
     rest = rest.where((F.col("q_norm") * F.col("norm") * (1 + 1e-6) + 1 >= F.col("least")) | F.col("least").isNull())
+    rest = rest.select("block", "chunk").join(floors, "block").join(blocks, "chunk")
     found = rest.mapInArrow(scan, kind).unionByName(begun)
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
