@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import bpe, catalog, chat, exact_dedup, jaccard, licenses, packing, sharding, topk, toxicity, url_filter
 
 LONG = " ".join(f"word{i}" for i in range(30_000))
-ROWS = [(1, "Same Text"), (2, "same text"), (3, None), (4, ""), (5, "  "), (None, "no id"), (7, LONG), (7, LONG), (8, "same text"), (9, "É é Ünï"), (10, "é é ünï"), (11, "x  y\n\nz "), (12, "a<|endoftext|>b")]
+ROWS = [(1, "Same Text"), (2, "same text"), (3, None), (4, ""), (5, "  "), (None, "no id"), (7, LONG), (7, LONG), (8, "same text"), (9, "É é Ünï"), (10, "é é ünï"), (11, "x  y\n\nz "), (12, "a<|endoftext|>b"), (13, "a\x1cb\x85c\u2003d\u200be\ufefff <|startoftext|> Ａ ﬁ")]
 SCHEMA = "doc_id long, text string"
 
 
@@ -108,9 +108,9 @@ def brute(rows, width, percent):
     return sorted(((d, len(s), least.get(top(i)) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))), key=repr)
 
 
-@pytest.mark.parametrize(("width", "percent", "short"), [(3, 90, 64), (3, 90, 3), (5, 80, 3)])
-def test_jaccard(spark, docs, monkeypatch, width, percent, short):
-    monkeypatch.setattr(jaccard, "LIST", short)
+@pytest.mark.parametrize(("width", "percent", "stars"), [(3, 90, 3), (3, 90, 1), (5, 80, 1)])
+def test_jaccard(spark, docs, monkeypatch, width, percent, stars):
+    monkeypatch.setattr(jaccard, "STARS", stars)
     rnd = random.Random(width * percent)
     rows = list(ROWS)
     for k in range(60):  # near copies of one text
@@ -139,14 +139,14 @@ def test_subsets_join_light_sets(spark):
     assert got == {(1, 3)}  # 18 of 19; 1 and 2 share 17 of 19
 
 
-def test_bpe(spark, docs, paths):
+def test_bpe(spark, docs, paths, monkeypatch):
     from tokenizers import Tokenizer
 
     path = paths("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    for bound in (3, 300_000):
-        bpe.frequent_words.__defaults__ = ("text", bound)
-        got = bpe.encode_and_decode(docs, path, texts=True).collect()
+    for chars in (100, bpe.BLOCK_CHARS):
+        monkeypatch.setattr(bpe, "BLOCK_CHARS", chars)
+        got = bpe.encode_and_decode(docs.repartition(3), path, texts=True).collect()
         assert len(got) == len(ROWS)
         by = defaultdict(list)
         for r in got:
@@ -281,9 +281,17 @@ def test_chat_keeps_every_row(spark):
 def test_call_order(spark):
     calls = spark.createDataFrame([("a", 5), ("b", 1), ("c", 2), ("x", 7), ("y", 8)], "call_id string, turn long")
     needs = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y"), ("y", "x")], "call_id string, needed string")
-    assert {r.call_id: r.level for r in chat.call_levels(calls, needs).collect()} == {"a": 0, "b": 1, "c": 2, "x": None, "y": None}
-    plain = chat.call_levels(calls, needs.where("call_id = 'zz'"))
-    assert {r.call_id: r.level for r in plain.collect()} == {"a": 5, "b": 1, "c": 2, "x": 7, "y": 8}
+    assert {r.call_id: r.level for r in chat.dependency_levels(calls, needs).collect()} == {"a": 0, "b": 1, "c": 2, "x": None, "y": None}
+    plain = chat.dependency_levels(calls, needs.where("call_id = 'zz'"))
+    assert {r.call_id: r.level for r in plain.collect()} == {"a": 0, "b": 0, "c": 0, "x": 0, "y": 0}
+
+
+def test_argument_lengths(spark):
+    schemas = {"t": {"q": ("string", True, 3), "n": ("integer", False)}}
+    rows = [(1, '{"q":"abc"}', None), (2, '{"q":"abcd"}', "q is too long"), (3, '{"q":"éèê","n":1}', None), (4, '{"n":1}', "q is missing"), (5, '{"q":null}', "q is no string"), (6, '{"q":"a","z":1}', "extra argument"), (7, "[1]", "no object"), (8, None, "no object")]
+    df = spark.createDataFrame(rows, "i long, a string, want string")
+    got = df.select("i", "want", chat.argument_problem(F.lit("t"), F.col("a"), schemas).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
 
 
 def test_dependency_levels(spark):
@@ -334,3 +342,68 @@ def test_toxicity(spark, docs):
     assert toxicity.judge(empty(spark), chain).count() == 0
     none = toxicity.fit_chain(d, lab.limit(0), ["low_quality", "toxic"])
     assert not any(r.toxic for r in toxicity.judge(docs, none).collect())
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word.upper()), (4, "12345678 abcdefghi x"), (5, "12345678 abcdefghj x")]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, SCHEMA), 3, 90).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+def test_drop_near_copies(spark, docs):
+    far = " ".join(f"u{i}" for i in range(60))
+    near = far + " more"
+    rows = [(5, far), (3, near), (3, "quite another text of six words"), (3, near), (None, far), (9, None), (9, None), (8, ""), (2, "quite another text of six words")]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("row", F.lit(1)).withColumn("d", F.lit("x")).withColumn("id", F.lit(2)).withColumn("__gone", F.lit(0))
+    got = jaccard.drop_near_copies(df)
+    assert got.columns == df.columns
+    # one of the rows (3, near) stays for its group, (2, ...) for the other; empty texts and null ids stay
+    want = [(2, rows[-1][1]), (3, near), (8, ""), (9, None), (9, None), (None, far)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert jaccard.drop_near_copies(empty(spark)).count() == 0 and jaccard.drop_near_copies(docs).columns == docs.columns
+
+
+def test_groups_of_near_copies_meet_in_stars(spark):
+    """Two groups of many near copies with a common half, and chains that no hub reaches."""
+    rnd = random.Random(8)
+    rows = []
+    for g in range(2):
+        base = [f"c{i}" for i in range(30)] + [f"g{g}x{i}" for i in range(40)]
+        for k in range(150):
+            w = list(base)
+            for _ in range(rnd.choice([0, 1, 1, 2, 3])):
+                w[rnd.randrange(70)] = f"e{g}_{rnd.randrange(30)}"
+            rows.append((1000 * g + k, " ".join(w)))
+    for k in range(25):
+        rows.append((5000 + k, " ".join(f"h{i}" for i in range(k, k + 60))))
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, SCHEMA), 3, 90).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows, 3, 90)
+
+
+def test_toxicity_chain_by_hand(spark, docs):
+    """Scores are those of the models' formulas over words, each link fed with the probabilities before it."""
+    words = ["alpha", "beta", "gamma", "delta", "vile", "rotten"]
+    rnd = random.Random(7)
+    rows = [(i, " ".join([rnd.choice(words[:4]) for _ in range(6)] + ["vile"] * (i % 3 == 0) + ["rotten"] * (i % 4 == 0))) for i in range(120)]
+    labels = [(i, int(i % 4 == 0), int(i % 3 == 0)) for i in range(120)]
+    chain = toxicity.fit_chain(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, low_quality int, toxic int"), ["low_quality", "toxic"], penalty=0.01)
+    at = {w: k for k, w in enumerate(chain.vocabulary.vocabulary)}
+    assert set(at) == set(words)
+    for r in toxicity.judge(spark.createDataFrame(rows, SCHEMA).unionByName(docs.select("doc_id", "text")), chain).collect():
+        text = dict(rows).get(r.doc_id) if r.doc_id not in dict(ROWS) else None
+        if text is None:
+            continue
+        x = np.zeros(len(at))
+        for w in set(text.split()):
+            x[at[w]] = 1
+        given = []
+        for name, model, _ in chain.links:
+            z = float(model.coefficients.toArray() @ np.concatenate((x, given)) + model.intercept)
+            given.append(1 / (1 + np.exp(-z)))
+            assert abs(r[f"p_{name}"] - given[-1]) < 1e-9
+        assert r.toxic == (given[-1] >= chain.threshold)
+    out = {r.doc_id: r.toxic for r in toxicity.judge(spark.createDataFrame(rows, SCHEMA), chain).collect()}
+    assert out == {i: i % 3 == 0 for i in range(120)}
