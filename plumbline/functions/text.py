@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,29 +41,71 @@ STATUS_PHRASES = {
     "cannot be done": "blocked",
     "found faulty": "blocked",
 }
-# Forms of a word that name one type of work.
+# Words (and one phrase, which comes first of all) and the type of work that they name.
 WORK_WORDS = {
-    "erection": "erect erected erection erecting",
-    "welding": "weld welded welding",
-    "installation": "install installed installing installation",
-    "testing": "test tested testing",
-    "commissioning": "commission commissioned commissioning",
-    "excavation": "excavate excavated excavation",
-    "concreting": "concrete concreting pour poured pouring",
-    "backfilling": "backfill backfilled backfilling",
-    "insulation": "insulate insulated insulation",
-    "hydrotest": "hydrotest hydrotesting hydrotested",
-    "cable_pulling": "pull pulled pulling",
-    "termination": "terminate terminated termination",
-    "alignment": "align aligned alignment",
-    "fabrication": "fabricate fabricated fabrication",
-    "inspection": "inspect inspected inspection",
-    "calibration": "calibrate calibrated calibration",
-    "painting": "paint painted painting",
+    "erect": "erection",
+    "erected": "erection",
+    "erection": "erection",
+    "erecting": "erection",
+    "weld": "welding",
+    "welded": "welding",
+    "welding": "welding",
+    "install": "installation",
+    "installed": "installation",
+    "installing": "installation",
+    "installation": "installation",
+    "test": "testing",
+    "tested": "testing",
+    "testing": "testing",
+    "commission": "commissioning",
+    "commissioned": "commissioning",
+    "commissioning": "commissioning",
+    "excavate": "excavation",
+    "excavated": "excavation",
+    "excavation": "excavation",
+    "concrete": "concreting",
+    "concreting": "concreting",
+    "pour": "concreting",
+    "poured": "concreting",
+    "pouring": "concreting",
+    "backfill": "backfilling",
+    "backfilled": "backfilling",
+    "backfilling": "backfilling",
+    "insulate": "insulation",
+    "insulated": "insulation",
+    "insulation": "insulation",
+    "hydrotest": "hydrotest",
+    "hydrotesting": "hydrotest",
+    "hydrotested": "hydrotest",
+    "pull": "cable_pulling",
+    "pulled": "cable_pulling",
+    "pulling": "cable_pulling",
+    "terminate": "termination",
+    "terminated": "termination",
+    "termination": "termination",
+    "align": "alignment",
+    "aligned": "alignment",
+    "alignment": "alignment",
+    "fabricate": "fabrication",
+    "fabricated": "fabrication",
+    "fabrication": "fabrication",
+    "inspect": "inspection",
+    "inspected": "inspection",
+    "inspection": "inspection",
+    "loop check": "loop_check",
+    "calibrate": "calibration",
+    "calibrated": "calibration",
+    "calibration": "calibration",
+    "paint": "painting",
+    "painted": "painting",
+    "painting": "painting",
     "curing": "curing",
     "glanding": "glanding",
-    "equipment_setting": "set setting",
-    "piping_connection": "connect connected connection",
+    "set": "equipment_setting",
+    "setting": "equipment_setting",
+    "connect": "piping_connection",
+    "connected": "piping_connection",
+    "connection": "piping_connection",
 }
 # Keywords of the disciplines (those of over four letters count double), and equipment that decides alone.
 DISCIPLINE_WORDS = {
@@ -97,9 +142,26 @@ PLANNED_TYPES = [
     (("commission",), "commissioning"),
     (("set ", "setting", "connect"), "equipment setting"),
 ]
+# Prefixes of equipment tags and the discipline that the first of them found in a text decides.
+TAG_DISCIPLINES = {
+    "K-": "mechanical",
+    "P-": "mechanical",
+    "FT-": "instrumentation",
+    "PG-": "instrumentation",
+    "CV-": "instrumentation",
+    "CT-": "electrical",
+    "PC-": "electrical",
+    "IC-": "electrical",
+    "M-": "electrical",
+    "V-": "piping",
+    "F-": "civil",
+    "PS-": "civil",
+}
+# Tag prefixes that count only beside one of these words.
+TAG_GUARDS = {"P-": ["pump"], "M-": ["mcc", "panel"]}
 # Letters of equipment tags.
 TAGS = ["V", "P", "K", "F", "CT", "PC", "IC", "FT", "PG", "CV", "M", "PS", "S"]
-# Words whose mention at the start of a line marks it as no report of work.
+# The pattern of tags, lines, units and areas that identify work.
 IDENTIFIER = r"(?i)(\b[A-Z]+-\d+\b|\bLine\s+\d+\b|\bUnit\s+\d+\b|\bArea\s+[A-Z]\b)"
 # Weights of filled fields and bonuses of sources in the confidence of an extracted event.
 FIELD_WEIGHTS = {"discipline": 0.15, "activity_type": 0.15, "asset": 0.20, "location": 0.10, "status": 0.15, "event_date": 0.10, "quantity": 0.05, "description": 0.10}
@@ -123,9 +185,8 @@ def reported_status(text: Column) -> Column:
 def work_type(text: Column) -> Column:
     """The type of work that the first known word tells; a loop check is told by its phrase."""
     low = F.lower(text)
-    table = {w: kind for kind, words in WORK_WORDS.items() for w in words.split()}
     words = F.regexp_extract_all(low, F.lit(r"(\w+)"), F.lit(1))
-    found = F.filter(F.transform(words, lambda w: looked_up(w, table)), lambda k: k.isNotNull())
+    found = F.filter(F.transform(words, lambda w: looked_up(w, WORK_WORDS)), lambda k: k.isNotNull())
     return F.when(low.contains("loop check"), "loop_check").otherwise(F.get(found, F.lit(0)))
 
 
@@ -136,8 +197,11 @@ def planned_type(name: Column) -> Column:
 
 
 def discipline(text: Column) -> Column:
-    """Equipment that decides alone, else the discipline whose keywords weigh most (the first of equals), else null."""
+    """The first tag prefix that decides, else equipment that decides alone, else the discipline whose keywords weigh most
+    (the first of equals), else null."""
     low = F.lower(text)
+    guard = lambda tag: reduce(or_, [low.contains(w) for w in TAG_GUARDS.get(tag, [""])])
+    tagged = _first([(low.contains(tag.lower()) & guard(tag), d) for tag, d in TAG_DISCIPLINES.items()])
     sure = _first([(low.rlike("|".join(words)), d) for d, words in EQUIPMENT.items()])
     scores = [
         sum((F.when(low.contains(w.lower()), 2 if len(w) > 4 else 1).otherwise(0) for w in words), F.lit(0))
@@ -145,7 +209,7 @@ def discipline(text: Column) -> Column:
     ]
     top = F.greatest(*scores)
     ranked = _first([((s == top) & (top > 0), d) for d, s in zip(DISCIPLINE_WORDS, scores, strict=True)])
-    return F.coalesce(sure, ranked)
+    return F.coalesce(tagged, sure, ranked)
 
 
 def assets(text: Column) -> Column:

@@ -26,7 +26,7 @@ def fold_state(activities: DataFrame, claims: DataFrame, parity: bool = False) -
         first("status", moves).alias("__first"),
         first("event_date", moves).alias("__date"),
         first("event_date", moves & ~done).alias("__later"),
-        F.size(F.collect_set("event_id")).cast("long").alias("evidence"),
+        F.count_distinct("event_id").alias("evidence"),
     )
     out = s.join(activities.select("activity_id", "planned_start"), "activity_id")
     begun = F.col("__first") == "COMPLETED"

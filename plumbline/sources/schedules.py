@@ -16,18 +16,18 @@ from plumbline.operators.quality import level_of
 
 # Column names that stand for a field, the first that is there counts.
 ALIASES = {
-    "activity_id": ["activity_id", "id", "task_id", "task_code", "code"],
-    "activity_name": ["activity_name", "name", "task_name", "description", "title"],
-    "wbs_id": ["wbs_id", "wbs", "wbs_code"],
-    "wbs_level": ["wbs_level", "level", "outline_level"],
-    "discipline": ["discipline", "trade"],
-    "location": ["location", "area", "unit"],
-    "start_raw": ["planned_start", "start", "start_date", "target_start_date"],
-    "finish_raw": ["planned_finish", "finish", "end", "finish_date", "end_date", "target_end_date"],
-    "duration_raw": ["duration_days", "duration", "original_duration"],
-    "predecessors": ["predecessors", "predecessor", "pred"],
-    "successors": ["successors", "successor", "succ"],
-    "status": ["status", "status_code"],
+    "activity_id": ["activity_id", "activity id", "task_id", "task id", "task_code", "act_id", "id"],
+    "activity_name": ["activity_name", "activity name", "task_name", "task name", "name", "description", "activity description"],
+    "wbs_id": ["wbs_id", "wbs id", "wbs", "wbs_code", "wbs code", "outline_number", "outline number"],
+    "wbs_level": ["wbs_level", "wbs level", "level", "outline_level", "outline level"],
+    "discipline": ["discipline", "disc", "trade", "department"],
+    "location": ["location", "area", "unit", "work area", "plant area", "zone"],
+    "start_raw": ["planned_start", "planned start", "start", "start date", "target_start_date", "target start"],
+    "finish_raw": ["planned_finish", "planned finish", "finish", "finish date", "target_end_date", "target finish"],
+    "duration_raw": ["duration_days", "duration", "planned duration", "original duration", "target_drtn_hr_cnt"],
+    "predecessors": ["predecessors", "predecessor", "pred", "preds", "predecessor_ids"],
+    "successors": ["successors", "successor", "succ", "succs", "successor_ids"],
+    "status": ["status", "activity status", "activity_status", "status_code"],
 }
 HOURS = 8  # of a working day
 
@@ -81,7 +81,7 @@ def from_columns(df: DataFrame) -> DataFrame:
     have = {c.strip().lower().replace(" ", "_"): c for c in df.columns}
     pick = {}
     for field, names in ALIASES.items():
-        at = next((have[n] for n in names if n in have), None)
+        at = next((have[n.replace(" ", "_")] for n in names if n.replace(" ", "_") in have), None)
         pick[field] = F.col(f"`{at}`") if at else F.lit(None).cast("string")
     return _typed(df.select(*[v.alias(k) for k, v in pick.items()]), dict(df.dtypes), have)
 

@@ -120,3 +120,18 @@ def test_cycles(spark):
 def test_question(spark):
     ask = lambda q: one(spark, reports.question_intent(F.lit(q)))
     assert ask("What usually delays piping?") == "delay_by_category" and ask("main causes of delay") == "top_delay_causes" and ask("hello") == "search"
+
+
+def test_discipline_by_tag(spark):
+    from plumbline.functions import text as T
+
+    rows = [("V-301 installed", "piping"), ("K-201 done", "mechanical"), ("P-101 pump aligned", "mechanical"), ("M-12 MCC energised", "electrical"), ("FT-9 fixed", "instrumentation"), ("nothing here", None)]
+    got = spark.createDataFrame(rows, "t string, want string").select("t", "want", T.discipline(F.col("t")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_task_id_before_id(spark):
+    from plumbline.sources.schedules import from_columns
+
+    got = from_columns(spark.createDataFrame([("7", "A-1", "Lay pipe", "mech")], "id string, `Task ID` string, name string, disc string")).first()
+    assert (got.activity_id, got.activity_name, got.discipline) == ("A-1", "Lay pipe", "mech")
