@@ -103,6 +103,11 @@ def routed(confidence: Column, auto: float | Column = AUTO, review: float | Colu
     return F.when(confidence >= auto, "auto_linked").when(confidence >= review, "pending_review").otherwise("unmatched")
 
 
+def severity_order(level: Column) -> Column:
+    """0 for HIGH, 1 for MEDIUM, 2 for LOW, 3 for anything else."""
+    return F.when(level == "HIGH", 0).when(level == "MEDIUM", 1).when(level == "LOW", 2).otherwise(3)
+
+
 def delay_conflict(planned: Column, actual: Column) -> Column:
     """Severity of finishing late: HIGH beyond 7 days, MEDIUM below, null in time."""
     late = F.datediff(actual, planned)

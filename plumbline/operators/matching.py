@@ -44,14 +44,18 @@ def top_by_tfidf(queries: DataFrame, activities: DataFrame, keep: int = 10) -> D
     return pairs.withColumn("rank", rank).where(F.col("rank") <= keep)
 
 
-def top_by_cosine(queries: DataFrame, items: DataFrame, keep: int = 10, blocks: int = 8) -> DataFrame:
+def top_by_cosine(queries: DataFrame, items: DataFrame, keep: int = 10, asked: int = 2_000, held: int = 20_000) -> DataFrame:
     """(query_id, item_id, score, rank): the items of highest cosine. queries and items: id, v array<float>.
 
-    Items are dealt to blocks by id; every block scores all queries that are sent to it and keeps its best, so that what
-    is shuffled is queries times blocks and never a pair of rows. Vectors without a direction take no part.
+    Queries and items are dealt by id to blocks of about `asked` and `held` rows; every two blocks meet in one task, which
+    keeps the best of each query, so that what is shuffled is blocks and the best, never a pair of rows. Vectors without
+    a direction take no part.
     """
-    q = queries.select(F.col("id").alias("asking"), F.col("v").alias("w"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    i = items.select(F.col("id").alias("item"), F.col("v").alias("u"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("held"))
+    qn, n = -(-queries.count() // asked) or 1, max(8, -(-items.count() // held))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    dealt = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    q = queries.select(F.col("id").alias("asking"), F.col("v").alias("w"), dealt(qn).alias("qb"), every(n).alias("ib"))
+    i = items.select(F.col("id").alias("item"), F.col("v").alias("u"), dealt(n).alias("ib"), every(qn).alias("qb"))
 
     def score(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"query_id": [], "item_id": [], "score": []}
@@ -69,7 +73,7 @@ def top_by_cosine(queries: DataFrame, items: DataFrame, keep: int = 10, blocks:
                 out["score"] += list(c[row, order])
         return pd.DataFrame(out)
 
-    near = q.groupBy("block").cogroup(i.groupBy("held")).applyInPandas(score, "query_id long, item_id long, score double")
+    near = q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInPandas(score, "query_id long, item_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(rounded(F.col("score"), 8)), "item_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= keep)
 
@@ -178,12 +182,32 @@ def duplicate_groups(pairs: DataFrame) -> DataFrame:
 
 
 def replay_policy(steps: DataFrame, weights: list[float], rate: float = 0.05, low: float = 0.01, high: float = 5.0) -> list[float]:
-    """Weights after the ordered steps (seq, reward, features): w += rate * reward * features, held to low..high. The
-    updates depend on each other, so that they run as a stream of rows in order; only the weights are kept."""
-    w = list(weights)
-    for r in steps.orderBy("seq").select("reward", "features").toLocalIterator():
-        w = [max(low, min(high, x + rate * r.reward * f)) for x, f in zip(w, r.features, strict=True)]
-    return w
+    """Weights after the ordered steps (seq, reward, features): w += rate * reward * features, held to low..high.
+
+    A run of steps is itself one step, w -> min(top, max(least, w + shift)): steps are dealt to ranges of seq, each range is
+    folded where it lies, and only one such step a range comes back, to be applied in the order of the ranges.
+    """
+    n = len(weights)
+
+    def fold(batches):
+        first, shift = None, np.zeros(n)
+        least, top = np.full(n, -np.inf), np.full(n, np.inf)
+        for b in batches:
+            for seq, reward, f in zip(b["seq"], b["reward"], b["features"], strict=True):
+                first = seq if first is None else first
+                move = rate * reward * np.asarray(f, float)
+                shift = shift + move
+                least, top = np.clip(least + move, low, high), np.clip(top + move, low, high)
+        if first is not None:
+            yield pd.DataFrame({"seq": [first], "shift": [shift], "least": [least], "top": [top]})
+
+    dealt = steps.select("seq", "reward", "features").repartitionByRange("seq").sortWithinPartitions("seq")
+    kind = dict(steps.dtypes)["seq"]
+    runs = dealt.mapInPandas(fold, f"seq {kind}, shift array<double>, least array<double>, top array<double>")
+    w = np.asarray(weights, float)
+    for r in sorted(runs.collect(), key=lambda r: r.seq):  # one row a range
+        w = np.minimum(r.top, np.maximum(r.least, w + np.asarray(r["shift"])))
+    return [float(x) for x in w]
 
 
 __all__ = ["words", "tfidf", "top_by_tfidf", "top_by_cosine", "boosts", "temporal_fit", "dependency_fit", "decided", "threshold_sweep", "text_ratio", "duplicate_pairs", "duplicate_groups", "replay_policy", "jaccard", "containment"]
