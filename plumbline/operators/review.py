@@ -123,25 +123,29 @@ def weighted_duplicates(events: DataFrame, threshold: float = 0.80) -> DataFrame
     """(a, b, similarity): pairs of events(id, text and the fields of FIELD_WEIGHTS) of at least the threshold, a before b.
 
     Similarity is the weight of equal fields and of the texts' ratio over that of fields that both have. From a threshold
-    of 0.8 on (above 0.786), a pair must agree in the first field, in the order of FIELD_WEIGHTS, that both have, so that pairs meet
-    by one value; those that have no field in common are not compared. Texts are only read where the fields leave hope.
+    of 0.8 on, a pair must agree in the assets if both have one, else in those of kind and day that both have, else in those
+    of discipline and status, any other way it reaches 0.786 at most. Pairs meet by these values; those that have no field
+    in common are not compared. Texts are compared only where fields and lengths leave hope.
     """
     if threshold < 0.8:
-        raise ValueError("pairs meet by a field that they must share from a threshold of 0.8 on")
+        raise ValueError("pairs meet by fields that they must share from a threshold of 0.8 on")
     plain = events.select("id", compared(F.col("text")).alias("text"), *[F.nullif(F.lower(F.trim(F.col(f).cast("string"))), F.lit("")).alias(f) for f in FIELD_WEIGHTS])
-    keys = F.filter(F.array(*[F.struct(F.lit(i).alias("nr"), F.col(f).alias("value")) for i, f in enumerate(FIELD_WEIGHTS)]), lambda x: x["value"].isNotNull())
-    met = plain.withColumn("key", F.explode(keys))
+    ways = [("asset",), ("activity_type", "event_date"), ("activity_type",), ("event_date",), ("discipline", "status"), ("discipline",), ("status",)]
+    keys = [F.when(F.concat(*way).isNotNull(), F.struct(F.lit(i).alias("way"), F.array(*way).alias("values"))) for i, way in enumerate(ways)]
+    met = plain.withColumn("key", F.explode(F.array_compact(F.array(*keys))))
     a, b = met.alias("a"), met.alias("b")
-    first, total, same = F.lit(None).cast("int"), F.lit(TEXT_WEIGHT), F.lit(0.0)
-    for i, (f, w) in enumerate(FIELD_WEIGHTS.items()):
-        both = F.col(f"a.{f}").isNotNull() & F.col(f"b.{f}").isNotNull()
-        first = F.coalesce(first, F.when(both, i))
-        total = total + F.when(both, w).otherwise(0.0)
+    both = {f: F.col(f"a.{f}").isNotNull() & F.col(f"b.{f}").isNotNull() for f in FIELD_WEIGHTS}
+    own, total, same = F.lit(None).cast("int"), F.lit(TEXT_WEIGHT), F.lit(0.0)
+    for i, way in enumerate(ways):
+        own = F.coalesce(own, F.when(both[way[0]] & both[way[-1]], i))
+    for f, w in FIELD_WEIGHTS.items():
+        total = total + F.when(both[f], w).otherwise(0.0)
         same = same + F.when(F.col(f"a.{f}") == F.col(f"b.{f}"), w).otherwise(0.0)
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.key.nr") == first))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.key.way") == own))
     near = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.text").alias("x"), F.col("b.text").alias("y"), total.alias("total"), same.alias("same"))
-    near = near.where(F.col("same") + TEXT_WEIGHT >= (threshold - 0.0005) * F.col("total"))
-    sim = rounded((F.col("same") + TEXT_WEIGHT * F.when(F.col("x") == F.col("y"), 1.0).otherwise(text_ratio("x", "y"))) / F.col("total"), 3)
+    most = F.coalesce(ratio(2 * F.least(F.length("x"), F.length("y")), F.length("x") + F.length("y")), F.lit(1.0))
+    near = near.where(F.col("same") + TEXT_WEIGHT * most >= (threshold - 0.0006) * F.col("total"))
+    sim = rounded((F.col("same") + TEXT_WEIGHT * text_ratio("x", "y")) / F.col("total"), 3)
     return near.select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= threshold)
 
 

@@ -71,7 +71,7 @@ def _duplicates(s, d):
     c = B.claims(s, d)
     tag = F.concat(F.lit("V-"), F.col("activity_id").cast("string"))
     text = F.concat(tag, F.lit(" "), F.col("stage"), F.lit(", source "), F.col("source").cast("string"))
-    e = c.select(F.col("event_id").alias("id"), text.alias("text"), F.when(F.col("event_id") % 4 != 0, tag).alias("asset"), F.col("stage").alias("activity_type"), F.col("event_date"), F.lit("civil").alias("discipline"), "status")
+    e = c.select(F.col("event_id").alias("id"), text.alias("text"), F.when(F.col("event_id") % 4 != 0, tag).alias("asset"), F.col("stage").alias("activity_type"), F.date_trunc("hour", "ts").alias("event_date"), F.lit("civil").alias("discipline"), "status")
     return R.weighted_duplicates(e)
 
 
@@ -111,7 +111,7 @@ def _schedule(s, d):
 QUERIES = {
     "event_list": lambda s, d: R.listed(_tracked(s, d), "unmatched", "building").select("event_id", "confidence"),
     "review_queue": lambda s, d: R.listed(_tracked(s, d), waiting=True).select("event_id", "link_state"),
-    "activity_search": lambda s, d: R.search(B.activities(s, d).select("activity_id", "discipline", "location"), "AN", ["discipline", "location"], 25),
+    "activity_search": lambda s, d: R.search(B.activities(s, d).select("activity_id", "discipline", "location"), "tion_1", ["discipline", "location"], 25),
     "touched_schedule": lambda s, d: R.touched(B.activities(s, d), B.claims(s, d), "Building").select("activity_id", "planned_start"),
     "audit_feed": lambda s, d: R.audit_feed(B.claims(s, d), "PURCHASE").select("seq", "event_id", "total"),
     "audit_chain": lambda s, d: R.audit_chain(B.claims(s, d).select("activity_id", "event_id", "stage"), _schedule(s, d)),
@@ -146,7 +146,7 @@ _Q = [_r("0.0::double + " + " + ".join(f"f{i} * {x}::double" for i, x in enumera
 ORACLE = {
     "event_list": f"{_T} select event_id, confidence from tracked where link_state = 'unmatched' and lower(discipline) = 'building'",
     "review_queue": f"{_T} select event_id, link_state from tracked where link_state <> 'auto_linked'",
-    "activity_search": f"{_W}, h as (select activity_id, discipline, location from activities where contains(lower(discipline), 'an') or contains(lower(location), 'an')) select *, (select count(*) from h) as total from h order by activity_id limit 25",
+    "activity_search": f"{_W}, h as (select activity_id, discipline, location from activities where contains(lower(discipline), 'tion_1') or contains(lower(location), 'tion_1')) select *, (select count(*) from h) as total from h order by activity_id limit 25",
     "touched_schedule": f"{_W} select activity_id, planned_start from activities where lower(discipline) = 'building' and activity_id in (select activity_id from claims)",
     "audit_feed": f"{_W}, h as (select seq, event_id from claims where upper(stage) = 'PURCHASE') select *, (select count(*) from h) as total from h order by seq desc limit 200",
     "audit_chain": f"{_W} select c.activity_id, event_id, stage, planned_start, discipline from claims c left join activities a using (activity_id)",
