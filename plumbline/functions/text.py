@@ -41,6 +41,11 @@ STATUS_PHRASES = {
     "cannot be done": "blocked",
     "found faulty": "blocked",
 }
+# Patterns that tell a status where no phrase does.
+STATUS_HINTS = {
+    r"\b(?:still\s+pending|not\s+yet|awaiting|material\s+not)\b": "not_started",
+    r"\b(?:could\s+not|cannot|unable|faulty|failed)\b": "blocked",
+}
 # Words (and one phrase, which comes first of all) and the type of work that they name.
 WORK_WORDS = {
     "erect": "erection",
@@ -176,10 +181,11 @@ def _first(cases: list[tuple[Column, str]]) -> Column:
 
 
 def reported_status(text: Column) -> Column:
-    """The status that a text tells, longest phrase first; "unknown" if none."""
+    """The status that a text tells, longest phrase first, then by the hints in it; "unknown" if none."""
     low = F.lower(F.trim(text))
     phrases = sorted(STATUS_PHRASES.items(), key=lambda x: -len(x[0]))
-    return F.coalesce(_first([(low.contains(p), s) for p, s in phrases]), F.lit("unknown"))
+    hints = _first([(low.rlike(p), s) for p, s in STATUS_HINTS.items()])
+    return F.coalesce(_first([(low.contains(p), s) for p, s in phrases]), hints, F.lit("unknown"))
 
 
 def work_type(text: Column) -> Column:

@@ -23,9 +23,16 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1)))
 
 
+def terms(text: Column) -> Column:
+    """Words of two letters or more, in lower case, and then every two that follow each other."""
+    w = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    pairs = F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.concat(w, F.filter(pairs, lambda x: x.isNotNull()))
+
+
 def tfidf(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, token, weight): smooth idf ln((1 + n) / (1 + df)) + 1, each document of length 1."""
-    tokens = docs.select(F.col(id_col).alias("id"), F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(r"([a-z0-9]{2,})"), F.lit(1))).alias("token"))
+    """(id, token, weight) of one- and two-word terms: smooth idf ln((1 + n) / (1 + df)) + 1, each document of length 1."""
+    tokens = docs.select(F.col(id_col).alias("id"), F.explode(terms(F.col(text_col))).alias("token"))
     tf = tokens.groupBy("id", "token").agg(F.count("*").alias("tf"))
     n = docs.agg(F.count("*").alias("n"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
@@ -40,7 +47,12 @@ def top_by_tfidf(queries: DataFrame, activities: DataFrame, keep: int = 10) -> D
     q = queries.select(F.col("id").alias("query"), "token", F.col("weight").alias("qw"))
     a = activities.select(F.col("id").alias("activity_id"), "token", F.col("weight").alias("aw"))
     pairs = q.join(a, "token").groupBy("query", "activity_id").agg(F.sum(F.col("qw") * F.col("aw")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "activity_id"))
+    return first_by_score(pairs, keep)
+
+
+def first_by_score(pairs: DataFrame, keep: int) -> DataFrame:
+    """The best activities of each query, by scores of eight digits so that noise breaks no tie, then by id, with their rank."""
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(rounded(F.col("score"), 8)), "activity_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= keep)
 
 

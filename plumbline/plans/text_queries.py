@@ -12,6 +12,7 @@ from plumbline.plans import bindings as B
 from plumbline.plans.history_queries import _r
 from plumbline.streaming import jobs
 
+# Pairs of thresholds that are tried.
 SWEEP = [(0.90, 0.70), (0.85, 0.65), (0.80, 0.60), (0.75, 0.55), (0.70, 0.50)]
 AGENT = [[2.5, 1.5, -0.3, -1.5], [0.0, -3.0, 0.0, 2.0], [0.8, 0.5, 1.2, 0.0]]
 
