@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, codes, exact_dedup, filter_audit, jaccard, licenses, packing, sharding, topk, toxicity, url_filter
+from plumbline.llm import bpe, chat, codes, context_tree, exact_dedup, filter_audit, jaccard, licenses, packing, sharding, topk, toxicity, url_filter
 from plumbline.llm.shared import LOWER, UPPER
 
 SHARDS = 40
@@ -93,6 +93,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.set_counts(sets, read(spark, sf_dir, "labels")))
 
 
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_toxicity": op2_toxicity,
@@ -107,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
     "op11_vector_codes": op11_vector_codes,
     "op12_filter_audit": op12_filter_audit,
+    "op13_lm_score": op13_lm_score,
 }
 
 
