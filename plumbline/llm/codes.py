@@ -269,6 +269,7 @@ def label_errors(codes: DataFrame) -> DataFrame:
     broadcast the join however many rows a label has.
     """
     codes = stored(codes, "codes-labelled")
-    total = F.least(F.sum(F.col("error").cast("decimal(38,0)")), F.lit(LONG).cast("decimal(38,0)")).cast("long")
+    total = F.sum(F.col("error").cast("decimal(38,0)"))
+    total = F.when(total > LONG, LONG).otherwise(total.cast("long"))
     sums = stored(codes.groupBy("label").agg(total.alias("label_error")).withColumnRenamed("label", "of"), "codes-labels")
     return codes.join(sums, codes["label"].eqNullSafe(sums["of"])).drop("of")
