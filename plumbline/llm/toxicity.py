@@ -73,7 +73,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
 
     At most about `sample` labelled documents are drawn, by a hash of the id. Labels with a null are left out, repeated
     ones count once, as the highest. Without labels, or with one value only, a category has its prior as probability and
-    flags nothing; so it is without a word that two documents share. The threshold is where the out-of-fold predictions of the last category reach their best F1.
+    flags nothing; so it is without a word that two documents share. Words of one sampled document are no features, but in
+    a sample of ten or fewer. The threshold is where the out-of-fold predictions of the last category reach their best F1.
     """
     marks = labels.select(F.col(id_col).alias("__id"), *[F.col(c).cast("double").alias(f"__l{k}") for k, c in enumerate(categories)]).dropna()
     marks = marks.groupBy("__id").agg(*[F.max(f"__l{k}").alias(f"__l{k}") for k in range(len(categories))])
@@ -82,7 +83,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
         marks = marks.where(F.pmod(F.xxhash64("__id", F.lit(29)), F.lit(1 << 30)) < F.lit(int(sample / n * (1 << 30))))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(marks), "__id")  # the bounded sample
     rows = _worded(rows, "__t").drop("__t").withColumn("__fold", F.pmod(F.xxhash64("__id", F.lit(31)), F.lit(FOLDS)))
-    rows = rows.coalesce(PARTITIONS).cache()
+    rows = rows.repartition(PARTITIONS).cache()  # the sample alone moves: the scan keeps its own tasks
     held, links, threshold = [rows], [], 1.1
     if rows.select(F.explode("__w").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         rows.unpersist()
