@@ -213,6 +213,14 @@ def agent_features(confidence: Column, scores: Column, risk: Column, fan_out: Co
     )
 
 
+def explored(seq: Column, updates: Column, seed: str, actions: int, start: float = 0.10, decay: float = 0.99, least: float = 0.02) -> Column:
+    """The action that exploration takes, counted from 0, or null where the best one is taken: with a chance that shrinks
+    from start by decay an update, to least. Chance is the digest of seed and seq, so that a replay explores alike."""
+    drawn = lambda a, b: F.conv(F.substr(F.md5(F.concat(F.lit(seed + ":"), seq.cast("string"))), F.lit(a), F.lit(b)), 16, 10).cast("long")
+    rate = F.greatest(F.lit(least), F.lit(start) * F.pow(F.lit(decay), updates.cast("double")))
+    return F.when(drawn(1, 8) / F.lit(float(2**32)) < rate, F.pmod(drawn(9, 8), F.lit(actions)).cast("int"))
+
+
 def q_values(features: Column, weights: list[list[float]] = AGENT_WEIGHTS) -> Column:
     return F.array(*[rounded(dot(features, F.array(*map(F.lit, w))), 4) for w in weights])
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import progress as P
 from plumbline.functions.numbers import ratio, rounded
+from plumbline.operators.scan import row_number, running_max, scanned
 
 
 def fold_state(activities: DataFrame, claims: DataFrame, parity: bool = False) -> DataFrame:
@@ -151,11 +152,13 @@ def daily_timeline(events: DataFrame, stages: list[str]) -> DataFrame:
 
 
 def priority_queue(events: DataFrame, weights: list[float], now) -> DataFrame:
-    """Review queue by weighted urgency (confidence, risk, fan-out against the largest so far, hours waiting, delay rate)."""
-    so_far = F.max("fan_out").over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)) if "max_fan_out" not in events.columns else F.col("max_fan_out")
+    """Review queue: score by weighted urgency and rank (from 1, ties by event_id) of events(event_id, seq, ts, confidence,
+    risk, fan_out, delay_rate). Urgency is confidence, risk, fan-out against the largest so far in the order of seq, hours
+    waiting and delay rate. The running maximum and the ranks are scans over ranges, so that no window holds the queue."""
     hours = (F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("ts")) / 3600
     risk = F.when(F.col("risk") == "HIGH", 1.0).when(F.col("risk") == "MEDIUM", 0.5).when(F.col("risk") == "LOW", 0.1).otherwise(0.0)
-    parts = [F.col("confidence"), risk, F.least(ratio(F.col("fan_out"), F.greatest(so_far, F.lit(1))), F.lit(1.0)), F.greatest(F.least(hours / 24, F.lit(1.0)), F.lit(0.0)), F.col("delay_rate")]
+    seen = scanned(events, ["seq"], most=running_max(F.col("fan_out")))
+    parts = [F.col("confidence"), risk, F.least(ratio(F.col("fan_out"), F.greatest("most", F.lit(1))), F.lit(1.0)), F.greatest(F.least(hours / 24, F.lit(1.0)), F.lit(0.0)), F.col("delay_rate")]
     score = rounded(sum((p * w for p, w in zip(parts, weights, strict=True)), F.lit(0.0)), 3)
-    out = events.withColumn("score", score)
-    return out.select("event_id", "score")
+    out = seen.select("event_id", score.alias("score"), F.col("most").alias("max_fan_out"), (-score).alias("urgency"))
+    return scanned(out, ["urgency", "event_id"], rank=row_number()).select("event_id", "score", "max_fan_out", "rank")

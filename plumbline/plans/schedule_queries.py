@@ -29,7 +29,6 @@ def _queue(s, d):
             "confidence": F.least(F.abs("value") / 1000, F.lit(1.0)),
             "risk": F.when(F.col("status") == "ON_HOLD", "HIGH").when(F.col("status") == "IN_PROGRESS", "MEDIUM").otherwise("LOW"),
             "fan_out": F.pmod("activity_id", F.lit(7)),
-            "max_fan_out": F.lit(6),
             "delay_rate": F.lit(0.3),
         }
     )
@@ -102,8 +101,10 @@ and a.status = 'COMPLETED' and b.status in ('IN_PROGRESS', 'NOT_STARTED') and a.
 select before, after, count(*) as n from m where before is not null and before <> after and (before, after) not in (('NOT_STARTED','IN_PROGRESS'), ('NOT_STARTED','CANCELLED'), ('IN_PROGRESS','COMPLETED'), ('IN_PROGRESS','ON_HOLD'), ('IN_PROGRESS','CANCELLED'), ('ON_HOLD','IN_PROGRESS'), ('ON_HOLD','CANCELLED')) group by 1, 2""",
     "link_sets": f"{_W} select activity_id, count(*) as events, count(distinct source) as sources, count(*) > 1 as many_to_one, max_by(status, seq) filter (where status is not null) as latest from claims group by 1",
     "daily_timeline": f"{_W} select event_date as day, count_if(stage in ('signup', 'view')) as n from claims group by 1",
-    "priority_queue": f"""{_W} select event_id, {_r('''0.0 + least(abs(value) / 1000, 1.0) * 0.40::double + case status when 'ON_HOLD' then 1.0::double when 'IN_PROGRESS' then 0.5::double else 0.1::double end * 0.30::double
-+ least((activity_id % 7) / 6, 1.0) * 0.15::double + greatest(least(((epoch(timestamp '2024-02-01') - floor(epoch(ts))) / 3600) / 24, 1.0), 0.0) * 0.10::double + 0.3::double * 0.05::double''', 3)} as score from claims where status is not null""",
+    "priority_queue": f"""{_W}, q as (select *, activity_id % 7 as fan_out, max(activity_id % 7) over (order by seq rows unbounded preceding) as most from claims where status is not null),
+p as (select event_id, most as max_fan_out, {_r('''0.0 + least(abs(value) / 1000, 1.0) * 0.40::double + case status when 'ON_HOLD' then 1.0::double when 'IN_PROGRESS' then 0.5::double else 0.1::double end * 0.30::double
++ least(fan_out / greatest(most, 1), 1.0) * 0.15::double + greatest(least(((epoch(timestamp '2024-02-01') - floor(epoch(ts))) / 3600) / 24, 1.0), 0.0) * 0.10::double + 0.3::double * 0.05::double''', 3)} as score from q)
+select *, row_number() over (order by score desc, event_id) as rank from p""",
     "tree_paths": f"""{_W}, t(node, level, path) as (select node, 1, name from tree where parent is null union all select c.node, level + 1, path || ' > ' || c.name from t join tree c on c.parent = t.node) select * from t""",
     "context_inheritance": f"{_W} select a.node, coalesce(a.zone, b.zone, c.zone) as value from tree a left join tree b on a.parent = b.node left join tree c on b.parent = c.node",
     "cascade_impact": f"{_W}, {_CASCADE} select * from hits",

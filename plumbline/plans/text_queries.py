@@ -8,6 +8,7 @@ from plumbline.functions import text as T
 from plumbline.functions.numbers import dot, jaccard, rounded
 from plumbline.operators import matching as M
 from plumbline.operators import quality as Q
+from plumbline.operators.scan import following, scanned
 from plumbline.plans import bindings as B
 from plumbline.plans.history_queries import _r
 from plumbline.streaming import jobs
@@ -114,9 +115,14 @@ def _replay(s, d):
 
 
 def _ratio(s, d):
-    b = B.table(s, d, "benchmark")
-    w = M.Window.orderBy("item_id")
-    return b.withColumn("next", F.lead("text").over(w)).select("item_id", M.text_ratio("text", "next").alias("ratio"))
+    b = scanned(B.table(s, d, "benchmark").select("item_id", "text"), ["item_id"], next=following(F.col("text")))
+    return b.select("item_id", M.text_ratio("text", "next").alias("ratio"))
+
+
+def _arrivals(s, d):
+    """Events as they arrive: every seventh is told two days after it happened."""
+    e = B.table(s, d, "events").select("event_id", "ts")
+    return e.withColumn("ts", F.when(F.col("event_id") % 7 == 0, F.col("ts") - F.expr("interval 2 days")).otherwise(F.col("ts")))
 
 
 def _pairs(s, d):
@@ -159,7 +165,7 @@ QUERIES = {
     "tumbling_counts": lambda s, d: jobs.window_counts(B.table(s, d, "events"), "1 hour"),
     "sliding_counts": lambda s, d: jobs.window_counts(B.table(s, d, "events"), "2 hours", "1 hour"),
     "session_counts": lambda s, d: jobs.session_counts(B.table(s, d, "events"), "30 minutes"),
-    "late_rows": lambda s, d: jobs.late_rows(B.table(s, d, "events"), "1 day"),
+    "late_rows": lambda s, d: jobs.late_rows(_arrivals(s, d), "1 day"),
 }
 
 _K = "o_orderkey"
@@ -207,5 +213,5 @@ ORACLE = {
     "sliding_counts": f"with e as ({_WIN}, event_type from events), x as (select unnest([w, w - interval '1 hour']) as w, event_type from e) select w as window_start, w + interval '2 hours' as window_end, event_type, count(*) as n from x group by 1, 2, 3",
     "session_counts": """with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval '30 minutes' then 0 else 1 end as fresh from events),
 s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from e) select user_id, min(ts) as session_start, max(ts) + interval '30 minutes' as session_end, count(*) as n from s group by user_id, k""",
-    "late_rows": "with e as (select event_id, ts, max(ts) over (order by event_id rows unbounded preceding) as seen from events) select event_id from e where ts < seen - interval '1 day'",
+    "late_rows": "with a as (select event_id, case when event_id % 7 = 0 then ts - interval '2 days' else ts end as ts from events), e as (select event_id, ts, max(ts) over (order by event_id rows unbounded preceding) as seen from a) select event_id from e where ts < seen - interval '1 day'",
 }

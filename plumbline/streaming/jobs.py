@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from plumbline.operators.scan import running_max, scanned
+
 
 def window_counts(events: DataFrame, size: str, slide: str | None = None, watermark: str = "1 hour") -> DataFrame:
     """Events by tumbling (or, with slide, overlapping) window and type."""
@@ -28,16 +30,8 @@ def session_counts(events: DataFrame, gap: str, watermark: str = "1 hour") -> Da
 
 
 def late_rows(events: DataFrame, delay: str) -> DataFrame:
-    """Rows of a batch that come, in the order of event_id, more than `delay` behind the latest time seen before.
-
-    The running maximum is taken day by day first, so that no window holds the whole table: a row is late against the
-    maximum of earlier days or against that of its own day's earlier rows."""
-    part = F.expr("event_id div 100000")
-    e = events.withColumn("part", part)
-    tops = e.groupBy("part").agg(F.max("ts").alias("top"))
-    before = tops.withColumn("before", F.max("top").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", "before")
-    own = F.max("ts").over(Window.partitionBy("part").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0))
-    seen = e.withColumn("own", own).join(F.broadcast(before), "part").withColumn("seen", F.greatest("own", "before"))
+    """Rows of a batch that come, in the order of event_id, more than `delay` behind the latest time seen so far."""
+    seen = scanned(events, ["event_id"], seen=running_max(F.col("ts")))
     return seen.where(F.col("ts") < F.col("seen") - F.expr(f"interval {delay}")).select("event_id")
 
 
@@ -73,11 +67,15 @@ def follow_state(claims: DataFrame) -> DataFrame:
 
 
 def upsert_latest(batch: DataFrame, path: str, key: str = "activity_id") -> None:
-    """foreachBatch sink: rows of the batch replace those of their keys in a table kept as numbered versions."""
+    """foreachBatch sink: rows of the batch replace those of their keys in a table kept as numbered, whole versions.
+
+    A version that a broken run left without its success marker is not read and is written over. decisions.MergedTable
+    rewrites only the buckets that a batch touches, orders rows by seq and knows batches that it has applied."""
     spark = batch.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    versions = sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(hadoop)) if fs.exists(hadoop) else []
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path_of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path_of(path))] if fs.exists(path_of(path)) else []
+    versions = sorted(int(n[1:]) for n in names if fs.exists(path_of(f"{path}/{n}/_SUCCESS")))
     old = spark.read.parquet(f"{path}/v{versions[-1]}") if versions else None
     new = batch if old is None else batch.unionByName(old.join(batch.select(key), key, "left_anti"))
-    new.write.parquet(f"{path}/v{versions[-1] + 1 if versions else 0}")
+    new.write.mode("overwrite").parquet(f"{path}/v{versions[-1] + 1 if versions else 0}")
