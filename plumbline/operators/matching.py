@@ -56,18 +56,8 @@ def first_by_score(pairs: DataFrame, keep: int) -> DataFrame:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= keep)
 
 
-def top_by_cosine(queries: DataFrame, items: DataFrame, keep: int = 10, asked: int = 2_000, held: int = 20_000) -> DataFrame:
-    """(query_id, item_id, score, rank): the items of highest cosine. queries and items: id, v array<float>.
-
-    Queries and items are dealt by id to blocks of about `asked` and `held` rows; every two blocks meet in one task, which
-    keeps the best of each query, so that what is shuffled is blocks and the best, never a pair of rows. Vectors without
-    a direction take no part.
-    """
-    qn, n = -(-queries.count() // asked) or 1, max(8, -(-items.count() // held))
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    dealt = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
-    q = queries.select(F.col("id").alias("asking"), F.col("v").alias("w"), dealt(qn).alias("qb"), every(n).alias("ib"))
-    i = items.select(F.col("id").alias("item"), F.col("v").alias("u"), dealt(n).alias("ib"), every(qn).alias("qb"))
+def best_in_block(keep: int):
+    """Task code: of a block of queries (asking, w) and one of items (item, u), the items of highest cosine of each query."""
 
     def score(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"query_id": [], "item_id": [], "score": []}
@@ -85,11 +75,32 @@ def top_by_cosine(queries: DataFrame, items: DataFrame, keep: int = 10, asked: i
                 out["score"] += list(c[row, order])
         return pd.DataFrame(out)
 
-    near = q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInPandas(score, "query_id long, item_id long, score double")
+    return score
+
+
+def first_by_cosine(near: DataFrame, keep: int) -> DataFrame:
+    """The best `keep` of each query among (query_id, item_id, score), ties of eight digits by id, with their rank."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(rounded(F.col("score"), 8)), "item_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= keep)
 
 
+def top_by_cosine(queries: DataFrame, items: DataFrame, keep: int = 10, asked: int = 2_000, held: int = 20_000) -> DataFrame:
+    """(query_id, item_id, score, rank): the items of highest cosine. queries and items: id, v array<float>.
+
+    Queries and items are dealt by id to blocks of about `asked` and `held` rows; every two blocks meet in one task, which
+    keeps the best of each query, so that what is shuffled is blocks and the best, never a pair of rows. Vectors without
+    a direction take no part.
+    """
+    qn, n = -(-queries.count() // asked) or 1, max(8, -(-items.count() // held))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    dealt = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    q = queries.select(F.col("id").alias("asking"), F.col("v").alias("w"), dealt(qn).alias("qb"), every(n).alias("ib"))
+    i = items.select(F.col("id").alias("item"), F.col("v").alias("u"), dealt(n).alias("ib"), every(qn).alias("qb"))
+
+    near = q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInPandas(best_in_block(keep), "query_id long, item_id long, score double")
+    return first_by_cosine(near, keep)
+
+
 def boosts(event: dict[str, Column], activity: dict[str, Column], feedback: Column | None = None) -> Column:
     """What context adds to a similarity: identifier .20, discipline .15, location .10, WBS .05, dates .05 or .02,
     predecessors .05, .03 (none listed) or .02 (some done), and feedback."""

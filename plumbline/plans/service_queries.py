@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import dot, rounded
+from plumbline.operators import search as Q
 from plumbline.operators.review import ACTIONS, AGENT_WEIGHTS, explored
 from plumbline.operators.scan import previous, row_number, scanned, weight_trace
 from plumbline.plans import bindings as B
@@ -80,7 +81,54 @@ def _trace(s, d):
     return t.select("seq", "updates", named(F.coalesce("wild", best)).alias("chosen"), F.col("wild").isNotNull().alias("explored"), F.array_max("q").alias("best_q"), named(F.col("action")).alias("action"), total("before").alias("before"), total("after").alias("after"))
 
 
+def _records(s, d):
+    """A vector is a record of the discipline of its label; every ninth isn't verified; its order tells how late it was."""
+    v, o = B.table(s, d, "embeddings"), B.table(s, d, "orders")
+    k, actual = F.col("vec_id"), (F.lit(22) + F.col("o_custkey") % 20).cast("int")
+    kind = F.when(k % 2 == 0, "t0").otherwise(F.concat(F.lit("t"), k % 40))
+    return v.join(o, k == o.o_orderkey).select(
+        k.alias("id"), F.col("embedding").alias("v"), F.concat(F.lit("D"), F.col("label") % 5).alias("discipline"), kind.alias("activity_type"),
+        F.when(k % 9 == 0, "provisional").otherwise("verified").alias("record_quality"), F.lit(30).alias("planned_days"), actual.alias("actual_days"), (actual - 30).alias("variance_days"),
+        (actual > 30).alias("delayed"), F.when((actual > 30) & (k % 11 > 0), F.col("o_orderpriority")).alias("delay_cause"),
+    )
+
+
+def _planned(s, d):
+    """Every seventh vector is a planned activity too; some have a discipline without records, some no type."""
+    k = F.col("id")
+    return _records(s, d).where(k % 7 == 0).select(k.alias("activity_id"), "v", F.when(k % 35 == 0, "dx").otherwise(F.lower("discipline")).alias("discipline"), F.when(k % 3 > 0, F.col("activity_type")).alias("activity_type"))
+
+
+def _found(s, d, keep):
+    q = _records(s, d).where("id % 20 = 0").select("id", "v")
+    return Q.semantic_search(q, _records(s, d), keep)
+
+
+def _probed(s, d):
+    """The inverted file's hits that the exact search has too, of all that it has."""
+    r = Q.usable(_records(s, d), "verified")
+    q = _records(s, d).where("id % 20 = 0").select("id", "v")
+    return Q.probed_search(q, Q.inverted_file(r, 32), 5, 16).select("query_id", "rank", "item_id", rounded(F.col("score"), 6).alias("score"))
+
+
+def _risks(s, d):
+    return Q.risk_from_records(_planned(s, d), _records(s, d))
+
+
+def _evidence(s, d):
+    p = _planned(s, d)
+    hits = Q.semantic_search(p.select(F.col("activity_id").alias("id"), "v"), _records(s, d), 8)
+    rows = Q.evidence(hits, _records(s, d), ["discipline", "variance_days"])
+    said = F.array_join(F.transform("records", lambda r: F.concat_ws(":", r["record_id"].cast("string"), r["discipline"], r["variance_days"].cast("string"))), " ")
+    risk = _risks(s, d).select(F.col("activity_id").alias("query_id"), "risk_level", "path")
+    return risk.join(rows, "query_id", "left").select(F.col("query_id").alias("activity_id"), "risk_level", "path", F.size("records").alias("n"), said.alias("records"))
+
+
 QUERIES = {
+    "semantic_search": lambda s, d: _found(s, d, 5).select("query_id", "rank", "item_id", rounded(F.col("score"), 6).alias("score")),
+    "semantic_search_probed": _probed,
+    "risk_assess_full": _risks,
+    "risk_evidence": _evidence,
     "clarification_outcomes": _outcomes,
     "clarification_rematch": _rematched,
     "review_state": _review,
@@ -103,7 +151,30 @@ _F = "[least(abs(value) / 1000, 1.0), (event_id % 10) / 10, case when status = '
 _ACTIONS = "[" + ", ".join(f"'{a}'" for a in ACTIONS) + "]"
 _START = ", ".join("[" + ", ".join(f"{x}::double" for x in w) + "]" for w in AGENT_WEIGHTS)
 
+_RECORDS = """rec as (select vec_id as id, cast(embedding as double[]) as v, 'D' || (label % 5) as discipline, case when vec_id % 2 = 0 then 't0' else 't' || (vec_id % 40) end as activity_type, vec_id % 9 > 0 as verified,
+  cast(22 + o_custkey % 20 as int) as actual_days, cast(o_custkey % 20 - 8 as int) as variance_days, o_custkey % 20 > 8 as delayed, case when o_custkey % 20 > 8 and vec_id % 11 > 0 then o_orderpriority end as cause from embeddings join orders on vec_id = o_orderkey),
+ver as (select * from rec where verified)"""
+_HITS = "(select *, cast(row_number() over (partition by {by} order by cast(round(cast(s as decimal(38,10)), 8) as double) desc, item_id) as int) as rank from {pairs})"
+_RISKS = f"""act as (select id as activity_id, v, case when id % 35 = 0 then 'dx' else lower(discipline) end as d, case when id % 3 > 0 then activity_type end as t from rec where id % 7 = 0),
+own as (select activity_id, d, count(r.id) as own from act left join ver r on lower(r.discipline) = act.d and (act.t is null or act.t = r.activity_type) group by 1, 2),
+ex as (select activity_id, r.*, row_number() over (partition by activity_id order by r.id) as pos from act join ver r on lower(r.discipline) = act.d and (act.t is null or act.t = r.activity_type)),
+pr as (select activity_id, r.id as item_id, list_cosine_similarity(act.v, r.v) as s from act join own using (activity_id) join ver r on own < 3),
+se as (select h.activity_id, r.*, rank as pos from {_HITS.format(by="activity_id", pairs="pr")} h join ver r on r.id = h.item_id join own o on o.activity_id = h.activity_id where rank <= 20 and lower(r.discipline) = o.d),
+path as (select activity_id, case when own >= 3 then 'exact' when activity_id in (select activity_id from se) then 'semantic' when own > 0 then 'few' else 'none' end as path from own),
+got as (select ex.*, path from ex join path using (activity_id) where path in ('exact', 'few') and pos <= 20 union all select se.*, path from se join path using (activity_id) where path = 'semantic'),
+st as (select activity_id, count(*) as n, {_r('count_if(delayed) / count(*)', 3)} as delay_frequency, {_r('avg(variance_days)', 2)} as mean_variance, 30.0::double as mean_planned, {_r('avg(actual_days)', 2)} as mean_actual from got group by 1),
+ca as (select activity_id, cause, count(*) as k, min(pos) as first from got where cause is not null group by 1, 2), cs as (select activity_id, string_agg(cause || '=' || k, ',' order by k desc, first) as causes from ca group by 1),
+risks as (select activity_id, path, coalesce(n, 0) as n, delay_frequency, mean_variance, mean_planned, mean_actual, case when n is null then 'UNKNOWN' when delay_frequency >= 0.60 then 'HIGH' when delay_frequency >= 0.35 then 'MEDIUM' else 'LOW' end as risk_level,
+  case when n is null then 'none' when n >= 10 then 'high' when n >= 4 then 'medium' else 'low' end as confidence,
+  cast(coalesce(greatest(0, case when delay_frequency >= 0.60 then greatest(ceil(mean_variance), ceil({_r('mean_variance * 1.2', 6)})) else ceil(mean_variance) end), 0) as bigint) as buffer, coalesce(causes, '') as causes
+  from path left join st using (activity_id) left join cs using (activity_id))"""
+
 ORACLE = {
+    "semantic_search": f"with {_RECORDS}, p as (select a.id as query_id, b.id as item_id, list_cosine_similarity(a.v, b.v) as s from rec a join ver b on a.id % 20 = 0) select query_id, rank, item_id, {_r('s', 6)} as score from {_HITS.format(by='query_id', pairs='p')} where rank <= 5",
+    "risk_assess_full": f"with {_RECORDS}, {_RISKS} select * from risks",
+    "risk_evidence": f"""with {_RECORDS}, {_RISKS}, p as (select activity_id, b.id as item_id, list_cosine_similarity(a.v, b.v) as s from act a join ver b on true),
+h as (select activity_id, count(*) as n, string_agg(item_id || ':' || discipline || ':' || variance_days, ' ' order by rank) as records from {_HITS.format(by='activity_id', pairs='p')} join ver on id = item_id where rank <= 8 group by 1)
+select activity_id, risk_level, path, cast(h.n as int) as n, records from risks join h using (activity_id)""",
     "clarification_outcomes": f"with {_MESSAGES} select * from outcomes",
     "clarification_rematch": f"""with {_MESSAGES} select key, question_seq, answer_seq, waited, cast(o_orderkey as varchar) as activity_id, case when o_orderkey is null then trim(answer) end as filled
 from outcomes left join orders on cast(o_orderkey as varchar) = split_part(trim(answer), ' ', 1) where outcome = 'answered'""",
