@@ -113,3 +113,30 @@ def outline_parents(rows: DataFrame) -> DataFrame:
     prefix = F.nullif(F.regexp_extract("outline", r"^(.*)\.[^.]+$", 1), F.lit(""))
     there = rows.select(F.col("outline").alias("parent")).distinct()
     return rows.withColumn("prefix", prefix).join(there, F.col("prefix") == F.col("parent"), "left").select("outline", "parent")
+
+
+def wbs_nodes(codes: DataFrame, separator: str = ".") -> DataFrame:
+    """(code, parent, name, level, path, discipline, location, made) of all nodes that dotted codes(code, name, discipline,
+    location) name, and of every ancestor that none names.
+
+    A node's discipline and location are its own, else what its nearest ancestor has; path has the names from the root
+    down, made says that no row names the node. Ancestors are read off the code itself, so that there is no round for each
+    level: a node meets its ancestors by their codes, one join. Of rows that repeat a code the least name counts, and of
+    each field the least value. Blank codes are left out.
+    """
+    c = codes.where(F.trim("code") != "").select(F.trim("code").alias("code"), F.nullif("name", F.lit("")).alias("name"), F.nullif("discipline", F.lit("")).alias("discipline"), F.nullif("location", F.lit("")).alias("location"))
+    c = c.groupBy("code").agg(F.min("name").alias("name"), F.min("discipline").alias("discipline"), F.min("location").alias("location"), F.lit(True).alias("named"))
+    parts = F.split("code", f"[{separator}]")
+    up = c.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), separator))).alias("code")).distinct()
+    nodes = _cut(up.join(c, "code", "left"))
+    steps = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), separator).alias("of")))
+    chain = nodes.select("code", F.explode(steps).alias("s")).select("code", "s.depth", "s.of")
+    met = chain.join(nodes.select(F.col("code").alias("of"), "name", "discipline", "location"), "of")
+    last = lambda v: F.max_by(v, F.when(F.col(v).isNotNull(), F.col("depth")))
+    got = met.groupBy("code").agg(
+        F.max("depth").alias("level"), F.array_sort(F.collect_list(F.struct("depth", F.coalesce("name", "of").alias("n")))).alias("names"),
+        last("discipline").alias("discipline"), last("location").alias("location"), F.max(F.when(F.col("of") == F.col("code"), F.col("name"))).alias("name"),
+    )
+    got = got.join(nodes.select("code", "named"), "code")
+    parent = F.nullif(F.regexp_extract("code", f"^(.*)[{separator}][^{separator}]*$", 1), F.lit(""))
+    return got.select("code", parent.alias("parent"), F.coalesce("name", "code").alias("name"), "level", F.array_join(F.col("names.n"), " > ").alias("path"), "discipline", "location", F.col("named").isNull().alias("made"))

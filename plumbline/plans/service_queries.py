@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import dot, rounded
+from plumbline.operators import graph as G
+from plumbline.operators import linking as K
 from plumbline.operators import search as Q
 from plumbline.operators.review import ACTIONS, AGENT_WEIGHTS, explored
 from plumbline.operators.scan import previous, row_number, scanned, weight_trace
@@ -124,7 +126,97 @@ def _evidence(s, d):
     return risk.join(rows, "query_id", "left").select(F.col("query_id").alias("activity_id"), "risk_level", "path", F.size("records").alias("n"), said.alias("records"))
 
 
+def _written(s, d):
+    """Documents as reports of whatever shape: two of three name their source as a tag, some have their text under another name."""
+    t, k = B.table(s, d, "documents"), F.col("doc_id")
+    o = B.table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm").alias("date"))
+    text = F.when(k % 3 > 0, F.concat(F.upper(F.regexp_replace("source", "([0-9])", "-$1").substr(1, 5)), F.lit(" "), F.col("text"))).otherwise(F.col("text"))
+    return t.join(o, "doc_id", "left").select(
+        k.alias("event_id"), F.when(k % 4 > 0, text).otherwise(F.lit("")).alias("raw_text"), F.when(k % 4 == 0, text).alias("description"), F.when(k % 5 > 0, F.upper("lang")).alias("discipline"),
+        F.when(k % 7 > 0, F.col("source")).alias("location"), "date", F.when(k % 2 == 0, "completed").alias("status_hint"),
+    )
+
+
+def _reported(s, d):
+    return K.coalesced_events(_written(s, d)).withColumn("event_id", F.col("event_id").cast("long"))
+
+
+def _items(s, d):
+    """Benchmark passages as planned activities, with the days of the orders of their numbers."""
+    b, k = B.table(s, d, "benchmark"), F.col("item_id").cast("long")
+    o = B.table(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("day"), "o_orderstatus")
+    lang = F.get(F.array(*map(F.lit, ["en", "de", "fr", "es"])), F.pmod(k, F.lit(4)).cast("int"))
+    out = b.join(o, k == F.col("k"), "left").select(
+        k.alias("activity_id"), F.when(k % 2 == 0, F.concat(F.col("text"), F.lit(" SRC-"), (k % 10).cast("string"))).otherwise(F.col("text")).alias("activity_name"), lang.alias("discipline"),
+        F.concat(F.lit("Area src"), (k % 20).cast("string")).alias("location"), F.when(k % 3 == 0, "SRC.1").otherwise("X.1").alias("wbs_id"), F.col("day").alias("planned_start"), F.date_add("day", 30).alias("planned_finish"),
+        F.when(k % 4 == 0, F.array().cast("array<bigint>")).otherwise(F.array(k - 1, k + 1)).alias("predecessors"), "o_orderstatus",
+    )
+    return out.drop("o_orderstatus"), out.where("o_orderstatus = 'F'").select("activity_id")
+
+
+def _matched(s, d):
+    a, done = _items(s, d)
+    return K.hybrid_match(_reported(s, d), a, done)
+
+
+def _matches(s, d):
+    m = _matched(s, d)
+    shown = F.array_join(F.transform("candidates", lambda c: F.concat_ws(":", c["activity_id"].cast("string"), F.format_number(c["score"], 3))), " ")
+    first = F.get("candidates", F.lit(0))["evidence"]
+    said = F.array_join(F.transform(F.filter(first, lambda e: e["matched"]), lambda e: e["signal"]), ",")
+    return m.select("event_id", "activity_id", "confidence", "decision", F.col("question").isNotNull().alias("asked"), shown.alias("candidates"), said.alias("signals"))
+
+
+def _weights(s, d):
+    """Weights after the index of three fifths of the passages has been added to twice, one text having been another before."""
+    b = B.table(s, d, "benchmark").select(F.col("item_id").cast("long").alias("id"), "text")
+    first = b.where("id % 5 < 3").withColumn("text", F.when(F.col("id") % 10 == 1, F.concat(F.lit("before it was changed "), F.col("text"))).otherwise(F.col("text")))
+    index = K.term_index(first).add(b.where("id % 5 = 3")).add(b.where("id % 5 = 4 or id % 10 = 1"))
+    return index.weights().select("id", "token", rounded(F.col("weight"), 6).alias("weight"))
+
+
+def _options(s, d):
+    """What is missing of an event is read off its number; its discipline and location are those of activities, or of none."""
+    e = B.table(s, d, "events")
+    k = F.col("event_id")
+    missing = F.when(k % 6 < 3, F.array(F.lit("status"), F.lit("asset"))).when(k % 6 == 3, F.array(F.lit("discipline"), F.lit("status"))).when(k % 6 == 4, F.array(F.lit("status"))).otherwise(F.when(k % 4 == 1, F.array(F.lit("location"))).otherwise(F.array().cast("array<string>")))
+    asked = e.select(
+        k.alias("event_id"), missing.alias("missing"), F.when(k % 5 == 0, None).when(k % 11 == 0, "nothing").otherwise(F.get(F.array(*map(F.lit, ["building", "AUTOMOBILE", "machinery"])), (k % 3).cast("int"))).alias("discipline"),
+        F.when(k % 7 < 3, F.substring(F.concat(F.lit("n"), F.col("event_type")), 1, 1)).alias("location"), F.when(k % 13 == 0, "1").alias("activity_type"),
+    )
+    a = B.activities(s, d).withColumn("activity_name", F.concat(F.lit("order "), F.col("activity_id").cast("string")))
+    return K.clarification_options(asked, a).select("event_id", "field", F.array_join("options", "|").alias("options"))
+
+
+def _tracked(s, d):
+    c = B.table(s, d, "events")
+    k = F.col("event_id")
+    state = F.get(F.array(*map(F.lit, ["auto_linked", "approved", "rejected", "superseded", "pending_review"])), (k % 5).cast("int"))
+    return c.select(k.alias("event_id"), state.alias("link_state"), F.when(k % 5 == 1, F.col("user_id")).alias("linked_activity_id"), F.when(k % 9 > 0, F.floor(F.abs("value") * 3).cast("long")).alias("matched_activity_id"), rounded(F.least(F.abs("value") / 1000, F.lit(1.0)), 3).alias("match_confidence"))
+
+
+def _shown(s, d):
+    names = B.table(s, d, "part").select(F.col("p_partkey").cast("long").alias("activity_id"), F.col("p_name").alias("activity_name"))
+    return K.public_events(_tracked(s, d), names)
+
+
+def _nodes(s, d):
+    """Suppliers' codes, region.nation.supplier; most nations and no regions but one have a row of their own."""
+    p, n = B.table(s, d, "supplier"), B.table(s, d, "nation")
+    code = F.concat_ws(".", F.col("n_regionkey").cast("string"), F.col("n_nationkey").cast("string"), F.col("s_suppkey").cast("string"))
+    leaf = p.join(n, p.s_nationkey == n.n_nationkey).select(code.alias("code"), F.col("s_name").alias("name"), F.lit(None).cast("string").alias("discipline"), F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).alias("location"))
+    mid = n.where("n_nationkey % 4 > 0").select(F.concat_ws(".", F.col("n_regionkey").cast("string"), F.col("n_nationkey").cast("string")).alias("code"), F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 3 == 0, "civil").alias("discipline"), F.col("n_name").alias("location"))
+    top = B.table(s, d, "region").where("r_regionkey = 1").select(F.col("r_regionkey").cast("string").alias("code"), F.col("r_name").alias("name"), F.lit("piping").alias("discipline"), F.lit(None).cast("string").alias("location"))
+    return G.wbs_nodes(leaf.unionByName(mid).unionByName(top))
+
+
 QUERIES = {
+    "hybrid_match": _matches,
+    "match_links": lambda s, d: K.links(_matched(s, d), _reported(s, d)),
+    "term_index_added": _weights,
+    "clarification_options": _options,
+    "public_events": _shown,
+    "wbs_nodes": _nodes,
     "semantic_search": lambda s, d: _found(s, d, 5).select("query_id", "rank", "item_id", rounded(F.col("score"), 6).alias("score")),
     "semantic_search_probed": _probed,
     "risk_assess_full": _risks,
@@ -151,6 +243,40 @@ _F = "[least(abs(value) / 1000, 1.0), (event_id % 10) / 10, case when status = '
 _ACTIONS = "[" + ", ".join(f"'{a}'" for a in ACTIONS) + "]"
 _START = ", ".join("[" + ", ".join(f"{x}::double" for x in w) + "]" for w in AGENT_WEIGHTS)
 
+_TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{M}}\p{{N}}_]{{2,}}')"
+_TERMS = "list_concat({w}, list_transform(range(1, greatest(len({w}), 1)), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
+_IDS = r"(?i)\b([A-Z]+-\d+|Line\s+\d+|Unit\s+\d+|Area\s+[A-Z])\b"
+_MATCH = rf"""ev0 as (select doc_id as k, case when doc_id % 3 > 0 then upper(substr(regexp_replace(source, '([0-9])', '-\1'), 1, 5)) || ' ' || text else text end as event_text, case when doc_id % 5 > 0 then upper(lang) end as discipline,
+  case when doc_id % 7 > 0 then source end as location, cast(o_orderdate as date) as day, case when doc_id % 2 = 0 then 'completed' else 'unknown' end as status_hint from documents left join orders on o_orderkey = doc_id),
+ev as materialized (select *, regexp_extract_all(event_text, '{_IDS}', 1) as ids, len(list_filter(regexp_split_to_array(trim(event_text), '\s+'), lambda x: x <> '')) <= 6 as vague from (select * replace (coalesce(event_text, '') as event_text) from ev0)),
+act as materialized (select item_id::bigint as id, case when item_id % 2 = 0 then text || ' SRC-' || (item_id % 10) else text end as name, ['en', 'de', 'fr', 'es'][(item_id % 4 + 1)::int] as discipline, 'Area src' || (item_id % 20) as location,
+  case when item_id % 3 = 0 then 'SRC.1' else 'X.1' end as wbs, cast(o_orderdate as date) as start, cast(o_orderdate as date) + 30 as finish, case when item_id % 4 = 0 then [] else [item_id - 1, item_id + 1] end as preds, o_orderstatus = 'F' as done
+  from benchmark left join orders on o_orderkey = item_id),
+ready as (select a.id, case when len(a.preds) = 0 then 0.03::double when count(b.id) = len(a.preds) then 0.05::double when count(b.id) > 0 then 0.02::double else 0.0::double end as dep from act a left join act b on b.done and list_contains(a.preds, b.id) group by a.id, a.preds),
+aw as (select id, {_TOKENS.format("concat_ws(' ', name, discipline, location, wbs)")} as w from act), ak as (select id, unnest({_TERMS.format(w='w')}) as token from aw),
+atf as (select id, token, count(*) as tf from ak group by 1, 2), df as (select token, ln((1 + (select count(*) from act)) / (1 + count(*))) + 1 as idf from atf group by 1),
+ax as (select id, token, tf * idf as w from atf join df using (token)), an as (select id, sqrt(sum(w * w)) as norm from ax group by 1), awt as materialized (select id, token, w / norm as w from ax join an using (id)),
+ew as (select k, {_TOKENS.format('event_text')} as w from ev), ek as (select k, unnest({_TERMS.format(w='w')}) as token from ew), ex as (select k, token, count(*) * first(idf) as w from ek join df using (token) group by 1, 2),
+en as (select k, sqrt(sum(w * w)) as norm from ex group by 1), sim as (select k, id, sum(ex.w / norm * awt.w) as s from ex join en using (k) join awt using (token) group by 1, 2),
+st0 as materialized (select *, row_number() over (partition by k order by {_r('s', 8)} desc, id) as place from sim qualify place <= 10), held as (select ev.k, coalesce(list(st0.id) filter (where st0.id is not null), []) as held from ev left join st0 using (k) group by 1),
+pool as (select list(id order by id)[1:20] as ids from act), fill as (select k, list_filter(ids, lambda x: not list_contains(held, x))[1 : 10 - len(held)] as more, len(held) as n from held, pool where len(held) < 10),
+st as (select k, id, s, place from st0 union all select k, more[i], 0.0::double, n + i from (select k, more, n, unnest(range(1, len(more) + 1)) as i from fill)),
+sc as materialized (select st.k, st.id, place, s, case when len(list_filter(ids, lambda x: contains(upper(name), upper(x)))) > 0 then 0.20::double else 0 end as b1, case when lower(ev.discipline) = lower(act.discipline) then 0.15::double else 0 end as b2,
+  case when contains(lower(act.location), lower(ev.location)) then 0.10::double else 0 end as b3, case when len(list_filter(ids, lambda x: regexp_matches(x, '^[A-Za-z]+-\d+$') and starts_with(wbs, upper(substr(regexp_extract(x, '^([A-Za-z]+)', 1), 1, 3))))) > 0 then 0.05::double else 0 end as b4,
+  case when day between start and finish then 0.05::double when least(abs(date_diff('day', start, day)), abs(date_diff('day', finish, day))) <= 7 then 0.02::double else 0 end as b5, dep as b6
+  from st join ev using (k) join act using (id) join ready using (id)),
+rk as (select *, least(1.0, s + b1 + b2 + b3 + b4 + b5 + b6) as score, row_number() over (partition by k order by {_r('least(1.0, s + b1 + b2 + b3 + b4 + b5 + b6)', 8)} desc, place) as rank from sc),
+ma as (select k, max(score) as s, max(score) filter (where rank = 2) as second, string_agg(id || ':' || printf('%.3f', {_r('score', 3)}), ' ' order by rank) as candidates, min_by(id, rank) as best,
+  min_by(concat_ws(',', 'semantic_similarity', case when b1 > 0 then 'identifier' end, case when b2 > 0 then 'discipline' end, case when b3 > 0 then 'location' end, case when b4 > 0 then 'wbs' end, case when b5 > 0 then 'temporal' end, case when b6 > 0 then 'dependency' end), rank) as signals
+  from rk where rank <= 3 group by 1),
+mt as (select ma.*, vague and len(ids) = 0 and coalesce(s - second < 0.08, false) as unclear, status_hint from ma join ev using (k)),
+matches as (select k as event_id, case when not unclear then best end as activity_id, {_r('s', 3)} as confidence, case when unclear then 'clarification_needed' when s >= 0.85 then 'auto_linked' when s >= 0.65 then 'pending_review' else 'unmatched' end as decision,
+  unclear as asked, candidates, signals, status_hint from mt)"""
+_FULL = rf"""aw as (select item_id::bigint as id, {_TOKENS.format('text')} as w from benchmark), ak as (select id, unnest({_TERMS.format(w='w')}) as token from aw), atf as (select id, token, count(*) as tf from ak group by 1, 2),
+df as (select token, ln((1 + (select count(*) from aw)) / (1 + count(*))) + 1 as idf from atf group by 1), ax as (select id, token, tf * idf as w from atf join df using (token)), an as (select id, sqrt(sum(w * w)) as norm from ax group by 1)"""
+_ASKED = f"""q as (select event_id, case when event_id % 6 < 3 then 'asset' when event_id % 6 = 3 then 'discipline' when event_id % 6 = 4 then 'status' when event_id % 4 = 1 then 'location' end as field,
+  case when event_id % 5 = 0 then null when event_id % 11 = 0 then 'nothing' else ['building', 'automobile', 'machinery'][(event_id % 3 + 1)::int] end as d, case when event_id % 7 < 3 then 'n' end as l, case when event_id % 13 = 0 then '1' end as t from events),
+k as (select distinct d, l, t from q where field = 'asset'), f as (select k.d, k.l, k.t, list(activity_id order by activity_id)[1:5] as ids from k join activities a on (k.d is null or lower(a.discipline) = k.d) and (k.l is null or contains(lower(location), k.l)) and (k.t is null or contains('order ' || activity_id, k.t)) group by 1, 2, 3)"""
 _RECORDS = """rec as (select vec_id as id, cast(embedding as double[]) as v, 'D' || (label % 5) as discipline, case when vec_id % 2 = 0 then 't0' else 't' || (vec_id % 40) end as activity_type, vec_id % 9 > 0 as verified,
   cast(22 + o_custkey % 20 as int) as actual_days, cast(o_custkey % 20 - 8 as int) as variance_days, o_custkey % 20 > 8 as delayed, case when o_custkey % 20 > 8 and vec_id % 11 > 0 then o_orderpriority end as cause from embeddings join orders on vec_id = o_orderkey),
 ver as (select * from rec where verified)"""
@@ -170,6 +296,20 @@ risks as (select activity_id, path, coalesce(n, 0) as n, delay_frequency, mean_v
   from path left join st using (activity_id) left join cs using (activity_id))"""
 
 ORACLE = {
+    "hybrid_match": f"with {_MATCH} select * exclude (status_hint) from matches",
+    "match_links": f"with {_MATCH} select event_id, activity_id, confidence, status_hint from matches where decision = 'auto_linked'",
+    "term_index_added": f"with {_FULL} select id, token, {_r('w / norm', 6)} as weight from ax join an using (id)",
+    "clarification_options": f"""with {B.SQL}, {_ASKED}, o as (select q.*, coalesce(ids, (select list(activity_id order by activity_id)[1:5] from activities)) as ids from q left join f on q.d is not distinct from f.d and q.l is not distinct from f.l and q.t is not distinct from f.t)
+select event_id, field, case field when 'asset' then array_to_string(list_transform(ids, lambda x: x || ' — order ' || x), '|') when 'discipline' then 'piping|electrical|civil|instrumentation|mechanical' when 'status' then 'started|in_progress|completed' end as options from o where field is not null""",
+    "public_events": f"""with x as (select event_id, ['auto_linked', 'approved', 'rejected', 'superseded', 'pending_review'][(event_id % 5 + 1)::int] as link_state, case when event_id % 5 = 1 then user_id end as linked,
+  case when event_id % 9 > 0 then cast(floor(abs(value) * 3) as bigint) end as proposed, {_r('least(abs(value) / 1000, 1.0)', 3)} as match_confidence from events), y as (select *, coalesce(linked, case when link_state not in ('rejected', 'superseded') then proposed end) as shown from x)
+select event_id, link_state, proposed as proposed_activity_id, match_confidence, shown as matched_activity_id, p_name as matched_activity_name from y left join part on p_partkey = shown""",
+    "wbs_nodes": """with leaf as (select n_regionkey as r, n_nationkey as n, s_suppkey as s, s_name, n_name from supplier join nation on s_nationkey = n_nationkey),
+reg as (select distinct r, case when r = 1 then (select r_name from region where r_regionkey = 1) else r::varchar end as name, case when r = 1 then 'piping' end as disc from (select r from leaf union select n_regionkey from nation where n_nationkey % 4 > 0 union select 1)),
+nat as (select distinct x.r, x.n, case when x.n % 4 > 0 then n_name else x.r || '.' || x.n end as name, case when x.n % 4 > 0 and x.n % 3 = 0 then 'civil' end as disc, case when x.n % 4 > 0 then n_name end as loc from (select r, n from leaf union select n_regionkey, n_nationkey from nation where n_nationkey % 4 > 0) x join nation on n_nationkey = x.n)
+select r::varchar as code, null as parent, name, 1::int as level, name as path, disc as discipline, null as location, r <> 1 as made from reg
+union all select r || '.' || n, r::varchar, nat.name, 2, reg.name || ' > ' || nat.name, coalesce(nat.disc, reg.disc), loc, n % 4 = 0 from nat join reg using (r)
+union all select r || '.' || n || '.' || s, r || '.' || n, s_name, 3, reg.name || ' > ' || nat.name || ' > ' || s_name, coalesce(nat.disc, reg.disc), coalesce(case when s % 3 = 0 then s_name end, nat.loc), false from leaf join nat using (r, n) join reg using (r)""",
     "semantic_search": f"with {_RECORDS}, p as (select a.id as query_id, b.id as item_id, list_cosine_similarity(a.v, b.v) as s from rec a join ver b on a.id % 20 = 0) select query_id, rank, item_id, {_r('s', 6)} as score from {_HITS.format(by='query_id', pairs='p')} where rank <= 5",
     "risk_assess_full": f"with {_RECORDS}, {_RISKS} select * from risks",
     "risk_evidence": f"""with {_RECORDS}, {_RISKS}, p as (select activity_id, b.id as item_id, list_cosine_similarity(a.v, b.v) as s from act a join ver b on true),
