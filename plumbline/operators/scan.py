@@ -59,6 +59,11 @@ def previous(value: Column) -> Running:
     return Running("lag", value)
 
 
+def running_last(value: Column) -> Running:
+    """The last value that is not null, up to and with the row."""
+    return Running("last", value)
+
+
 def following(value: Column) -> Running:
     """The value of the row after; null at the last."""
     return Running("lead", value)
@@ -86,6 +91,9 @@ def scanned(rows: DataFrame, order: list[str], **columns: Running) -> DataFrame:
             before.append(F.sum(t).over(ahead).alias(f"__b_{n}"))
         elif c.kind == "row":
             before.append(F.sum("__n").over(ahead).alias(f"__b_{n}"))
+        elif c.kind == "last":
+            folds.append(F.max_by(v, F.when(F.col(v).isNotNull(), key)).alias(t))
+            before.append(F.last(t, True).over(ahead).alias(f"__b_{n}"))
         elif c.kind == "lag":
             folds.append(F.max_by(F.struct(v), key).alias(t))
             before.append(F.lag(t).over(behind).alias(f"__b_{n}"))
@@ -104,6 +112,8 @@ def scanned(rows: DataFrame, order: list[str], **columns: Running) -> DataFrame:
         elif c.kind == "sum":
             own = F.sum(v).over(upto)
             out[n] = F.when(own.isNull() & b.isNull(), None).otherwise(F.coalesce(own, F.lit(0)) + F.coalesce(b, F.lit(0)))
+        elif c.kind == "last":
+            out[n] = F.coalesce(F.last(v, True).over(upto), b)
         elif c.kind == "row":
             out[n] = F.row_number().over(inner).cast("long") + F.coalesce(b, F.lit(0))
         else:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.functions.progress import looked_up
+from plumbline.operators.scan import row_number, scanned
 
 # Beginnings of lines that tell no work.
 META = r"(?i)^\s*(project|date|prepared by|report|weather|page)\b"
@@ -53,15 +54,25 @@ def extracted(said: DataFrame, text: str = "sentence", source: str = "daily_repo
 
 
 def sheet(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a discipline's field sheet (CSV): raw text, status as it stands and normalised, quantity, unit, date."""
+    """Rows of disciplines' field sheets (CSV files of one shape): raw text, status as it stands and normalised, quantity,
+    unit, date, source_file, and source_reference, row_n for the n-th line of its file, the header being the first.
+
+    Rows without a description go, but are counted. Places come from a scan over the order of files, so that neither one
+    large file nor many small ones are one task."""
     df = spark.read.csv(path, header=True)
     have = {c.strip().lower().replace(" ", "_"): c for c in df.columns}
-    pick = lambda *names: next((F.col(f"`{have[n]}`") for n in names if n in have), F.lit(None).cast("string"))
+    pick = lambda *names: next((F.nullif(F.trim(F.col(f"`{have[n]}`")), F.lit("")) for n in names if n in have), F.lit(None).cast("string"))
     what, place, status = pick("activity_description", "description", "activity"), pick("location", "area"), pick("status")
-    return df.select(
-        F.concat_ws(", ", what, place, status).alias("sentence"), F.lower(pick("discipline")).alias("discipline"), place.alias("location"), F.lower(status).alias("status_raw"),
-        F.regexp_replace(F.lower(status), r"[\s-]+", "_").alias("status"), pick("quantity").try_cast("double").alias("quantity"), pick("unit").alias("unit"), T.schedule_date(pick("date")).alias("report_date"),
+    rows = df.select(
+        what.alias("description"), F.concat_ws(",", what, place, status).alias("sentence"), F.lower(pick("discipline")).alias("discipline"), place.alias("location"), F.coalesce(F.lower(status), F.lit("unknown")).alias("status_raw"),
+        F.coalesce(F.regexp_replace(F.lower(status), r"[\s-]+", "_"), F.lit("unknown")).alias("status"), pick("quantity").try_cast("double").alias("quantity"), pick("unit").alias("unit"), T.schedule_date(pick("date")).alias("report_date"),
+        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"),
     )
+    order = ["source_file", "block", "pos"]
+    rows = scanned(rows, order, n=row_number())
+    first = rows.groupBy("source_file").agg(F.min("n").alias("first"))  # one row a file
+    rows = rows.join(first, "source_file").where("description is not null")
+    return rows.withColumn("source_reference", F.concat(F.lit("row_"), (F.col("n") - F.col("first") + 2).cast("string"))).drop("description", "block", "pos", "n", "first")
 
 
 def history_csv(spark: SparkSession, path: str) -> DataFrame:

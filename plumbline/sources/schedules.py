@@ -1,18 +1,20 @@
 """Readers of planned schedules: CSV/TSV, JSON, P6 XER, P6 XML, MS Project XML -> one schema.
 
 All readers give activity_id, activity_name, wbs_id, wbs_level int, discipline, location, start_raw, finish_raw,
-planned_start, planned_finish date, duration_days int, predecessors, successors array<string>, status. Inputs are any
-path that Spark reads; only the head of a file is looked at on the driver, to tell its format.
+planned_start, planned_finish date, duration_days int, predecessors, successors array<string>, status, source_file. Inputs
+are any path that Spark reads, a file or a folder of files of one format; only the head of one is looked at on the driver,
+to tell the format. Numbers that files use inside, of tasks and nodes, belong to their file.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.progress import export_status
 from plumbline.functions.text import schedule_date
 from plumbline.operators.quality import level_of
+from plumbline.operators.scan import running_last, scanned
 
 # Column names that stand for a field, the first that is there counts.
 ALIASES = {
@@ -47,29 +49,43 @@ def detect(path: str, head: str) -> str:
 
 
 def read_schedule(spark: SparkSession, path: str, text: str | None = None) -> DataFrame:
-    """The activities of a file, or of text given as its content; an unknown format is read as CSV."""
-    head = text[:4096] if text is not None else spark.read.text(path, wholetext=True).select(F.substring("value", 1, 4096)).first()[0]
-    lines = spark.createDataFrame([(text,)], "value string") if text is not None else spark.read.text(path, wholetext=True)
-    kind = detect(path, head)
+    """The activities of a file or a folder of files, or of text given as content; an unknown format is read as CSV."""
+    inline = text is not None
+    head = text[:4096] if inline else spark.read.text(path, wholetext=True).select(F.substring("value", 1, 4096)).first()[0]
+    whole = spark.createDataFrame([("", text)], "file string, value string") if inline else contents(spark, path)
+    kind = detect(path if inline else spark.read.text(path).inputFiles()[0], head)
     if kind == "xer":
-        return from_xer(lines)
+        return from_xer(whole) if inline else xer_activities(xer_lines(spark, path))
     if kind == "primavera_xml":
-        return from_p6_xml(lines)
+        return from_p6_xml(whole)
     if kind == "msproject_xml":
-        return from_msproject_xml(lines)
+        return from_msproject_xml(whole)
     if kind == "json":
-        return from_json(lines)
-    if text is not None:
-        return from_csv_lines(lines, head)
-    first = head.split("\n")[0]
-    sep = "\t" if "\t" in first and "," not in first else ";" if ";" in first and "," not in first else ","
-    return from_columns(spark.read.csv(path, header=True, sep=sep, mode="PERMISSIVE"))
+        return from_json(whole)
+    if inline:
+        return from_csv_lines(whole, head)
+    sep = _separator(head.split("\n")[0])
+    rows = spark.read.csv(path, header=True, sep=sep, mode="PERMISSIVE")
+    return from_columns(rows.select("*", F.col("_metadata.file_path").alias("__file")))
+
+
+def contents(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value): the files of a path, each as one text."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+
+
+def _filed(content: DataFrame) -> DataFrame:
+    return content if "file" in content.columns else content.withColumn("file", F.lit(""))
+
+
+def _separator(line: str) -> str:
+    return "\t" if "\t" in line and "," not in line else ";" if ";" in line and "," not in line else ","
 
 
 def from_csv_lines(content: DataFrame, head: str) -> DataFrame:
     """CSV held as one text: lines are parsed by from_csv against the header's columns."""
     first = head.split("\n")[0].strip()
-    sep = "\t" if "\t" in first and "," not in first else ";" if ";" in first and "," not in first else ","
+    sep = _separator(first)
     names = [n.strip().strip('"') for n in first.split(sep)]
     schema = ", ".join(f"`{n}` string" for n in names)
     lines = content.select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")).where("pos > 0 and trim(line) <> ''")
@@ -83,7 +99,8 @@ def from_columns(df: DataFrame) -> DataFrame:
     for field, names in ALIASES.items():
         at = next((have[n.replace(" ", "_")] for n in names if n.replace(" ", "_") in have), None)
         pick[field] = F.col(f"`{at}`") if at else F.lit(None).cast("string")
-    return _typed(df.select(*[v.alias(k) for k, v in pick.items()]), dict(df.dtypes), have)
+    file = F.col("__file") if "__file" in df.columns else F.lit("")
+    return _typed(df.select(*[v.alias(k) for k, v in pick.items()], file.alias("file")))
 
 
 def _edges(c: str, kind: str) -> Column:
@@ -93,7 +110,7 @@ def _edges(c: str, kind: str) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
-def _typed(df: DataFrame, kinds: dict | None = None, have: dict | None = None) -> DataFrame:
+def _typed(df: DataFrame) -> DataFrame:
     kind = dict(df.dtypes)
     df = df.withColumns({"planned_start": schedule_date(F.col("start_raw").cast("string")), "planned_finish": schedule_date(F.col("finish_raw").cast("string"))})
     number = F.regexp_replace(F.lower(F.col("duration_raw").cast("string")), r"[hd]|days?|hours?", "").try_cast("double")
@@ -101,7 +118,7 @@ def _typed(df: DataFrame, kinds: dict | None = None, have: dict | None = None) -
     return df.select(
         "activity_id", "activity_name", "wbs_id", level_of(F.col("wbs_level").cast("string")).alias("wbs_level"), "discipline", "location", "start_raw", "finish_raw",
         "planned_start", "planned_finish", F.coalesce(given, F.datediff("planned_finish", "planned_start") + 1, F.lit(1)).alias("duration_days"),
-        _edges("predecessors", kind["predecessors"]).alias("predecessors"), _edges("successors", kind["successors"]).alias("successors"), export_status(F.col("status").cast("string")).alias("status"),
+        _edges("predecessors", kind["predecessors"]).alias("predecessors"), _edges("successors", kind["successors"]).alias("successors"), export_status(F.col("status").cast("string")).alias("status"), F.col("file").alias("source_file"),
     )
 
 
@@ -109,30 +126,38 @@ def from_json(content: DataFrame) -> DataFrame:
     """A list of activities, or an object that holds one under `activities`; edges as lists or comma text."""
     doc = F.try_parse_json("value")
     items = F.coalesce(F.try_variant_get(doc, "$.activities", "array<variant>"), F.try_variant_get(doc, "$", "array<variant>"))
-    rows = content.select(F.explode(items).alias("a"))
+    rows = _filed(content).select("file", F.explode(items).alias("a"))
     get = lambda field: F.coalesce(*[F.try_variant_get("a", f"$.{n}", "string") for n in ALIASES[field]])
     lists = lambda field: F.coalesce(*[F.array_join(F.try_variant_get("a", f"$.{n}", "array<string>"), ",") for n in ALIASES[field]], get(field))
-    return _typed(rows.select(*[(lists(f) if f in ("predecessors", "successors") else get(f)).alias(f) for f in ALIASES]))
+    return _typed(rows.select("file", *[(lists(f) if f in ("predecessors", "successors") else get(f)).alias(f) for f in ALIASES]))
 
 
-def xer_records(content: DataFrame) -> DataFrame:
-    """(file, pos, table, record map) of P6 XER text: %T names a table, %F its fields, %R a record."""
-    lines = content.withColumn("file", F.monotonically_increasing_id()).select("file", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+def xer_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, pos, line): the lines of files, read in splits, in the order of block and pos within a file."""
+    m = "_metadata.file_"
+    return spark.read.text(path).select(F.col(f"{m}path").alias("file"), F.col(f"{m}block_start").alias("block"), F.monotonically_increasing_id().alias("pos"), F.regexp_replace("value", "\r$", "").alias("line"))
+
+
+def xer_records(lines: DataFrame) -> DataFrame:
+    """(file, block, pos, table, record map) of P6 XER lines: %T names a table, %F its fields, %R a record.
+
+    Which table and fields a record has is filled forward over all lines by a scan, so that a large file is many tasks."""
     cells = lines.withColumn("cells", F.split("line", "\t")).withColumn("tag", F.get("cells", F.lit(0)))
-    w = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rest = F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0)))
-    filled = cells.withColumns(
-        {
-            "table": F.last(F.when(F.col("tag") == "%T", F.get("cells", F.lit(1))), True).over(w),
-            "fields": F.last(F.when(F.col("tag") == "%F", rest), True).over(w),
-        }
-    )
-    values = F.transform("fields", lambda f, i: F.nullif(F.get(rest, i), F.lit("")))
-    return filled.where("tag = '%R'").select("file", "pos", "table", F.map_from_arrays("fields", values).alias("record"))
+    cells = cells.withColumn("rest", rest).where(F.col("tag").isin("%T", "%F", "%R"))
+    filled = scanned(cells, ["file", "block", "pos"], table=running_last(F.when(F.col("tag") == "%T", F.get("cells", F.lit(1)))), fields=running_last(F.when(F.col("tag") == "%F", F.col("rest"))))
+    values = F.transform("fields", lambda f, i: F.nullif(F.get("rest", i), F.lit("")))
+    return filled.where("tag = '%R'").select("file", "block", "pos", "table", F.map_from_arrays("fields", values).alias("record"))
 
 
 def from_xer(content: DataFrame) -> DataFrame:
-    recs = xer_records(content)
+    """The activities of XER texts (column value, and file if there are several)."""
+    lines = _filed(content).select("file", F.lit(0).cast("long").alias("block"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+    return xer_activities(lines)
+
+
+def xer_activities(lines: DataFrame) -> DataFrame:
+    recs = xer_records(lines)
     of = lambda name: recs.where(F.col("table") == name)
     g = lambda k: F.col("record")[k]
     task = of("TASK").select("file", g("task_id").alias("task_id"), "record")
@@ -154,7 +179,7 @@ def from_xer(content: DataFrame) -> DataFrame:
     days = F.greatest(F.lit(1), F.bround(hours / HOURS)).cast("int").cast("string")
     return _typed(
         t.select(
-            F.coalesce(g("task_code"), F.col("task_id")).alias("activity_id"), g("task_name").alias("activity_name"), F.coalesce("wbs_code", "wbs_key").alias("wbs_id"), none.alias("wbs_level"),
+            "file", F.coalesce(g("task_code"), F.col("task_id")).alias("activity_id"), g("task_name").alias("activity_name"), F.coalesce("wbs_code", "wbs_key").alias("wbs_id"), none.alias("wbs_level"),
             none.alias("discipline"), none.alias("location"), F.coalesce(g("target_start_date"), g("early_start_date")).alias("start_raw"), F.coalesce(g("target_end_date"), g("early_end_date")).alias("finish_raw"),
             days.alias("duration_raw"), F.coalesce("predecessors", empty).alias("predecessors"), F.coalesce("successors", empty).alias("successors"), g("status_code").alias("status"),
         )
@@ -165,20 +190,20 @@ def _elements(content: DataFrame, tag: str, schema: str) -> DataFrame:
     """The elements `tag` of XML text, namespaces left out, by Spark's own XML parser."""
     bare = F.regexp_replace(F.regexp_replace("value", r"\sxmlns(:\w+)?=\"[^\"]*\"", ""), r"<(/?)\w+:", "<$1")
     parts = F.regexp_extract_all(bare, F.lit(rf"(?s)(<{tag}(?:\s[^>]*)?>.*?</{tag}>)"), F.lit(1))
-    return content.select(F.explode(parts).alias("x")).select(F.from_xml("x", schema).alias("e")).select("e.*")
+    return _filed(content).select("file", F.explode(parts).alias("x")).select("file", F.from_xml("x", schema).alias("e")).select("file", "e.*")
 
 
 def from_p6_xml(content: DataFrame) -> DataFrame:
     """Activities of a P6 XML export; planned durations are hours, and edges are not part of it."""
     fields = ["Id", "Name", "WBSObjectId", "WBSCode", "PlannedStartDate", "PlannedFinishDate", "PlannedDuration", "Status"]
     a = _elements(content, "Activity", ", ".join(f"{f} string" for f in fields))
-    wbs = _elements(content, "WBS", "ObjectId string, Code string").select(F.col("ObjectId").alias("WBSObjectId"), F.col("Code").alias("code"))
-    a = a.join(wbs, "WBSObjectId", "left")
+    wbs = _elements(content, "WBS", "ObjectId string, Code string").select("file", F.col("ObjectId").alias("WBSObjectId"), F.col("Code").alias("code"))
+    a = a.join(wbs, ["file", "WBSObjectId"], "left")
     none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
     days = F.greatest(F.lit(1), F.bround(F.col("PlannedDuration").try_cast("double") / HOURS)).cast("int").cast("string")
     return _typed(
         a.select(
-            F.col("Id").alias("activity_id"), F.col("Name").alias("activity_name"), F.coalesce("code", "WBSCode", "WBSObjectId").alias("wbs_id"), none.alias("wbs_level"), none.alias("discipline"), none.alias("location"),
+            "file", F.col("Id").alias("activity_id"), F.col("Name").alias("activity_name"), F.coalesce("code", "WBSCode", "WBSObjectId").alias("wbs_id"), none.alias("wbs_level"), none.alias("discipline"), none.alias("location"),
             F.col("PlannedStartDate").alias("start_raw"), F.col("PlannedFinishDate").alias("finish_raw"), days.alias("duration_raw"), empty.alias("predecessors"), empty.alias("successors"), F.col("Status").alias("status"),
         )
     )
@@ -197,15 +222,15 @@ def from_msproject_xml(content: DataFrame) -> DataFrame:
     t = _elements(content, "Task", schema)
     part = F.nullif(F.regexp_extract("Name", r"^([A-Za-z0-9._-]+)\s*:", 1), F.lit(""))
     t = t.withColumn("activity_id", F.coalesce(part, F.nullif("WBS", F.lit("")), F.concat(F.lit("TASK-"), F.col("UID"))))
-    ids = t.select(F.col("UID").alias("p_uid"), F.col("activity_id").alias("p_id"))
-    links = t.select("UID", F.posexplode("PredecessorLink.PredecessorUID").alias("pos", "p_uid")).join(ids, "p_uid", "left")
-    preds = links.groupBy("UID").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("p_id", "p_uid").alias("p")))).alias("ps")).select("UID", F.col("ps.p").alias("predecessors"))
-    t = t.where(F.coalesce(F.col("Summary"), F.lit("0")) != "1").join(preds, "UID", "left")
+    ids = t.select("file", F.col("UID").alias("p_uid"), F.col("activity_id").alias("p_id"))
+    links = t.select("file", "UID", F.posexplode("PredecessorLink.PredecessorUID").alias("pos", "p_uid")).join(ids, ["file", "p_uid"], "left")
+    preds = links.groupBy("file", "UID").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("p_id", "p_uid").alias("p")))).alias("ps")).select("file", "UID", F.col("ps.p").alias("predecessors"))
+    t = t.where(F.coalesce(F.col("Summary"), F.lit("0")) != "1").join(preds, ["file", "UID"], "left")
     none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
     name = F.trim(F.regexp_replace("Name", r"^[A-Za-z0-9._-]+\s*:", ""))
     return _typed(
         t.select(
-            "activity_id", name.alias("activity_name"), F.coalesce("WBS", "OutlineNumber").alias("wbs_id"), F.col("OutlineLevel").alias("wbs_level"), none.alias("discipline"), none.alias("location"),
+            "file", "activity_id", name.alias("activity_name"), F.coalesce("WBS", "OutlineNumber").alias("wbs_id"), F.col("OutlineLevel").alias("wbs_level"), none.alias("discipline"), none.alias("location"),
             F.col("Start").alias("start_raw"), F.col("Finish").alias("finish_raw"), iso_days(F.col("Duration")).cast("string").alias("duration_raw"), F.coalesce("predecessors", empty).alias("predecessors"), empty.alias("successors"), none.alias("status"),
         )
     )
