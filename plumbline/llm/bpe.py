@@ -20,7 +20,6 @@ from collections import Counter
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +43,8 @@ def tokenizer(path: str):
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """(id, piece), special tokens included."""
+    import pandas as pd
+
     rows = [(i, p) for p, i in tokenizer(path).get_vocab(with_added_tokens=True).items()]
     return spark.createDataFrame(pd.DataFrame(rows, columns=["id", "piece"])).select(F.col("id").cast("int").alias("id"), "piece")
 

@@ -13,7 +13,6 @@ from collections.abc import Callable
 from itertools import permutations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,16 +103,18 @@ def counting_sketch(hashes: DataFrame, size: int) -> np.ndarray:
 
 def may_repeat(spark, sketch: np.ndarray):
     """A column function of a hash: whether the sketch leaves it possible that several rows have it."""
+    import pandas as pd
+
     sent, size = spark.sparkContext.broadcast(sketch), 4 * len(sketch)
 
-    @F.pandas_udf("boolean")
-    def judge(h: pd.Series) -> pd.Series:
+    def judge(h):
         s, least = sent.value, np.full(len(h), 3, np.uint8)
         for at in _places(h.to_numpy(np.int64), size):
             least = np.minimum(least, s[at >> 2] >> (2 * (at & 3)).astype(np.uint8) & 3)
         return pd.Series(least > 1)
 
-    return judge
+    judge.__annotations__ = {"h": pd.Series, "return": pd.Series}
+    return F.pandas_udf(judge, "boolean")
 
 
 def failed_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source", content_hash: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
