@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType
 from plumbline.functions import text as T
 from plumbline.functions.numbers import containment, jaccard, rounded
 from plumbline.functions.progress import AUTO, REVIEW, routed
+from plumbline.operators.scan import scratch
 
 
 def words(text: Column) -> Column:
@@ -157,29 +158,39 @@ def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def duplicate_pairs(items: DataFrame, threshold: float = 0.7, keys: tuple[str, ...] = ("discipline", "day")) -> DataFrame:
-    """(a, b, similarity) of items(id, seq, text, keys) that share the blocking keys and whose words overlap enough.
+    """(a, b, similarity) of items(id, text, keys) that share the blocking keys and whose words overlap enough.
 
     Inside a block pairs meet through the rarest words of each: sets of Jaccard similarity t share at least t * n words
-    with either, so that one of the first n - t * n + 1 words, rarest first, is common to both. A pair needs a common word.
+    with either, so that one of the first n - t * n + 1 words, rarest first, is common to both. Only numbers meet: a pair is
+    dropped where the sizes, or what both have left behind the place of the common word, can't reach the threshold; words
+    are joined to the pairs that stay. Items of one set of words are one in this, so that many copies do not pair with each
+    other; each of their pairs is given at the end. A pair needs a common word; null keys meet none.
     """
-    w = items.select("id", *keys, words(F.col("text")).alias("ws")).withColumn("n", F.size("ws"))
-    flat = w.select("id", "n", *keys, F.explode("ws").alias("w"))
+    w = items.select("id", *keys, F.sort_array(words(F.col("text"))).alias("ws")).where(F.size("ws") > 0)
+    sets = w.groupBy(*keys, "ws").agg(F.min("id").alias("set"), F.size("ws").alias("n"))
+    member = w.join(sets, [*keys, "ws"]).select("set", "id")
+    flat = sets.select("set", "n", *keys, F.explode("ws").alias("w"))
     seen = flat.groupBy("w").agg(F.count("*").alias("f"))
-    ranked = flat.join(seen, "w").groupBy("id", "n", *keys).agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("s"))
+    ranked = flat.join(seen, "w").groupBy("set", "n", *keys).agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("s"))
     length = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
-    head = ranked.select("id", "n", *keys, F.explode(F.slice("s", F.lit(1), F.greatest(F.least(length, F.col("n")), F.lit(1)))).alias("x")).select("id", "n", *keys, "x.w")
+    head = ranked.select("set", "n", *keys, F.posexplode(F.slice("s", F.lit(1), F.greatest(F.least(length, F.col("n")), F.lit(1)))).alias("pos", "x")).select("set", "n", "pos", *keys, "x.w")
     a, b = head.alias("a"), head.alias("b")
-    cond = F.col("a.w") == F.col("b.w")
+    cond = (F.col("a.w") == F.col("b.w")) & (F.col("a.set") < F.col("b.set"))
     for k in keys:
         cond = cond & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    # sets of sizes n <= m can reach the threshold only if n >= threshold * m
-    sized = (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold - 1e-9) & (F.col("a.id") < F.col("b.id"))
-    met = a.join(b, cond & sized).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    sets = w.select("id", "ws", "n")
-    both = met.join(sets.select(F.col("id").alias("a"), F.col("ws").alias("wa"), F.col("n").alias("na")), "a").join(sets.select(F.col("id").alias("b"), F.col("ws").alias("wb"), F.col("n").alias("nb")), "b")
+    # sets of sizes n <= m can reach the threshold only if n >= threshold * m, and only if enough is left behind the first common word
+    sized = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold - 1e-9
+    left = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= (F.col("a.n") + F.col("b.n")) * (threshold / (1 + threshold)) - 1e-9
+    met = a.join(b, cond & sized & left).select(F.col("a.set").alias("a"), F.col("b.set").alias("b")).distinct()
+    both = met.join(sets.select(F.col("set").alias("a"), F.col("ws").alias("wa"), F.col("n").alias("na")), "a").join(sets.select(F.col("set").alias("b"), F.col("ws").alias("wb"), F.col("n").alias("nb")), "b")
     common = both.withColumn("c", F.size(F.array_intersect("wa", "wb")))
     sim = F.col("c").cast("double") / (F.col("na") + F.col("nb") - F.col("c"))
-    return common.where((F.col("c") > 0) & (sim >= threshold)).select("a", "b", rounded(sim, 3).alias("similarity"))
+    near = common.where((F.col("c") > 0) & (sim >= threshold)).select("a", "b", rounded(sim, 3).alias("similarity"))
+    alike = sets.select(F.col("set").alias("a"), F.col("set").alias("b"), F.lit(1.0).alias("similarity"))
+    first, second = member.select(F.col("set").alias("a"), F.col("id").alias("x")), member.select(F.col("set").alias("b"), F.col("id").alias("y"))
+    # pairs of different sets in either order of ids, pairs within a set once
+    out = near.join(first, "a").join(second, "b").unionByName(alike.join(first, "a").join(second, "b").where("x < y"))
+    return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
 
 
 def duplicate_groups(pairs: DataFrame) -> DataFrame:
@@ -187,12 +198,8 @@ def duplicate_groups(pairs: DataFrame) -> DataFrame:
 
     Rounds settle, for all primaries at once, those that no undecided earlier item could still take.
     """
-    left, taken = pairs, None
-    cut = lambda df: df.checkpoint()
-    sc = pairs.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir("/tmp/plumbline-checkpoints")
-    left = cut(left)
+    cut, taken = (lambda df: scratch(df, "groups")), None
+    left = cut(pairs)
     while not left.isEmpty():
         # primaries: never the later item of an undecided pair
         first = left.select(F.col("a")).distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")

@@ -125,15 +125,19 @@ def _arrivals(s, d):
     return e.withColumn("ts", F.when(F.col("event_id") % 7 == 0, F.col("ts") - F.expr("interval 2 days")).otherwise(F.col("ts")))
 
 
+def _distinct_texts(s, d, *by):
+    t = B.table(s, d, "documents").where("text is not null")
+    return t.groupBy("text", *by).agg(F.min("doc_id").alias("id"))
+
+
 def _pairs(s, d):
-    t = B.table(s, d, "conversations").where("role = 'system'").groupBy("text").agg(F.min("conv_id").alias("id")).withColumns({"discipline": F.lit("x"), "day": F.lit(1)})
-    return M.duplicate_pairs(t, 0.5)
+    """Documents of one language, each distinct text once, under the first id that has it."""
+    return M.duplicate_pairs(_distinct_texts(s, d, "lang").withColumnRenamed("lang", "discipline"), 0.7, ("discipline",))
 
 
 def _all_pairs(s, d):
-    """Over the turns of every role, each distinct text once, under the first (conv_id, turn) that has it."""
-    t = B.table(s, d, "conversations").where("text is not null").groupBy("text").agg(F.min(F.struct("conv_id", "turn")).alias("id"))
-    return M.duplicate_pairs(t, 0.5, ())
+    """Documents whatever their language, each distinct text once, and less alike."""
+    return M.duplicate_pairs(_distinct_texts(s, d), 0.5, ())
 
 
 QUERIES = {
@@ -185,6 +189,19 @@ union all select activity_id, 'missing_wbs', 'WARNING', 'wbs_id' from o where k
 union all select activity_id, 'circular_predecessor', 'WARNING', 'predecessors' from o where k % 19 = 0
 union all select activity_id, 'missing_wbs', 'INFO', 'wbs_id' from o where k % 13 <> 0 and o_orderpriority = '5-LOW'
 union all select activity_id, 'duplicate_id', 'ERROR', 'activity_id' from o group by activity_id having count(*) > 1)"""
+
+
+def _near(key: str, least: float) -> str:
+    return f"""t as (select min(doc_id) as id, {key} as key, list_distinct(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) as ws from documents where text is not null group by all),
+p as (select a.id as a, b.id as b, len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))) as s from t a join t b on a.id < b.id and a.key = b.key and least(len(a.ws), len(b.ws)) >= {least} * greatest(len(a.ws), len(b.ws)) and len(a.ws) > 0),
+q as materialized (select a, b, {_r('s', 3)} as similarity from p where s >= {least})"""
+
+
+_GREEDY = """ids as (select row_number() over (order by x) as i, x from (select a as x from q union select b from q)),
+g(i, taken) as (select 0::bigint, []::struct(p bigint, d bigint, s double)[] union all
+  select ids.i, case when list_contains(list_transform(taken, lambda z: z.d), x) then taken else list_concat(taken, coalesce((select list({p: q.a, d: q.b, s: q.similarity}) from q where q.a = x and not list_contains(list_transform(taken, lambda z: z.d), q.b)), [])) end
+  from g join ids on ids.i = g.i + 1)
+select z.p as primary, z.d as duplicate, z.s as similarity from (select unnest(taken) as z from g where i = (select max(i) from ids))"""
 _WIN = "select time_bucket(interval '1 hour', ts) as w"
 _DOTS = [" + ".join(f"{w}::double * f{i}" for i, w in enumerate(ws)) for ws in AGENT]
 
@@ -200,7 +217,10 @@ ORACLE = {
     "score_gap_routing": f"with {_VEC}, r as (select query_id as query, rank, {_r('s', 6)} as score from t where rank <= 2), g as (select *, score - lead(score) over (partition by query order by rank) as gap from r) select query, score, {_r('gap', 6)} as gap, case when score >= 0.85 then 'auto_linked' when score >= 0.65 then 'pending_review' else 'unmatched' end as decision from g where rank = 1",
     "threshold_sweep": f"with {_VEC}, c as (select {_r('s', 6)} as score, x = y as correct from t where rank = 1), h(auto, review) as (values (0.90, 0.70), (0.85, 0.65), (0.80, 0.60), (0.75, 0.55), (0.70, 0.50)) select cast(auto as double) as auto, cast(review as double) as review, count_if(score >= auto) as linked, count_if(score >= auto and not correct) as wrong, count_if(score < auto and score >= review) as reviewed, count_if(score < review) as unmatched from c, h group by 1, 2",
     "token_jaccard_topk": f"with w as (select item_id, list_distinct(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) as ws from benchmark), p as (select a.item_id as a, b.item_id as b, {_r('len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws)))', 6)} as score from w a join w b on a.item_id <> b.item_id and len(list_intersect(a.ws, b.ws)) > 0) select a, b, score, cast(row_number() over (partition by a order by score desc, b) as int) as rank from p qualify rank <= 3",
-    "dedupe_pairs": f"with t as (select min(conv_id) as id, list_distinct(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) as ws from conversations where role = 'system' group by text), p as (select a.id as a, b.id as b, len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))) as s from t a join t b on a.id < b.id) select a, b, {_r('s', 3)} as similarity from p where s >= 0.5",
+    "dedupe_pairs": f"with {_near('lang', 0.7)} select * from q",
+    "dedupe_pairs_all": f"with {_near('1', 0.5)} select * from q",
+    "dedupe_groups": f"with recursive {_near('lang', 0.7)}, {_GREEDY}",
+    "dedupe_groups_all": f"with recursive {_near('1', 0.5)}, {_GREEDY}",
     "quality_issues": f"with {_Q} select * from i",
     "quality_rollup": f"with {_Q} select coalesce(issue_type, 'all') as issue_type, coalesce(severity, 'all') as severity, count(*) as n from i group by rollup (issue_type, severity)",
     "duplicate_ids": "select l_orderkey, l_linenumber, count(*) as n from lineitem group by 1, 2 having count(*) > 1",

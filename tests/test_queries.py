@@ -33,13 +33,28 @@ def test_query(spark, con, name):
     assert got == want
 
 
-def test_duplicates_of_every_role(spark):
+def test_duplicates_are_found_in_blocks_and_among_all(spark):
     import re
 
-    first = {}
-    for c, t, x in duckdb.sql(f"select conv_id, turn, text from '{SF}/conversations.parquet' where text is not null order by 1, 2").fetchall():
-        first.setdefault(x, (c, t))
-    sets = sorted((at, set(re.findall("[a-z0-9]+", x.lower()))) for x, at in first.items())
-    want = {(i, j) for k, (i, x) in enumerate(sets) for j, y in sets[k + 1 :] if x & y and len(x & y) / len(x | y) >= 0.5}
-    got = registry.QUERIES["dedupe_pairs_all"](spark, SF).collect()
-    assert len(got) == len(want) and {(tuple(r.a), tuple(r.b)) for r in got} == want
+    rows = [(i, x, lang) for i, x, lang in duckdb.sql(f"select doc_id, text, lang from '{SF}/documents.parquet' where text is not null order by 1").fetchall()]
+    for name, least, block in (("dedupe_pairs", 0.7, True), ("dedupe_pairs_all", 0.5, False)):
+        first = {}
+        for i, x, lang in rows:
+            first.setdefault((x, lang if block else None), i)
+        sets = sorted((i, lang, set(re.findall("[a-z0-9]+", x.lower()))) for (x, lang), i in first.items())
+        want = {(i, j) for k, (i, p, x) in enumerate(sets) for j, q, y in sets[k + 1 :] if p == q and x & y and len(x & y) / len(x | y) >= least}
+        got = registry.QUERIES[name](spark, SF).collect()
+        assert want and len(got) == len(want) and {(r.a, r.b) for r in got} == want
+
+
+def test_copies_of_one_set_of_words(spark):
+    from plumbline.operators.matching import duplicate_groups, duplicate_pairs
+
+    texts = ["pump set at line four"] * 4 + ["line four pump set at", "pump set at line five", "", None, "other matter"]
+    df = spark.createDataFrame([(i, t, "d" if i != 3 else None) for i, t in enumerate(texts)], "id long, text string, discipline string")
+    got = {(r.a, r.b): r.similarity for r in duplicate_pairs(df, 0.6, ("discipline",)).collect()}
+    same = [0, 1, 2, 4]
+    want = {(a, b): 1.0 for a in same for b in same if a < b} | {(a, 5): 0.667 for a in same}
+    assert got == want
+    groups = {(r.primary, r.duplicate) for r in duplicate_groups(duplicate_pairs(df, 0.6, ("discipline",))).collect()}
+    assert groups == {(0, 1), (0, 2), (0, 4), (0, 5)}
