@@ -3,7 +3,8 @@
 A document's token ids are hashed to signs in a few dimensions; the sum of them over the root of their number is its
 place, and the Hilbert index of that place its key. Keys are cut into ranges at quantiles of a size-weighted sample, documents travel once (as token ids) to
 their range, are sorted by key there, and are laid end to end into sequences. Only the last sequence of a range can be
-short. Documents with one key, such as copies, are told apart by a hash of their id, so that a range stays bounded.
+short. Documents with one key, such as copies, are told apart by a hash of their id and their place in the input, so that
+a range stays bounded whatever rows repeat, rows of one id or without any among them.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from plumbline.llm.bpe import tokenizer
 from plumbline.llm.shared import text_or_empty
 
 DIMS, BITS = 3, 10  # of the curve: 30-bit keys
-SAMPLE_DOCS = 4_000  # documents whose keys place the range boundaries, at most about this many
+SAMPLE_DOCS, PER_RANGE = 4_000, 4  # documents whose keys place the range boundaries: about so many, or so many a range
 RANGE_BYTES = 4_000_000  # of text in a range, about
-MAX_RANGES = 1 << 20
+MAX_RANGES = 100_000  # beyond 400 GB of text ranges grow; they are streamed, not held, so that this bounds the sample alone
 CACHE_WORDS = 500_000  # remembered words of a Python worker, at most: about 150 MB
 
 
@@ -162,11 +163,9 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, length: int = 1024, id_col
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
-    tie = F.pmod(F.xxhash64("id"), F.lit(1 << 32))
-    base = base.withColumn("tie", tie)
+    # every row is drawn, and placed among rows of its key, for itself; the two scans may number rows differently
+    base = base.withColumn("tie", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(1 << 32)))
     count = base.count()
-    share = min(1.0, SAMPLE_DOCS / max(count, 1))
-    drawn = base.where(F.pmod(F.xxhash64("tie"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))) if share < 1 else base
 
     def keys(batches):
         words = Words.of(path)
@@ -176,10 +175,18 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, length: int = 1024, id_col
             order = [pa.array(ks, pa.int64()), b.column("tie"), pa.array([len(t) + 1 for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(order, names=["key", "tie", "size"])
 
-    sample = drawn.mapInArrow(keys, "key long, tie long, size long").toPandas().sort_values(["key", "tie"], ignore_index=True)
-    ranges = int(np.clip(sample["size"].sum() / share / RANGE_BYTES, 1, MAX_RANGES))
-    order = ((sample["key"].to_numpy() << 32) | sample["tie"].to_numpy()) if len(sample) else np.zeros(0, np.int64)
-    reach = sample["size"].cumsum().to_numpy()
+    def drawn(rows: int) -> tuple[np.ndarray, float]:
+        """(key, tie, size) of about so many rows, in order, and the share that they are."""
+        share = min(1.0, rows / max(count, 1))
+        some = base.where(F.pmod(F.xxhash64("tie"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))) if share < 1 else base
+        return np.array(sorted(tuple(r) for r in some.mapInArrow(keys, "key long, tie long, size long").collect()), np.int64).reshape(-1, 3), share
+
+    sample, share = drawn(SAMPLE_DOCS)
+    ranges = int(np.clip(sample[:, 2].sum() / share / RANGE_BYTES, 1, MAX_RANGES))
+    if ranges * PER_RANGE > SAMPLE_DOCS and share < 1:
+        sample, share = drawn(ranges * PER_RANGE)
+    order = (sample[:, 0] << 32) | sample[:, 1]
+    reach = np.cumsum(sample[:, 2])
     at = np.searchsorted(reach, np.arange(1, ranges) * (reach[-1] / ranges)) if len(reach) else []
     cuts = spark.sparkContext.broadcast(np.unique(order[at]) if len(at) else np.zeros(0, np.int64))
 

@@ -188,6 +188,20 @@ def test_packing(spark, docs, paths):
     assert packing.pack(empty(spark), path).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["null", "one", "own"])
+def test_packing_deals_rows_whatever_they_repeat(spark, paths, monkeypatch, ids):
+    """Rows without ids, of one id, and of one text are many ranges, and more than the first sample places."""
+    monkeypatch.setattr(packing, "RANGE_BYTES", 40)
+    monkeypatch.setattr(packing, "SAMPLE_DOCS", 300)
+    rows = [(None if ids == "null" else 5 if ids == "one" else i, "the same text" if i % 3 else f"text {i} of its own") for i in range(3000)]
+    got = packing.pack(spark.createDataFrame(rows, SCHEMA).repartition(6), paths("byte_bpe_50k.json"), 0, 64).collect()
+    by = Counter()
+    for r in got:
+        by[r.sequence_id >> 32] += r.length
+    assert len(by) > 300 and max(by.values()) < 40 * sum(by.values()) / len(by)
+    assert sum(by.values()) == sum(r.doc_tokens for r in got if r.start == 0) and sum(r.start == 0 for r in got) == 3000
+
+
 def test_hilbert_steps_to_a_neighbour():
     grid = np.array([[x, y, z] for x in range(8) for y in range(8) for z in range(8)])
     key = packing.hilbert_index(grid, 3)
