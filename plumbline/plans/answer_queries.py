@@ -62,7 +62,7 @@ QUERIES = {
 _ID = "case when o_orderkey % 23 = 0 then ' ' when o_orderkey % 31 = 0 then (o_orderkey - 1)::varchar else o_orderkey::varchar end"
 _PICK = lambda values, by: f"[{', '.join(repr(v) for v in [*values, 'it'])}][((c_custkey // {by}) % {len(values) + 1} + 1)::int]"
 _ASKED = ", ".join("'" + q.replace("'", "''") + "'" for q in ASKED)
-_P = "cast(cast(round(cast({} * 100 as decimal(38,10)), 0) as bigint) as varchar)"
+_P = "cast(cast(round_even({} * 100, 0) as bigint) as varchar)"
 
 ORACLE = {
     "answered_questions": f"""{_W}, v as (select * from history where record_quality = 'verified'),
