@@ -10,14 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.scan import scratch
+
 CUT_EVERY = 4  # steps between checkpoints
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir("/tmp/plumbline-checkpoints")
-    return df.checkpoint()
+    return scratch(df, "graph")
 
 
 def edges_from_lists(nodes: DataFrame, id_col: str, list_col: str) -> DataFrame:
@@ -29,13 +28,13 @@ def edges_from_lists(nodes: DataFrame, id_col: str, list_col: str) -> DataFrame:
 
 def reached(edges: DataFrame, roots: DataFrame, absorbed: DataFrame | None = None, max_steps: int = 10_000) -> DataFrame:
     """(root, node, depth) of all nodes that edges lead to from each root, at their least depth; the root itself counts
-    only where a cycle returns to it. Absorbed nodes are neither reached nor passed."""
+    only where a cycle returns to it. Absorbed nodes are neither reached nor passed. Paths of more than max_steps are an error."""
     if absorbed is not None:
         edges = edges.join(absorbed.select(F.col("node").alias("dst")), "dst", "left_anti")
     edges = _cut(edges.select("src", "dst").distinct())
     front = roots.select(F.col("root"), F.col("root").alias("node"))
     seen, depth = None, 0
-    while depth < max_steps:
+    while True:
         depth += 1
         step = front.join(edges, front["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
         if seen is not None:
@@ -43,6 +42,8 @@ def reached(edges: DataFrame, roots: DataFrame, absorbed: DataFrame | None = Non
         front = _cut(step)
         if front.isEmpty():
             break
+        if depth > max_steps:
+            raise RuntimeError(f"a path has more than {max_steps} steps")
         new = front.withColumn("depth", F.lit(depth))
         seen = new if seen is None else seen.unionByName(new)
         if depth % CUT_EVERY == 0:

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions import progress as P
+from plumbline.functions import text as T
+from plumbline.functions.numbers import rounded
 from plumbline.operators import graph as G
+from plumbline.operators import review as R
 from plumbline.operators import schedule as S
 from plumbline.plans import bindings as B
 from plumbline.plans.history_queries import _r
@@ -35,7 +39,36 @@ def _queue(s, d):
     return S.priority_queue(c.where(F.col("status").isNotNull()), WEIGHTS, NOW)
 
 
+def _measures(s, d):
+    """Planned days, lateness, and what a confidence read off the order's number comes to."""
+    a = B.activities(s, d).join(B.actuals(s, d), "activity_id")
+    sure = F.pmod("activity_id", F.lit(101)) / 100
+    return a.select(
+        "activity_id", P.inclusive_days(F.col("planned_start"), F.col("planned_finish")).alias("days"), P.delay_conflict(F.col("planned_finish"), F.col("actual_finish")).alias("late"), P.confidence_band(sure).alias("band"),
+        P.review_decision(sure).alias("decision"), P.status_label(F.lower("status")).alias("status"), P.contradicts(F.col("status"), F.when(F.col("activity_id") % 2 == 0, "COMPLETED").otherwise("NOT_STARTED")).alias("contradicted"),
+        T.search_text(F.col("discipline"), F.when(F.col("activity_id") % 3 > 0, F.col("location")), F.lit("")).alias("text"), rounded(R.queue_reward(F.col("status") == "COMPLETED", F.when(F.col("activity_id") % 2 == 0, "HIGH").otherwise("LOW"), F.pmod("activity_id", F.lit(48)).cast("double")), 4).alias("reward"),
+    )
+
+
+def _listed(s, d):
+    """Successors as exports list them, some of them unknown; the fan-out of each."""
+    p, k = B.table(s, d, "part"), F.col("p_partkey")
+    rows = p.select(k.cast("string").alias("id"), F.concat((k * 2).cast("string"), F.lit("; "), (k * 2 + 1).cast("string"), F.lit(","), F.when(k % 5 == 0, "none such").otherwise("")).alias("successors"))
+    return G.edges_from_lists(rows, "id", "successors")
+
+
+def _outline(s, d):
+    """Outline numbers of nations and suppliers; those of nations whose number a fourth divides are left out."""
+    p, n = B.table(s, d, "supplier"), B.table(s, d, "nation")
+    two = F.concat_ws(".", F.col("n_regionkey").cast("string"), F.col("n_nationkey").cast("string"))
+    leaf = p.join(n, p.s_nationkey == n.n_nationkey).select(F.concat_ws(".", two, F.col("s_suppkey").cast("string")).alias("outline"))
+    return G.outline_parents(leaf.unionByName(n.where("n_nationkey % 4 > 0").select(two.alias("outline"))))
+
+
 QUERIES = {
+    "planned_measures": _measures,
+    "listed_edges": _listed,
+    "outline_parents": _outline,
     "schedule_rows": lambda s, d: _rows(s, d).select("activity_id", "status", "variance_days", "progress", "risk"),
     "project_summary": lambda s, d: S.project_summary(_rows(s, d)),
     "progress_dashboard": lambda s, d: S.progress_dashboard(_rows(s, d)),
@@ -77,6 +110,13 @@ hits as (select activity_id, cast(depth as int) as depth, date '2024-01-01' + p_
 not exists (select 1 from precedence where src = activity_id) as milestone from hit join part on activity_id = p_partkey)"""
 
 ORACLE = {
+    "planned_measures": f"""{_W}, a as (select *, (activity_id % 101) / 100 as c from activities join actuals using (activity_id)) select activity_id, 31::int as days, case when actual_finish > planned_finish + 7 then 'HIGH' when actual_finish > planned_finish then 'MEDIUM' end as late,
+case when c >= 0.85 then 'HIGH' when c >= 0.65 then 'MEDIUM' else 'LOW' end as band, case when c >= 0.85 then 'AUTO' when c >= 0.65 then 'REVIEW' else 'REJECT' end as decision, status,
+(status = 'COMPLETED' and activity_id % 2 = 1) or (status in ('IN_PROGRESS', 'NOT_STARTED') and activity_id % 2 = 0) as contradicted, concat_ws(' ', discipline, case when activity_id % 3 > 0 then location end) as text,
+{_r("case when status <> 'COMPLETED' then -1.0::double else case when activity_id % 2 = 0 then 2.0::double else 0.5::double end + 0.3::double * least((activity_id % 48) / 24, 1.0) end", 4)} as reward from a""",
+    "listed_edges": "select a.p_partkey::varchar as src, b.p_partkey::varchar as dst from part a join part b on b.p_partkey = a.p_partkey * 2 or b.p_partkey = a.p_partkey * 2 + 1",
+    "outline_parents": """with n as (select n_regionkey || '.' || n_nationkey as code, n_nationkey from nation) select code || '.' || s_suppkey as outline, case when n_nationkey % 4 > 0 then code end as parent from supplier join n on s_nationkey = n_nationkey
+union all select code, null from n where n_nationkey % 4 > 0""",
     "schedule_rows": f"{_WR} select activity_id, status, variance_days, progress, risk from rated",
     "project_summary": f"{_WR} select {_SUMMARY} from rated",
     "progress_dashboard": f"{_WR} select {_SUMMARY}, {_r('avg(variance_days)', 2)} as mean_variance, max(variance_days) as worst_variance, count_if(risk = 'HIGH') as high_risk from rated",
