@@ -20,14 +20,14 @@ def fold_ascii(text: Column) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; only where that is unset (tests), one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of spark.checkpoint.dir; only on one machine, as in tests, a folder of our own."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if found:
         return found
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir("/tmp/plumbline-checkpoints")
-    return sc.getCheckpointDir()
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("a cluster has to name a shared folder in spark.checkpoint.dir")
+    return "/tmp/plumbline-checkpoints"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

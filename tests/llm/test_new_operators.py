@@ -234,13 +234,10 @@ def test_scores(spark, monkeypatch):
 
 
 def test_registered_scores(spark):
+    """Equal to the plain version, and texts like those of training take few bits a byte."""
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in catalog.read(spark, sf, "documents").collect()]
-    check_scores(rows, catalog.QUERIES["op13_lm_score"](spark, sf).collect())
-
-
-def test_scores_of_held_out_texts(spark):
-    """Texts like those of training take fewer bits a byte than texts of other letters, and no context gives more than one."""
-    got = catalog.QUERIES["op13_lm_score"](spark, "/root/testdata/sf0.001").collect()
+    got = catalog.QUERIES["op13_lm_score"](spark, sf).collect()
+    check_scores(rows, got)
     held = [r for r in got if r.held_out and r.n_tokens > 20]
     assert held and sum(r.bits_per_byte for r in held) / len(held) < 4 and all(r.score < 0 for r in got)
