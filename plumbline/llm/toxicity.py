@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import discard, stored, text_or_empty
+from plumbline.llm.shared import text_or_empty
 
 LABEL_SAMPLE = 8_000  # labelled documents that the models are fitted on, at most about this many
 FOLDS = 3
@@ -83,16 +83,15 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
         marks = marks.where(F.pmod(F.xxhash64("__id", F.lit(29)), F.lit(1 << 30)) < F.lit(int(sample / n * (1 << 30))))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(marks), "__id")  # the bounded sample
     rows = _worded(rows, "__t").drop("__t").withColumn("__fold", F.pmod(F.xxhash64("__id", F.lit(31)), F.lit(FOLDS)))
-    # the sample alone moves, the scan keeps its own tasks; stored, it cuts the plans of all fits short, and in one order they
-    # give the same models again
-    rows = stored(rows.repartition(PARTITIONS, "__id").sortWithinPartitions("__id", F.hash("__w")), "toxicity-sample")
+    # the sample alone moves, the scan keeps its own tasks; in one order it gives the same models again
+    rows = rows.repartition(PARTITIONS, "__id").sortWithinPartitions("__id").cache()
     held, links, threshold = [rows], [], 1.1
     if rows.select(F.explode("__w").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        discard(rows)
+        rows.unpersist()
         return ToxicityChain(None, [(c, None, 0.0) for c in categories], threshold)
     least = 2 if rows.count() > 10 else 1
     vocabulary = CountVectorizer(inputCol="__w", outputCol="__f0", vocabSize=VOCABULARY, minDF=least, binary=True).fit(rows)
-    rows = stored(vocabulary.transform(rows).drop("__w"), "toxicity-features")
+    rows = vocabulary.transform(rows).drop("__w").cache()
     held.append(rows)
     for k, name in enumerate(categories):
         label = f"__l{k}"
@@ -102,13 +101,14 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
         for fold in range(FOLDS):
             own, _ = _fit(rows.where(F.col("__fold") != fold), k, label, penalty)
             parts.append(_apply(rows.where(F.col("__fold") == fold), own, k, prior))
-        rows = reduce(DataFrame.unionByName, parts)
+        rows = reduce(DataFrame.unionByName, parts).coalesce(PARTITIONS)
         if k + 1 < len(categories):
-            rows = stored(_chained(rows, k, f"__p{k}"), "toxicity-links")
+            rows = _chained(rows, k, f"__p{k}").cache()
             held.append(rows)
         elif model is not None:
             threshold = _best_f1([(r[0], r[1]) for r in rows.select(f"__p{k}", label).collect()])  # two numbers a sampled document
-    discard(*held)
+    for h in held:
+        h.unpersist()
     return ToxicityChain(vocabulary, links, threshold)
 
 
