@@ -13,22 +13,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir and read back, so that sampled ranges are settled once."""
-    spark = df.sparkSession
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; only on one machine, as in tests, a folder of our own."""
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.startswith("local["):
-            raise RuntimeError("a cluster has to name a shared folder in spark.checkpoint.dir")
-        folder = "/tmp/plumbline-checkpoints"  # one machine, as in tests
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if found:
+        return found
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("a cluster has to name a shared folder in spark.checkpoint.dir")
+    return "/tmp/plumbline-checkpoints"
+
+
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back, so that sampled ranges are settled once and lineage ends."""
+    path = f"{scratch_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @dataclass

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.scan import scratch_folder
 from plumbline.plans import bindings as B
 from plumbline.sources import reports, schedules
 
@@ -15,9 +16,7 @@ FILES = 7
 
 def _folder(lines: DataFrame, name: str) -> str:
     """Lines (file, n, line) written as text in a folder of the scratch folder, one folder a file."""
-    spark = lines.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/plumbline-checkpoints"
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(lines.sparkSession)}/{name}-{uuid.uuid4().hex}"
     lines.repartition("file").sortWithinPartitions("file", "n").select("file", F.col("line").alias("value")).write.partitionBy("file").text(path)
     return path
 
