@@ -84,7 +84,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(marks), "__id")  # the bounded sample
     rows = _worded(rows, "__t").drop("__t").withColumn("__fold", F.pmod(F.xxhash64("__id", F.lit(31)), F.lit(FOLDS)))
     # the sample alone moves, the scan keeps its own tasks; in one order it gives the same models again
-    rows = rows.repartition(PARTITIONS, "__id").sortWithinPartitions("__id").cache()
+    rows = rows.repartition(PARTITIONS).sortWithinPartitions("__id").cache()
     held, links, threshold = [rows], [], 1.1
     if rows.select(F.explode("__w").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         rows.unpersist()
