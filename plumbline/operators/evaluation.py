@@ -10,13 +10,32 @@ from pyspark.sql import functions as F
 from plumbline.functions.labels import same_label
 from plumbline.functions.numbers import rounded
 from plumbline.operators.matching import first_by_score
+from plumbline.operators.review import best_overlap
 
 FIELDS = ["discipline", "asset", "status", "event_date", "activity_type", "location"]
+# Disciplines that a label may expect, in the order in which they are looked for.
+EXPECTED = ["piping", "electrical", "civil", "instrumentation", "mechanical"]
 # Decisions that count as having noticed that a report is ambiguous, and a note's words that ask for an asset.
 NOTICED = ["clarification_needed", "review", "unmatched"]
 ASSET_NOTES = "asset|line|identifier"
 
 
+def labelled(truth: DataFrame, events: DataFrame) -> DataFrame:
+    """Labelled reports beside the extracted event of most words in common, as extraction_metrics takes them.
+
+    truth: sources.reports.labelled_truth, events: extracted() with an id. The expected discipline is the first of the known
+    ones that the activity's name or the note speaks of; a label without an event in common stays, with found false."""
+    about = F.lower(F.concat_ws(" ", "correct_activity_name", "note"))
+    expected = F.lit(None).cast("string")
+    for d in reversed(EXPECTED):
+        expected = F.when(about.contains(d), d).otherwise(expected)
+    said = events.select("id", F.col("raw_text").alias("text"))
+    met = best_overlap(truth.select(F.col("event_id").alias("id"), F.col("input_text").alias("text")), said)
+    got = met.join(events.select(F.col("id").alias("event_id"), *FIELDS), "event_id").drop("event_id", "overlap").withColumnRenamed("truth_id", "event_id")
+    out = truth.select("event_id", (F.col("correct_activity_id") == "AMBIGUOUS").alias("ambiguous"), expected.alias("expected_discipline"), "note").join(got.withColumn("found", F.lit(True)), "event_id", "left")
+    return out.withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def extraction_metrics(truth: DataFrame) -> DataFrame:
     """One row of accuracies by field, over all fields, and by event, three digits; null without labelled reports.
 

@@ -213,6 +213,7 @@ def _nodes(s, d):
 QUERIES = {
     "hybrid_match": _matches,
     "match_links": lambda s, d: K.links(_matched(s, d), _reported(s, d)),
+    "link_lookup": lambda s, d: K.link_lookup(K.links(_matched(s, d), _reported(s, d)), "activity_id").select("activity_id", F.array_join(F.col("links").cast("array<string>"), ",").alias("events")),
     "term_index_added": _weights,
     "clarification_options": _options,
     "public_events": _shown,
@@ -297,6 +298,7 @@ risks as (select activity_id, path, coalesce(n, 0) as n, delay_frequency, mean_v
 
 ORACLE = {
     "hybrid_match": f"with {_MATCH} select * exclude (status_hint) from matches",
+    "link_lookup": f"with {_MATCH} select activity_id, string_agg(event_id::varchar, ',' order by confidence desc, event_id) as events from matches where decision = 'auto_linked' group by 1",
     "match_links": f"with {_MATCH} select event_id, activity_id, confidence, status_hint from matches where decision = 'auto_linked'",
     "term_index_added": f"with {_FULL} select id, token, {_r('w / norm', 6)} as weight from ax join an using (id)",
     "clarification_options": f"""with {B.SQL}, {_ASKED}, o as (select q.*, coalesce(ids, (select list(activity_id order by activity_id)[1:5] from activities)) as ids from q left join f on q.d is not distinct from f.d and q.l is not distinct from f.l and q.t is not distinct from f.t)

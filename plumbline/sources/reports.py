@@ -75,6 +75,15 @@ def sheet(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("source_reference", F.concat(F.lit("row_"), (F.col("n") - F.col("first") + 2).cast("string"))).drop("description", "block", "pos", "n", "first")
 
 
+# The fields of labelled truth.
+TRUTH = "event_id string, input_text string, source string, difficulty string, correct_activity_id string, correct_activity_name string, note string"
+
+
+def labelled_truth(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled reports: files of JSON arrays, each file one task; entries without a text go."""
+    return spark.read.schema(TRUTH).json(path, multiLine=True).select(*[f.split()[0] for f in TRUTH.split(", ")]).where("input_text is not null")
+
+
 def history_csv(spark: SparkSession, path: str) -> DataFrame:
     """History records with lenient casts: bad whole numbers are 0, bad decimals null, true, 1 and yes are true; ids are hashes."""
     df = spark.read.csv(path, header=True)
