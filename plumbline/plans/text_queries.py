@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.functions.numbers import dot, jaccard, rounded
+from plumbline.operators import answers as A
 from plumbline.operators import matching as M
 from plumbline.operators import quality as Q
 from plumbline.operators.scan import following, scanned
@@ -84,6 +85,12 @@ def _quality(s, d):
     return Q.issues(kept, tree)
 
 
+def _parsed(s, d):
+    """Each customer's orders as one export file."""
+    a = B.table(s, d, "orders").select(F.concat(F.lit("file-"), F.col("o_custkey").cast("string")).alias("source_file"), F.col("o_orderkey").cast("string").alias("activity_id"))
+    return A.parse_result(a, _quality(s, d).join(a, "activity_id"))
+
+
 def _fit(s, d):
     a = B.activities(s, d).withColumn("c", F.pmod("activity_id", F.lit(100)))
     e = B.claims(s, d).groupBy("activity_id").agg(F.min("event_date").alias("day"))
@@ -159,6 +166,7 @@ QUERIES = {
     "fuzzy_ratio": _ratio,
     "quality_issues": _quality,
     "quality_rollup": lambda s, d: Q.rollup(_quality(s, d)),
+    "parse_results": _parsed,
     "duplicate_ids": lambda s, d: B.table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1"),
     "orphans_anti": lambda s, d: B.table(s, d, "orders").join(B.table(s, d, "lineitem"), F.expr("o_orderkey = l_orderkey"), "left_anti").select("o_orderkey"),
     "existing_semi": lambda s, d: B.table(s, d, "customer").join(B.table(s, d, "orders"), F.expr("c_custkey = o_custkey"), "left_semi").select("c_custkey"),
@@ -222,6 +230,8 @@ ORACLE = {
     "dedupe_groups": f"with recursive {_near('lang', 0.7)}, {_GREEDY}",
     "dedupe_groups_all": f"with recursive {_near('1', 0.5)}, {_GREEDY}",
     "quality_issues": f"with {_Q} select * from i",
+    "parse_results": f"""with {_Q}, f as (select 'file-' || o_custkey as source_file, activity_id from o), n as (select source_file, count_if(severity = 'ERROR') as e, count_if(severity = 'WARNING') as w from i join f using (activity_id) group by 1)
+select source_file, count(*) as activities, cast(coalesce(any_value(e), 0) as bigint) as errors, cast(coalesce(any_value(w), 0) as bigint) as warnings, coalesce(any_value(e), 0) = 0 as valid from f left join n using (source_file) group by 1""",
     "quality_rollup": f"with {_Q} select coalesce(issue_type, 'all') as issue_type, coalesce(severity, 'all') as severity, count(*) as n from i group by rollup (issue_type, severity)",
     "duplicate_ids": "select l_orderkey, l_linenumber, count(*) as n from lineitem group by 1, 2 having count(*) > 1",
     "orphans_anti": "select o_orderkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)",
