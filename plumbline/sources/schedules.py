@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from plumbline.functions.progress import export_status
 from plumbline.functions.text import schedule_date
 from plumbline.operators.quality import level_of
-from plumbline.operators.scan import running_last, scanned
+from plumbline.operators.scan import running_last, scanned, scratch
+from plumbline.sources.splits import JsonItems, XmlTag, elements, xer_tables
 
 # Column names that stand for a field, the first that is there counts.
 ALIASES = {
@@ -32,6 +33,12 @@ ALIASES = {
     "status": ["status", "activity status", "activity_status", "status_code"],
 }
 HOURS = 8  # of a working day
+# Tables of XER files that are read, with their fields.
+XER_TABLES = {
+    "TASK": ["task_id", "task_code", "task_name", "wbs_id", "target_drtn_hr_cnt", "target_start_date", "target_end_date", "early_start_date", "early_end_date", "status_code"],
+    "PROJWBS": ["wbs_id", "wbs_short_name"],
+    "TASKPRED": ["task_id", "pred_task_id"],
+}
 
 
 def detect(path: str, head: str) -> str:
@@ -50,25 +57,43 @@ def detect(path: str, head: str) -> str:
 
 def read_schedule(spark: SparkSession, path: str, text: str | None = None) -> DataFrame:
     """The activities of a file or a folder of files, or of text given as content; an unknown format is read as CSV."""
-    inline = text is not None
-    head = text[:4096] if inline else spark.read.text(path, wholetext=True).select(F.substring("value", 1, 4096)).first()[0]
-    whole = spark.createDataFrame([("", text)], "file string, value string") if inline else contents(spark, path)
-    kind = detect(path if inline else spark.read.text(path).inputFiles()[0], head)
+    if text is not None:
+        whole = spark.createDataFrame([("", text)], "file string, value string")
+        kind = detect(path, text[:4096])
+        return {"xer": from_xer, "primavera_xml": from_p6_xml, "msproject_xml": from_msproject_xml, "json": from_json}.get(kind, lambda w: from_csv_lines(w, text[:4096]))(whole)
+    one = sorted(spark.read.text(path).inputFiles())[0]
+    head = first_bytes(spark, one)
+    kind = detect(one, head)
     if kind == "xer":
-        return from_xer(whole) if inline else xer_activities(xer_lines(spark, path))
+        held = scratch(xer_tables(spark, path, XER_TABLES), "xer-records")
+        return xer_activities(*[held.where(F.col("table") == t).select("file", F.struct(*[F.get("record", F.lit(i)).alias(f) for i, f in enumerate(fields)]).alias("record")) for t, fields in XER_TABLES.items()])
     if kind == "primavera_xml":
-        return from_p6_xml(whole)
-    if kind == "msproject_xml":
-        return from_msproject_xml(whole)
-    if kind == "json":
-        return from_json(whole)
-    if inline:
-        return from_csv_lines(whole, head)
+        tags = {"Activity": _P6, "WBS": _P6_WBS}
+    elif kind == "msproject_xml":
+        tags = {"Task": _MSP}
+    elif kind == "json":
+        item = lambda x: F.get(F.transform(F.array(F.try_parse_json(x)), _json_fields), F.lit(0))  # noqa: E731  # parsed once
+        return _typed(elements(spark, path, {"item": JsonItems()}, {"item": item})["item"].select("file", "e.*"))
+    if kind in ("primavera_xml", "msproject_xml"):
+        got = elements(spark, path, {t: XmlTag(t) for t in tags}, {t: (lambda x, schema=schema: F.from_xml(_bare(x), schema)) for t, schema in tags.items()})
+        got = [got[t].select("file", "e.*") for t in tags]
+        return p6_activities(*got) if kind == "primavera_xml" else msproject_activities(*got)
     sep = _separator(head.split("\n")[0])
     rows = spark.read.csv(path, header=True, sep=sep, mode="PERMISSIVE")
     return from_columns(rows.select("*", F.col("_metadata.file_path").alias("__file")))
 
 
+def first_bytes(spark: SparkSession, file: str, n: int = 4096) -> str:
+    """The first characters of a file, without reading more of it."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(file)
+    stream = at.getFileSystem(sc._jsc.hadoopConfiguration()).open(at)
+    try:
+        return bytes(stream.readNBytes(n)).decode("utf-8", "ignore")
+    finally:
+        stream.close()
+
+
 def contents(spark: SparkSession, path: str) -> DataFrame:
     """(file, value): the files of a path, each as one text."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
@@ -127,21 +152,20 @@ def from_json(content: DataFrame) -> DataFrame:
     doc = F.try_parse_json("value")
     items = F.coalesce(F.try_variant_get(doc, "$.activities", "array<variant>"), F.try_variant_get(doc, "$", "array<variant>"))
     rows = _filed(content).select("file", F.explode(items).alias("a"))
-    get = lambda field: F.coalesce(*[F.try_variant_get("a", f"$.{n}", "string") for n in ALIASES[field]])
-    lists = lambda field: F.coalesce(*[F.array_join(F.try_variant_get("a", f"$.{n}", "array<string>"), ",") for n in ALIASES[field]], get(field))
-    return _typed(rows.select("file", *[(lists(f) if f in ("predecessors", "successors") else get(f)).alias(f) for f in ALIASES]))
+    return _typed(rows.select("file", _json_fields(F.col("a")).alias("e")).select("file", "e.*"))
 
 
-def xer_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, pos, line): the lines of files, read in splits, in the order of block and pos within a file."""
-    m = "_metadata.file_"
-    return spark.read.text(path).select(F.col(f"{m}path").alias("file"), F.col(f"{m}block_start").alias("block"), F.monotonically_increasing_id().alias("pos"), F.regexp_replace("value", "\r$", "").alias("line"))
+def _json_fields(a: Column) -> Column:
+    """The fields of ALIASES of an activity, as one struct of texts."""
+    get = lambda field: F.coalesce(*[F.try_variant_get(a, f"$.{n}", "string") for n in ALIASES[field]])
+    lists = lambda field: F.coalesce(*[F.array_join(F.try_variant_get(a, f"$.{n}", "array<string>"), ",") for n in ALIASES[field]], get(field))
+    return F.struct(*[(lists(f) if f in ("predecessors", "successors") else get(f)).alias(f) for f in ALIASES])
 
 
 def xer_records(lines: DataFrame) -> DataFrame:
-    """(file, block, pos, table, record map) of P6 XER lines: %T names a table, %F its fields, %R a record.
+    """(file, block, pos, table, record map) of P6 XER lines(file, block, pos, line): %T names a table, %F its fields, %R a record.
 
-    Which table and fields a record has is filled forward over all lines by a scan, so that a large file is many tasks."""
+    Which table and fields a record has is filled forward over all lines by a scan, so that a large text is many tasks."""
     cells = lines.withColumn("cells", F.split("line", "\t")).withColumn("tag", F.get("cells", F.lit(0)))
     rest = F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0)))
     cells = cells.withColumn("rest", rest).where(F.col("tag").isin("%T", "%F", "%R"))
@@ -153,16 +177,16 @@ def xer_records(lines: DataFrame) -> DataFrame:
 def from_xer(content: DataFrame) -> DataFrame:
     """The activities of XER texts (column value, and file if there are several)."""
     lines = _filed(content).select("file", F.lit(0).cast("long").alias("block"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
-    return xer_activities(lines)
+    recs = xer_records(lines)
+    return xer_activities(*[recs.where(F.col("table") == t).select("file", "record") for t in XER_TABLES])
 
 
-def xer_activities(lines: DataFrame) -> DataFrame:
-    recs = xer_records(lines)
-    of = lambda name: recs.where(F.col("table") == name)
+def xer_activities(task: DataFrame, wbs: DataFrame, link: DataFrame) -> DataFrame:
+    """Activities of the records (file, record by field) of the tables of XER_TABLES, in their order."""
     g = lambda k: F.col("record")[k]
-    task = of("TASK").select("file", g("task_id").alias("task_id"), "record")
-    wbs = of("PROJWBS").select("file", g("wbs_id").alias("wbs_key"), g("wbs_short_name").alias("wbs_code"))
-    link = of("TASKPRED").select("file", g("task_id").alias("task_id"), g("pred_task_id").alias("pred"))
+    task = task.select("file", g("task_id").alias("task_id"), "record")
+    wbs = wbs.select("file", g("wbs_id").alias("wbs_key"), g("wbs_short_name").alias("wbs_code"))
+    link = link.select("file", g("task_id").alias("task_id"), g("pred_task_id").alias("pred"))
     code = task.select("file", F.col("task_id").alias("key"), F.col("record")["task_code"].alias("code"))
     named = (
         link.join(code.select("file", F.col("key").alias("task_id"), F.col("code").alias("c")), ["file", "task_id"], "left")
@@ -186,18 +210,30 @@ def xer_activities(lines: DataFrame) -> DataFrame:
     )
 
 
+_P6 = ", ".join(f"{f} string" for f in ["Id", "Name", "WBSObjectId", "WBSCode", "PlannedStartDate", "PlannedFinishDate", "PlannedDuration", "Status"])
+_P6_WBS = "ObjectId string, Code string"
+_MSP = "UID string, Name string, WBS string, OutlineLevel string, OutlineNumber string, Summary string, Start string, Finish string, Duration string, PredecessorLink array<struct<PredecessorUID:string>>"
+
+
+def _bare(xml: Column) -> Column:
+    """XML without namespaces."""
+    return F.regexp_replace(F.regexp_replace(xml, r"\sxmlns(:\w+)?=\"[^\"]*\"", ""), r"<(/?)\w+:", "<$1")
+
+
 def _elements(content: DataFrame, tag: str, schema: str) -> DataFrame:
     """The elements `tag` of XML text, namespaces left out, by Spark's own XML parser."""
-    bare = F.regexp_replace(F.regexp_replace("value", r"\sxmlns(:\w+)?=\"[^\"]*\"", ""), r"<(/?)\w+:", "<$1")
-    parts = F.regexp_extract_all(bare, F.lit(rf"(?s)(<{tag}(?:\s[^>]*)?>.*?</{tag}>)"), F.lit(1))
+    parts = F.regexp_extract_all(_bare(F.col("value")), F.lit(rf"(?s)(<{tag}(?:\s[^>]*)?>.*?</{tag}>)"), F.lit(1))
     return _filed(content).select("file", F.explode(parts).alias("x")).select("file", F.from_xml("x", schema).alias("e")).select("file", "e.*")
 
 
 def from_p6_xml(content: DataFrame) -> DataFrame:
+    """Activities of P6 XML texts."""
+    return p6_activities(_elements(content, "Activity", _P6), _elements(content, "WBS", _P6_WBS))
+
+
+def p6_activities(a: DataFrame, wbs: DataFrame) -> DataFrame:
     """Activities of a P6 XML export; planned durations are hours, and edges are not part of it."""
-    fields = ["Id", "Name", "WBSObjectId", "WBSCode", "PlannedStartDate", "PlannedFinishDate", "PlannedDuration", "Status"]
-    a = _elements(content, "Activity", ", ".join(f"{f} string" for f in fields))
-    wbs = _elements(content, "WBS", "ObjectId string, Code string").select("file", F.col("ObjectId").alias("WBSObjectId"), F.col("Code").alias("code"))
+    wbs = wbs.select("file", F.col("ObjectId").alias("WBSObjectId"), F.col("Code").alias("code"))
     a = a.join(wbs, ["file", "WBSObjectId"], "left")
     none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
     days = F.greatest(F.lit(1), F.bround(F.col("PlannedDuration").try_cast("double") / HOURS)).cast("int").cast("string")
@@ -217,9 +253,12 @@ def iso_days(raw: Column) -> Column:
 
 
 def from_msproject_xml(content: DataFrame) -> DataFrame:
+    """Tasks of MS Project XML texts."""
+    return msproject_activities(_elements(content, "Task", _MSP))
+
+
+def msproject_activities(t: DataFrame) -> DataFrame:
     """Tasks of MS Project XML that are no summaries; ids from the name before a colon, else WBS, else the UID."""
-    schema = "UID string, Name string, WBS string, OutlineLevel string, OutlineNumber string, Summary string, Start string, Finish string, Duration string, PredecessorLink array<struct<PredecessorUID:string>>"
-    t = _elements(content, "Task", schema)
     part = F.nullif(F.regexp_extract("Name", r"^([A-Za-z0-9._-]+)\s*:", 1), F.lit(""))
     t = t.withColumn("activity_id", F.coalesce(part, F.nullif("WBS", F.lit("")), F.concat(F.lit("TASK-"), F.col("UID"))))
     ids = t.select("file", F.col("UID").alias("p_uid"), F.col("activity_id").alias("p_id"))
