@@ -15,9 +15,13 @@ FILES = 7
 
 
 def _folder(lines: DataFrame, name: str) -> str:
-    """Lines (file, n, line) written as text in a folder of the scratch folder, one folder a file."""
-    path = f"{scratch_folder(lines.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    lines.repartition("file").sortWithinPartitions("file", "n").select("file", F.col("line").alias("value")).write.partitionBy("file").text(path)
+    """Lines (file, n, line) written as text in a folder of the scratch folder, one folder a file.
+
+    Rows are dealt by a hash of the file and to a given number of partitions: by the bare column Spark leaves the shuffle out
+    where a join has dealt the rows so, and adaptive execution may then read that join's input where it lies."""
+    spark = lines.sparkSession
+    path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("file")).sortWithinPartitions("file", "n").select("file", F.col("line").alias("value")).write.partitionBy("file").text(path)
     return path
 
 
