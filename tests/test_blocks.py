@@ -25,3 +25,25 @@ def test_scores_of_a_block_are_held_in_parts():
         own = got[got["query_id"] == q]
         assert list(np.round(own["score"], 8)) == list(np.round(c[q, order], 8))
         assert set(own["item_id"][own["score"] > own["score"].min() + 1e-9]) <= set(ids[np.flatnonzero(c[q] > own["score"].min() + 1e-9)]) if len(own) else not order
+
+
+def test_ratios_of_a_small_table_are_many_tasks(spark):
+    from difflib import SequenceMatcher
+
+    from pyspark.sql import functions as F
+
+    from plumbline.operators.matching import text_ratio
+    from plumbline.operators.review import feedback_boost
+
+    texts = [None, "", "weld line 4", "weld line 5", "weld", "abc" * 90, "cab" * 90, "x"]
+    rows = [(a, b) for a in texts for b in texts]
+    got = spark.createDataFrame(rows, "a string, b string").coalesce(1).select("a", "b", text_ratio("a", "b").alias("r")).collect()
+    assert {(r.a, r.b): r.r for r in got} == {(a, b): None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in rows}
+    asked = spark.range(400).coalesce(1).select(F.col("id").alias("event_id"), F.lit(1).alias("activity_id"), F.concat(F.lit("weld line "), "id").alias("text"))
+    said = spark.createDataFrame([(1, "weld line 7", True)], "activity_id int, text string, approved boolean")
+    tasks = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("boost", "")
+    assert feedback_boost(asked, said).where("boost > 0").count() == 400
+    stages = [tasks.getStageInfo(i) for j in tasks.getJobIdsForGroup("boost") for i in tasks.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(s.numTasks for s in stages if s) >= 4
