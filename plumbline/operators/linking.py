@@ -21,6 +21,7 @@ from plumbline.operators.review import feedback_boost
 from plumbline.operators.scan import scratch
 
 FIRST, LAST = 10, 3  # candidates that are weighed, and kept
+DEALT = 5_000  # texts whose terms a task holds, about
 
 # What a signal adds to the score, and the lead under which a vague report is asked back.
 BOOSTS = {"identifier": 0.20, "discipline": 0.15, "location": 0.10, "wbs": 0.05}
@@ -58,12 +59,17 @@ class TermIndex:
         return w.join(norm, "id").select("id", "token", (F.col("w") / F.col("norm")).alias("weight"))
 
     def asked(self, texts: DataFrame) -> DataFrame:
-        """(query, token, qw) of texts(query, text): terms that the index lacks count for nothing."""
+        """(query, token, qw) of texts(query, text): terms that the index lacks count for nothing.
+
+        Texts are dealt by query once; their terms stay where the text is and meet the stored frequencies there, which
+        Spark sends to all tasks as long as they are small."""
         n = self.ids.select("id").distinct().count()
-        tf = texts.select("query", F.explode(terms(F.col("text"))).alias("token")).groupBy("query", "token").agg(F.count("*").alias("tf"))
-        w = tf.join(self.document_frequencies(), "token").withColumn("w", F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1))
-        norm = w.groupBy("query").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return w.join(norm, "query").select("query", "token", (F.col("w") / F.col("norm")).alias("qw"))
+        idf = scratch(self.document_frequencies().select("token", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf")), "term-idf")
+        dealt = texts.repartition(max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() // DEALT)), "query")
+        known = dealt.select("query", F.explode(terms(F.col("text"))).alias("token")).join(idf, "token")
+        w = known.groupBy("query", "token").agg((F.count("*") * F.first("idf")).alias("w"))
+        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query")))
+        return w.select("query", "token", (F.col("w") / norm).alias("qw"))
 
     def add(self, texts: DataFrame) -> TermIndex:
         """The index with texts(id, text) added in a new version; an id that is there already is replaced.
@@ -115,7 +121,8 @@ def first_stage(events: DataFrame, index: TermIndex, activities: DataFrame, keep
 
     A report that shares terms with fewer has others of no weight after them, in the order of ids, as many as there are."""
     q = index.asked(events.select(F.col("event_id").alias("query"), F.col("event_text").alias("text")))
-    near = q.join(index.weights(), "token").groupBy(F.col("query").alias("event_id"), F.col("id").alias("activity_id")).agg(F.sum(F.col("qw") * F.col("weight")).alias("semantic"))
+    weights = scratch(index.weights(), "term-weights")
+    near = q.join(weights, "token").groupBy(F.col("query").alias("event_id"), F.col("id").alias("activity_id")).agg(F.sum(F.col("qw") * F.col("weight")).alias("semantic"))
     order = Window.partitionBy("event_id").orderBy(F.desc(rounded(F.col("semantic"), 8)), "activity_id")
     near = scratch(near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep), "first-stage")
     held = near.groupBy("event_id").agg(F.collect_set("activity_id").alias("held"))
@@ -161,11 +168,20 @@ def hybrid_match(events: DataFrame, activities: DataFrame, completed: DataFrame,
     wbs_id, planned_start, planned_finish, predecessors; completed: activity_id. A score is the term weight and all signals,
     1 at most; ties of eight digits go to the place in the first stage. A vague report without an identifier whose two best
     are closer than CLOSE gets a question and no activity. Without activities there are no rows.
+
+    Reports are stored once and their texts dealt once, for the first stage; behind it texts go along only where a question
+    or feedback needs them.
     """
+    events = scratch(events, "reports")
     if index is None:
         index = term_index(activities.select(F.col("activity_id").alias("id"), activity_text().alias("text")))
     near = first_stage(events, index, activities)
-    e = events.select("event_id", *[F.col(c).alias(f"e_{c}") for c in ("event_text", "discipline", "location", "event_date")], T.identifiers(F.col("event_text")).alias("e_identifiers"))
+    found = T.identifiers(F.col("event_text"))
+    vague = T.is_vague(F.col("event_text")) & (F.size(found) == 0)
+    e = events.select(
+        "event_id", *[F.col(c).alias(f"e_{c}") for c in ("discipline", "location", "event_date")], found.alias("e_identifiers"), vague.alias("e_vague"),
+        (F.when(vague, F.col("event_text")) if feedback is None else F.col("event_text")).alias("e_event_text"),
+    )
     a = activities.join(dependency_counts(activities, completed), "activity_id", "left")
     a = a.select("activity_id", *[F.col(c).alias(f"a_{c}") for c in ("activity_name", "discipline", "location", "wbs_id", "planned_start", "planned_finish", "listed", "done")])
     met = near.join(a, "activity_id").join(e, "event_id")
@@ -182,10 +198,9 @@ def hybrid_match(events: DataFrame, activities: DataFrame, completed: DataFrame,
     best = Window.partitionBy("event_id").orderBy(F.desc(rounded(F.col("score"), 8)), "place")
     top = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= LAST)
     row = F.struct("rank", "activity_id", F.col("a_activity_name").alias("name"), rounded(F.col("score"), 3).alias("score"), "evidence")
-    out = top.groupBy("event_id").agg(F.array_sort(F.collect_list(row)).alias("candidates"), F.max("score").alias("s"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"))
-    out = out.join(events.select("event_id", "event_text"), "event_id")
+    out = top.groupBy("event_id").agg(F.array_sort(F.collect_list(row)).alias("candidates"), F.max("score").alias("s"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"), F.first("e_vague").alias("vague"), F.first("e_event_text").alias("event_text"))
     text = F.col("event_text")
-    unclear = T.is_vague(text) & (F.size(T.identifiers(text)) == 0) & F.coalesce(F.col("s") - F.col("second") < CLOSE, F.lit(False))
+    unclear = F.col("vague") & F.coalesce(F.col("s") - F.col("second") < CLOSE, F.lit(False))
     names = F.transform("candidates", lambda c: c["name"])
     return out.select(
         "event_id", F.when(~unclear, F.get("candidates", F.lit(0))["activity_id"]).alias("activity_id"), rounded(F.col("s"), 3).alias("confidence"),

@@ -161,3 +161,12 @@ def test_public_events(spark):
     a = spark.createDataFrame([(5, "five"), (6, "six"), (6, "six")], "activity_id long, activity_name string")
     got = {r.event_id: (r.matched_activity_id, r.matched_activity_name, r.proposed_activity_id) for r in K.public_events(t, a).collect()}
     assert got == {1: (None, None, 5), 2: (6, "six", 5), 3: (5, "five", 5), 4: (6, "six", 5), 5: (None, None, None)}
+
+
+def test_terms_of_reports_are_not_shuffled(spark):
+    index = K.term_index(spark.createDataFrame([(1, "pump set aligned"), (2, "pump set tested")], "id long, text string"))
+    asked = index.asked(spark.createDataFrame([(k, f"pump set of unit {k}") for k in range(20)], "query long, text string"))
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert len(dealt) == 1 and "hashpartitioning(query" in dealt[0] and "token" not in dealt[0].split("REPARTITION")[0]
+    assert {r.query for r in asked.collect()} == set(range(20)) and {r.token for r in asked.collect()} == {"pump", "set", "pump set"}
