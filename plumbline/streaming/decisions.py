@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from plumbline.operators.scan import scratch
 
 DECISIONS = ("approve", "reject", "reassign")
+PARTS = 1024  # to which rows of one key are dealt when it is looked up
 
 
 class MergedTable:
@@ -83,16 +84,33 @@ class MergedTable:
             self._fs.rename(self._hadoop(f"{folder}/b={b}"), self._hadoop(f"{folder}/b{b}"))
 
 
+def looked_up(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """rows(seq, key, ...) with the columns of table(key, ...), one row of which has a key; null where there is none.
+
+    Rows without a key, and those of one that is named without end, are dealt to PARTS parts by seq; of the table only what
+    rows name is given to these parts, once for each that has such rows."""
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64("seq"), F.lit(PARTS)).cast("int"))
+    named = rows.where(F.col(key).isNotNull()).select(key, "__part").distinct()
+    return rows.join(named.join(table, key), [key, "__part"], "left").drop("__part")
+
+
+def _named(decisions: DataFrame, activities: DataFrame) -> DataFrame:
+    """decisions, decision in lower case and trimmed, with whether the activity that a reassignment names is there (__known)."""
+    d = decisions.withColumn("decision", F.lower(F.trim("decision"))).withColumn("__named", F.when(F.col("decision") == "reassign", F.col("activity_id")))
+    return looked_up(d, "__named", activities.select(F.col("activity_id").alias("__named")).distinct().withColumn("__known", F.lit(True)))
+
+
+def _matched(matches: DataFrame) -> DataFrame:
+    return matches.groupBy(F.col("event_id")).agg(F.first("matched_activity_id", ignorenulls=True).alias("__match"), F.lit(True).alias("__event"))
+
+
 def checked(decisions: DataFrame, matches: DataFrame, activities: DataFrame) -> DataFrame:
     """decisions(seq, event_id, decision, activity_id, ...) with the activity that counts (linked) and what is wrong (problem).
 
     approve takes the event's match, reassign the activity it names, reject none. Problems: unknown event, unknown
     decision, nothing to approve, reassign without activity, unknown activity; such decisions change nothing.
     """
-    m = matches.groupBy(F.col("event_id")).agg(F.first("matched_activity_id", ignorenulls=True).alias("__match"), F.lit(True).alias("__event"))
-    a = activities.select(F.col("activity_id").alias("__named")).distinct().withColumn("__known", F.lit(True))
-    what = F.lower(F.trim("decision"))
-    out = decisions.withColumn("decision", what).join(m, "event_id", "left").join(a, F.col("activity_id") == F.col("__named"), "left")
+    out = looked_up(_named(decisions, activities), "event_id", _matched(matches))
     problem = (
         F.when(F.col("__event").isNull(), "unknown event")
         .when(F.col("decision").isNull() | ~F.col("decision").isin(*DECISIONS), "unknown decision")
@@ -101,19 +119,30 @@ def checked(decisions: DataFrame, matches: DataFrame, activities: DataFrame) ->
         .when((F.col("decision") == "reassign") & F.col("__known").isNull(), "unknown activity")
     )
     linked = F.when(F.col("decision") == "approve", F.col("__match")).when(F.col("decision") == "reassign", F.col("activity_id"))
-    return out.withColumn("problem", problem).withColumn("linked", F.when(problem.isNull(), linked)).drop("__match", "__event", "__named", "__known")
+    return out.withColumn("problem", problem).withColumn("linked", F.when(problem.isNull(), linked)).select(*decisions.columns, "problem", "linked")
 
 
 def review_state(decisions: DataFrame, matches: DataFrame, activities: DataFrame) -> DataFrame:
     """Of each event that was decided on: link_state, linked activity, who decided last and how often, decisions refused.
 
-    The decision of largest seq counts among those without a problem; maxima and counts meet by event in partial sums, so
-    that an event decided on without end is not a hot one. An event with refused decisions alone keeps link_state null.
+    The decision of largest seq counts among those without a problem (see checked). The last of each kind and counts meet by
+    event in partial sums, and only then the event's match, so that an event decided on without end is not a hot one. An
+    event with refused decisions alone keeps link_state null.
     """
-    c = checked(decisions, matches, activities)
-    good = F.col("problem").isNull()
-    last = F.max_by(F.struct("decision", "linked", "reviewer"), F.when(good, F.col("seq")))
-    s = c.groupBy("event_id").agg(last.alias("l"), F.count_if(good).alias("decisions"), F.count_if(~good).alias("refused"))
+    c = _named(decisions.select("seq", "event_id", "decision", "activity_id", "reviewer"), activities)
+    fits = {k: F.coalesce(F.col("decision") == k, F.lit(False)) for k in DECISIONS}
+    fits["reassign"] = fits["reassign"] & F.col("__known").isNotNull()
+    last = [F.max_by(F.struct("seq", "reviewer", "activity_id"), F.when(f, F.col("seq"))).alias(k) for k, f in fits.items()]
+    s = c.groupBy("event_id").agg(*last, *[F.count_if(f).alias(f"n_{k}") for k, f in fits.items()], F.count("*").alias("n"))
+    s = s.join(_matched(matches), "event_id", "left")
+    there, match = F.col("__event").isNotNull(), F.col("__match")
+    take = {"approve": (there & match.isNotNull(), match), "reject": (there, F.lit(None)), "reassign": (there, F.col("reassign.activity_id"))}
+    kind = F.when(F.lit(False), match).otherwise(F.col("reassign.activity_id"))  # the type that both have in common
+    same = s.select(kind).schema[0].dataType
+    row = lambda k, x: F.struct(F.col(f"{k}.seq").alias("seq"), F.lit(k).alias("decision"), x.cast(same).alias("linked"), F.col(f"{k}.reviewer").alias("reviewer"))
+    l = F.array_max(F.array_compact(F.array(*[F.when(ok & F.col(k).isNotNull(), row(k, x)) for k, (ok, x) in take.items()])))  # noqa: E741
+    good = sum((F.when(ok, F.col(f"n_{k}")).otherwise(0) for k, (ok, _) in take.items()), F.lit(0).cast("long"))
+    s = s.select("event_id", l.alias("l"), good.alias("decisions"), (F.col("n") - good).alias("refused"))
     state = F.when(F.col("l.decision").isin("approve", "reassign"), "approved").when(F.col("l.decision") == "reject", "rejected")
     return s.select("event_id", state.alias("link_state"), F.col("l.linked").alias("linked_activity_id"), F.col("l.reviewer").alias("reviewer"), "decisions", "refused")
 

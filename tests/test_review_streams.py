@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.streaming import clarify, decisions
 
@@ -142,3 +143,22 @@ def test_live_heads(spark):
         decisions.live_heads(spark.createDataFrame([(1, 2), (2, 1)], "id long, next long"))
     assert decisions.live_heads(spark.createDataFrame([], "id long, next long")).count() == 0
 
+
+
+def test_decisions_without_activity_are_dealt_out(spark):
+    rows = [(i, i % 9, ("approve", "reject", "reassign", "reassign")[i % 4], (None, None, -1, i % 12)[i % 4], f"r{i % 5}") for i in range(4_000)]
+    d = spark.createDataFrame(rows, "seq long, event_id long, decision string, activity_id long, reviewer string")
+    a = spark.createDataFrame([(k,) for k in range(8)], "activity_id long")
+    m = spark.createDataFrame([(k, k if k % 2 else None) for k in range(8)], "event_id long, matched_activity_id long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for out in (decisions._named(d, a), decisions.checked(d, m, a)):
+            sizes = [r[0] for r in out.groupBy(F.spark_partition_id()).count().select("count").collect()]
+            assert sum(sizes) == 4_000 and max(sizes) < 1_300  # of four tasks
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    good = {e: [r for r in rows if r[1] == e and e < 8 and (r[2] == "reject" or (r[2] == "approve" and e % 2) or (r[2] == "reassign" and 0 <= r[3] < 8))] for e in range(9)}
+    got = {r.event_id: (r.reviewer, r.decisions, r.refused) for r in decisions.review_state(d, m, a).collect()}
+    assert got == {e: (max(g)[4] if g else None, len(g), sum(r[1] == e for r in rows) - len(g)) for e, g in good.items()}
