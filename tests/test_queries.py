@@ -58,3 +58,24 @@ def test_copies_of_one_set_of_words(spark):
     assert got == want
     groups = {(r.primary, r.duplicate) for r in duplicate_groups(duplicate_pairs(df, 0.6, ("discipline",))).collect()}
     assert groups == {(0, 1), (0, 2), (0, 4), (0, 5)}
+
+
+def test_candidates_are_not_shuffled(spark, monkeypatch):
+    import random
+
+    from plumbline.operators import matching
+
+    rnd = random.Random(3)
+    common = [f"c{k}" for k in range(60)]
+    texts = [" ".join(rnd.sample(common, rnd.randrange(8, 40)) + [f"r{rnd.randrange(40)}"]) for _ in range(300)]
+    texts += [" ".join(rnd.sample(t.split(), len(t.split()) - 1)) for t in texts[:80]]
+    df = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(texts)], "id long, text string, k int")
+    stored, keep = {}, matching.scratch
+    monkeypatch.setattr(matching, "scratch", lambda d, name: stored.setdefault(name, keep(d, name)) if name != "cells" else keep(d, name))
+    monkeypatch.setattr(matching, "BLOCK_WORDS", 500)  # several blocks a cell
+    got = {(r.a, r.b) for r in matching.duplicate_pairs(df, 0.6, ("k",)).collect()}
+    sets = [set(t.split()) for t in texts]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if i % 2 == j % 2 and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.6}
+    assert len(want) > 60 and got == want
+    distinct = {(min(i, j), max(i, j)) for i, j in want if sets[i] != sets[j]}
+    assert len(distinct) <= stored["met"].count() <= 1.2 * len(distinct) + 5  # what leaves the blocks is what is alike
