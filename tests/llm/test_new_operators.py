@@ -241,3 +241,12 @@ def test_registered_scores(spark):
     check_scores(rows, got)
     held = [r for r in got if r.held_out and r.n_tokens > 20]
     assert held and sum(r.bits_per_byte for r in held) / len(held) < 4 and all(r.score < 0 for r in got)
+
+
+def test_scores_broadcast_nothing(spark, monkeypatch):
+    """Tables that grow with the corpus meet by shuffles, however small their files are."""
+    plans, write = [], context_tree.stored
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(context_tree, "stored", lambda df, name: (seen(df), write(df, name))[1])
+    seen(context_tree.score(spark.createDataFrame(TEXTS, "doc_id long, text string")))
+    assert sum("SortMergeJoin" in p for p in plans) >= context_tree.DEPTH + 3 and not any("Broadcast" in p for p in plans)
