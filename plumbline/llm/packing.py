@@ -25,7 +25,9 @@ DIMS, BITS = 3, 10  # of the curve: 30-bit keys
 SAMPLE_DOCS, PER_RANGE = 4_000, 4  # documents whose keys place the range boundaries: about so many, or so many a range
 RANGE_BYTES = 4_000_000  # of text in a range, about
 MAX_RANGES = 100_000  # beyond 400 GB of text ranges grow; they are streamed, not held, so that this bounds the sample alone
-CACHE_WORDS = 500_000  # remembered words of a Python worker, at most: about 150 MB
+FIELD = 21  # bits of a count of signs; three fit a 64-bit number
+MARK = "\x01"  # between the words of a text that has none
+CACHE_WORDS = 1_000_000  # remembered words of a Python worker, at most: about 150 MB
 
 
 def hilbert_index(places: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -78,8 +80,9 @@ class Words:
     _of: dict[str, Words] = {}
 
     def __init__(self, path: str):
-        self.tok, self.at, self.parts = tokenizer(path), {}, {}
+        self.tok, self.at = tokenizer(path), {}
         self.kind = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.other = re.compile(r"[^\S \n]|" + MARK)
         self.uneven, self.cut = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
         # letters, then marks: two pre-tokens for certain, which the model can encode as they are
         self.plain = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ſ]+)([,.;:!?]*)").fullmatch
@@ -87,7 +90,8 @@ class Words:
         ids = np.arange(1 << 16, dtype=np.uint64)  # a hashed vector of signs for each id; ids beyond repeat
         with np.errstate(over="ignore"):
             bits = (ids + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
-        self.signs = 1.0 - 2.0 * ((bits[:, None] >> np.arange(DIMS, dtype=np.uint64)) & np.uint64(1)).astype(float)
+        plus = 1 - ((bits[:, None] >> np.arange(DIMS, dtype=np.uint64)) & np.uint64(1)).astype(np.int64)
+        self.plus = (plus << (FIELD * np.arange(DIMS))).sum(1)  # the positive signs of an id, one in each field of a number
 
     @classmethod
     def of(cls, path: str) -> Words:
@@ -108,15 +112,39 @@ class Words:
             out += [" " + p for p in rest]
         return out[1:]
 
+    def quick(self, text: str) -> bool:
+        """Whether a text's white space is single blanks and line breaks, all between words."""
+        return not (not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or self.other.search(text))
+
+    def sums(self, coded: list[bytes]) -> np.ndarray:
+        """The sum of the signs of each text's ids."""
+        n = np.array([len(c) // self.kind.itemsize for c in coded], np.int64)
+        totals = np.zeros((len(coded), DIMS))
+        some = np.flatnonzero(n)
+        if not len(some):
+            return totals
+        ids = np.frombuffer(b"".join(coded), self.kind)
+        if self.kind.itemsize > 2:
+            ids = ids & 0xFFFF
+        starts = np.cumsum(n[some]) - n[some]
+        if n.max() >> FIELD:  # more ids than a field counts
+            for k in range(DIMS):
+                totals[some, k] = 2 * np.add.reduceat((self.plus >> (FIELD * k) & 1)[ids], starts) - n[some]
+        else:
+            plus = np.add.reduceat(self.plus[ids], starts)
+            for k in range(DIMS):
+                totals[some, k] = 2 * (plus >> (FIELD * k) & ((1 << FIELD) - 1)) - n[some]
+        return totals
+
     def part(self, p: str) -> bytes:
         """The ids of one pre-token."""
-        have = self.parts.get(p)
+        have = self.at.get(p)
         if have is None:
             if p.isascii():
                 shown = "\u0120" + p[1:] if p[0] == " " else p
             else:
                 shown = p.encode().decode("latin-1").translate(self.shown)
-            have = self.parts[p] = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+            have = self.at[p] = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
         return have
 
     def encode(self, w: str) -> bytes:
@@ -129,23 +157,29 @@ class Words:
             return self.part(m[1]) + (self.part(m[2]) if m[2] else b"")
         return array(self.code, self.tok.encode(w, add_special_tokens=False).ids).tobytes()
 
+    def learn(self, words: set[str]) -> None:
+        """Remember the ids of words."""
+        at, tokenize, code = self.at, self.model.tokenize, self.code
+        for w in words:
+            if w[0] == " " and w.isascii() and w[1:].isalpha():  # one pre-token, and most words
+                at[w] = array(code, [t.id for t in tokenize("\u0120" + w[1:])]).tobytes()
+            else:
+                at[w] = self.encode(w)
+
     def documents(self, texts: list[str]) -> tuple[list[bytes], np.ndarray]:
         """The ids of each text as bytes, and the texts' keys."""
-        coded, totals = [], np.zeros((len(texts), DIMS))
-        for row, t in enumerate(texts):
-            ws = self.split(t)
+        coded = []
+        for t in texts:
+            ws = t.replace(" ", MARK + " ").replace("\n", f"{MARK}\n{MARK}").split(MARK) if self.quick(t) else self.split(t)
             try:
                 coded.append(b"".join(map(self.at.__getitem__, ws)))
             except KeyError:
                 new = {w for w in ws if w not in self.at}
                 if len(self.at) + len(new) > CACHE_WORDS:
-                    self.at, self.parts, new = {}, {}, set(ws)
-                for w in new:
-                    self.at[w] = self.encode(w)
+                    self.at, new = {}, set(ws)
+                self.learn(new)
                 coded.append(b"".join(map(self.at.__getitem__, ws)))
-            if ws:
-                totals[row] = self.signs[np.frombuffer(coded[-1], self.kind) & 0xFFFF].sum(0)
-        return coded, curve_keys(totals, np.array([len(c) // self.kind.itemsize for c in coded]))
+        return coded, curve_keys(self.sums(coded), np.array([len(c) // self.kind.itemsize for c in coded]))
 
 
 def _slices(batches, rows: int = 256):

@@ -421,3 +421,25 @@ def test_toxicity_chain_by_hand(spark, docs):
         assert r.toxic == (given[-1] >= chain.threshold)
     out = {r.doc_id: r.toxic for r in toxicity.judge(spark.createDataFrame(rows, SCHEMA), chain).collect()}
     assert out == {i: i % 3 == 0 for i in range(120)}
+
+
+def test_packing_remembers_words_once(paths, monkeypatch):
+    """Ids are the tokenizer's whatever stands between words, keys come from all signs, and memory is bounded."""
+    path = paths("byte_bpe_50k.json")
+    odd = ["", "\n", "\n\n", "a\n", "\na", " a", "a ", "a  b", "a \nb", "a\n b", "a\tb", "y a\t", "y a\t b c", "a\x01b c", "naïve été, ñ.  x", "a b c", "a  b", "a b\x0b", "a\x1c\x1db", "don't stop\nit's 12 34.5 %$", "a\r\nb c", "x" * 40]
+    plain = bpe.tokenizer(path)
+    want = [plain.encode(t, add_special_tokens=False).ids for t in odd]
+    for field in (packing.FIELD, 2):  # texts of more ids than a field counts are summed apart
+        monkeypatch.setattr(packing, "FIELD", field)
+        words = packing.Words(path)
+        for texts, ids in ((odd, want), (odd[::-1], want[::-1])):
+            coded, keys = words.documents(texts)
+            assert [list(memoryview(c).cast("H")) for c in coded] == ids
+            signs = [[[1 - 2 * (((i + 1) * 0x9E3779B97F4A7C15 % 2**64 >> 40) >> k & 1) for k in range(packing.DIMS)] for i in x] for x in ids]
+            totals = np.array([np.sum(s, axis=0) if s else [0.0] * packing.DIMS for s in signs], float)
+            assert keys.tolist() == packing.curve_keys(totals, np.array([len(x) for x in ids])).tolist()
+    monkeypatch.setattr(packing, "CACHE_WORDS", 100)
+    words, letters = packing.Words(path), "abcdefghij"
+    for i in range(500):
+        words.documents([f"and {letters[i // 100]}{letters[i // 10 % 10]}{letters[i % 10]}x, so"])
+        assert sum(len(v) for v in vars(words).values() if isinstance(v, dict) and v is not words.shown) <= 100 + 6
