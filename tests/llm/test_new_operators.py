@@ -250,3 +250,68 @@ def test_scores_broadcast_nothing(spark, monkeypatch):
     monkeypatch.setattr(context_tree, "stored", lambda df, name: (seen(df), write(df, name))[1])
     seen(context_tree.score(spark.createDataFrame(TEXTS, "doc_id long, text string")))
     assert sum("SortMergeJoin" in p for p in plans) >= context_tree.DEPTH + 3 and not any("Broadcast" in p for p in plans)
+
+
+def whole_tree(train, depth):
+    """log10 probability of byte streams (the first byte given) by context-tree weighting, in dictionaries."""
+    count, kids, known = defaultdict(lambda: [0, 0]), defaultdict(set), {}
+
+    def steps(data):
+        for i in range(1, len(data)):
+            past = data[max(0, i - depth) : i]
+            for k in range(8):
+                yield [(past[len(past) - d :] if d else b"", (data[i] | 256) >> (8 - k)) for d in range(len(past) + 1)], data[i] >> (7 - k) & 1
+
+    for data in train:
+        for path, bit in steps(data):
+            for at in path:
+                count[at][bit] += 1
+            for up, low in zip(path, path[1:], strict=False):
+                kids[up].add(low)
+
+    def weighed(at):
+        if at not in known:
+            a, b = count.get(at, (0, 0))
+            e = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+            if len(at[0]) == depth or at[0][:1] == b"\xfe":
+                known[at] = e, 1.0
+            else:
+                below = sum(weighed(k)[0] for k in kids.get(at, ()))
+                top = max(e, below)
+                known[at] = top + math.log(math.exp(e - top) + math.exp(below - top)) - math.log(2), 1 / (1 + math.exp(min(below - e, 700)))
+        return known[at]
+
+    def score(data):
+        lp = 0.0
+        for path, bit in steps(data):
+            p, rest = 0.0, 1.0
+            for at in path:
+                a, b = count.get(at, (0, 0))
+                share = weighed(at)[1]
+                p, rest = p + rest * share * (b + 0.5) / (a + b + 1), rest * (1 - share)
+            lp += math.log10(p if bit else 1 - p)
+        return lp
+
+    return score
+
+
+def test_text_scores_know_the_order_of_words(spark, monkeypatch):
+    """Equal to the plain tree over whole texts; texts of the same words in another order score apart."""
+    monkeypatch.setattr(context_tree, "BLOCK_GRAMS", 300)
+    monkeypatch.setattr(context_tree, "CHUNK_BYTES", 200)
+    rnd = random.Random(3)
+    rows = [(i, t) for i, t in TEXTS if len(t or "") < 1000] + [(100 + i, " ".join(rnd.choice(["the", "theme", "Thesis", "a", "an", "and", "naïve"]) for _ in range(rnd.randrange(30)))) for i in range(30)]
+    rows += [(200 + i, "salt and pepper") for i in range(20)] + [(300, "pepper and salt")]
+    got = context_tree.text_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    stream = lambda t: b"\xfe" + b" ".join(tokens(t))
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    score = whole_tree([stream(t) for i, t in rows if not held(i)], context_tree.DEPTH)
+    want = sorted([(held(i), len(stream(t)) - 1, score(stream(t)), -1 if i is None else i) for i, t in rows], key=lambda r: (r[3], r[1], r[2]))
+    got = sorted([(r.held_out, r.n_bytes, r.score, -1 if r.doc_id is None else r.doc_id, r.bits_per_byte) for r in got], key=lambda r: (r[3], r[1], r[2]))
+    assert len(got) == len(want)
+    for g, w in zip(got, want, strict=True):
+        assert g[:2] == w[:2] and g[3] == w[3] and g[2] == pytest.approx(w[2], rel=1e-7, abs=1e-7)
+        assert g[4] == pytest.approx(-w[2] / math.log10(2) / w[1], rel=1e-7)
+    by_id = {g[3]: g[2] for g in got}
+    assert by_id[300] < by_id[200] - 1
+    assert context_tree.text_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
