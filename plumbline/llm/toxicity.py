@@ -15,12 +15,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import text_or_empty
+from plumbline.llm.shared import discard, stored, text_or_empty
 
 LABEL_SAMPLE = 8_000  # labelled documents that the models are fitted on, at most about this many
 FOLDS = 3
 VOCABULARY = 20_000  # words that are features: the most frequent of the sample, by documents
-PARTITIONS = 4  # of the bounded sample: gradients then go to the driver without a shuffle
+PARTITIONS = 4  # of the bounded sample, while its texts are cut into words
 PENALTY = 0.001
 
 
@@ -39,17 +39,36 @@ class ToxicityChain:
         if self.vocabulary is None:
             priors = {f"p_{name}": F.lit(float(prior)) for name, _, prior in self.links}
             return docs.withColumns(priors | {"flagged": F.lit(False)})
-        out = self.vocabulary.transform(_worded(docs, text_col)).drop("__w")
+        out = _counted(_worded(docs, text_col), self.vocabulary)
         for k, (name, model, prior) in enumerate(self.links):
             out = _apply(out, model, k, prior).withColumnRenamed(f"__p{k}", f"p_{name}")
-            out = _chained(out, k, f"p_{name}")
-        extra = [f"__f{k}" for k in range(len(self.links) + 1)]
+            if k + 1 < len(self.links):
+                out = _chained(out, k, len(self.vocabulary.vocabulary) + k + 1, f"p_{name}")
+        extra = [f"__f{k}" for k in range(len(self.links))]
         return out.withColumn("flagged", F.col(f"p_{self.links[-1][0]}") >= self.threshold).drop(*extra)
 
 
-def _chained(df: DataFrame, k: int, p: str) -> DataFrame:
-    """The features of link k+1: those of link k and the probability of its category."""
-    return VectorAssembler(inputCols=[f"__f{k}", p], outputCol=f"__f{k + 1}").transform(df)
+def _sized(df: DataFrame, column: str, n: int) -> DataFrame:
+    """df with the length of the vectors in column as the only metadata, in place of an entry for each word, which every
+    plan on the driver would carry along."""
+    return df.withMetadata(column, {"ml_attr": {"num_attrs": n}})
+
+
+def _counted(worded: DataFrame, vocabulary: CountVectorizerModel) -> DataFrame:
+    """The features of the first link, in place of the words."""
+    return _sized(vocabulary.transform(worded).drop("__w"), "__f0", len(vocabulary.vocabulary))
+
+
+def _chained(df: DataFrame, k: int, n: int, p: str) -> DataFrame:
+    """The n features of link k+1: those of link k and the probability of its category."""
+    return _sized(VectorAssembler(inputCols=[f"__f{k}", p], outputCol=f"__f{k + 1}").transform(df), f"__f{k + 1}", n)
+
+
+def _sample(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The bounded sample as a table of its own, and that table cached. Each step of a fit is a job, which the driver
+    sends out with all that the rows come from; from one partition its gradient comes back without a shuffle."""
+    table = stored(df, "toxicity-sample")
+    return table, table.coalesce(1).cache()
 
 
 def _apply(df: DataFrame, model, k: int, prior: float) -> DataFrame:
@@ -91,7 +110,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
         return ToxicityChain(None, [(c, None, 0.0) for c in categories], threshold)
     least = 2 if rows.count() > 10 else 1
     vocabulary = CountVectorizer(inputCol="__w", outputCol="__f0", vocabSize=VOCABULARY, minDF=least, binary=True).fit(rows)
-    rows = vocabulary.transform(rows).drop("__w").cache()
+    table, rows = _sample(_counted(rows, vocabulary))
+    tables = [table]
     held.append(rows)
     for k, name in enumerate(categories):
         label = f"__l{k}"
@@ -101,14 +121,16 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
         for fold in range(FOLDS):
             own, _ = _fit(rows.where(F.col("__fold") != fold), k, label, penalty)
             parts.append(_apply(rows.where(F.col("__fold") == fold), own, k, prior))
-        rows = reduce(DataFrame.unionByName, parts).coalesce(PARTITIONS)
+        rows = reduce(DataFrame.unionByName, parts)
         if k + 1 < len(categories):
-            rows = _chained(rows, k, f"__p{k}").cache()
+            table, rows = _sample(_chained(rows, k, len(vocabulary.vocabulary) + k + 1, f"__p{k}").drop(f"__f{k}"))
+            tables.append(table)
             held.append(rows)
         elif model is not None:
             threshold = _best_f1([(r[0], r[1]) for r in rows.select(f"__p{k}", label).collect()])  # two numbers a sampled document
     for h in held:
         h.unpersist()
+    discard(*tables)
     return ToxicityChain(vocabulary, links, threshold)
 
 

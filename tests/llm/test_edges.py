@@ -397,6 +397,23 @@ def test_groups_of_near_copies_meet_in_stars(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows, 3, 90)
 
 
+def test_toxicity_fits_are_small_jobs(spark, monkeypatch):
+    """A fit is hundreds of jobs on the driver: each starts at the stored sample, in one partition, and no plan names the words."""
+    seen, fit = [], toxicity._fit
+
+    def noted(df, k, label, penalty):
+        seen.append((k, len(df.rdd.toDebugString().splitlines()), df.rdd.getNumPartitions(), len(str(df.schema[f"__f{k}"].metadata))))
+        return fit(df, k, label, penalty)
+
+    monkeypatch.setattr(toxicity, "_fit", noted)
+    rows = spark.createDataFrame([(i, f"{'vile' if i % 3 == 0 else 'kind'} {'poor' if i % 2 else 'good'} w{i % 40} w{i % 50}") for i in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(120)], "doc_id long, low_quality int, toxic int")
+    chain = toxicity.fit_chain(rows, labels, ["low_quality", "toxic"])
+    assert len(seen) == 8 and {n for _, _, n, _ in seen} == {1} and max(size for *_, size in seen) < 50
+    assert max(x[1] for x in seen if x[0] == 1) <= max(x[1] for x in seen if x[0] == 0)
+    assert {r.doc_id for r in toxicity.judge(rows, chain).collect() if r.toxic} == set(range(0, 120, 3))
+
+
 def test_toxicity_chain_by_hand(spark, docs):
     """Scores are those of the models' formulas over words, each link fed with the probabilities before it."""
     words = ["alpha", "beta", "gamma", "delta", "vile", "rotten"]
