@@ -47,3 +47,21 @@ def test_ratios_of_a_small_table_are_many_tasks(spark):
     stages = [tasks.getStageInfo(i) for j in tasks.getJobIdsForGroup("boost") for i in tasks.getJobInfo(j).stageIds]
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert max(s.numTasks for s in stages if s) >= 4
+
+
+def test_many_ratios_at_once_equal_those_of_pairs():
+    """Random, templated, empty, other than ASCII, and so long that common characters are left out; most take one pass."""
+    import random
+    from difflib import SequenceMatcher
+
+    from plumbline.operators.matching import matched_characters, text_ratio
+
+    rnd = random.Random(4)
+    word = lambda letters, most: "".join(rnd.choice(letters) for _ in range(rnd.randrange(most)))
+    pairs = [(word(x, m), word(y, m)) for x, y in (("ab", "abc"), ("abcdef", "fedcba"), ("añ語𝄞\0\1", "ñ語a\0\1")) for m in (4, 30, 250) for _ in range(150)]
+    pairs += [(f"erection of line {rnd.randrange(60)} at unit {k % 9}; {k % 40} of 40 joints", f"hydrotest of line {rnd.randrange(60)}, unit {k % 7}; {k % 90} spools") for k in range(2500)]
+    pairs += [("b" * 1200 + "a", "a" + "b" * 20), ("abc" * 80, "cab" * 90), (None, "a"), ("a", None)]
+    got = text_ratio.func(*[pd.Series(x, dtype=object) for x in zip(*pairs, strict=True)])
+    want = [np.nan if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+    assert np.array_equal(got.to_numpy(), want, equal_nan=True)
+    assert list(matched_characters(["abxcd", "a"], ["abcd", "b"])) == [4, 0]
