@@ -48,3 +48,18 @@ def test_replay(spark):
     got = replay_policy(spark.createDataFrame(mixed, "seq long, reward double, features array<double>").repartition(7), [0.4, 4.9])
     assert all(abs(a - b) < 1e-9 for a, b in zip(got, w, strict=True))
     assert replay_policy(spark.createDataFrame([], "seq long, reward double, features array<double>"), [0.4]) == [0.4]
+
+
+def test_pairs_meet_by_what_they_must_share(spark):
+    """Events of one discipline and status do not all meet each other: what is joined stays few, and each pair meets once."""
+    from pyspark.sql import functions as F
+
+    from plumbline.operators.review import meeting
+
+    n = 3000
+    rows = spark.range(n).selectExpr("id", "concat('set ', id div 12) text", "if(id % 3 = 0, null, concat('v-', id div 6)) asset", "'lift' activity_type", "cast(id div 4 as string) event_date", "'civil' discipline", "if(id % 5 = 0, null, 'done') status")
+    met = meeting(rows)
+    a, b = met.groupBy("key", "has", "other").count(), met.groupBy("key", F.col("has").alias("other"), F.col("other").alias("has")).agg(F.count("*").alias("m"))
+    assert a.join(b, ["key", "has", "other"]).agg(F.sum(F.col("count") * F.col("m"))).first()[0] < 10 * n
+    got = [(r.a, r.b) for r in weighted_duplicates(rows).collect()]
+    assert len(got) > 1000 and len(set(got)) == len(got) and weighted_duplicates(rows.limit(0)).count() == 0
