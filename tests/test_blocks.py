@@ -65,3 +65,51 @@ def test_many_ratios_at_once_equal_those_of_pairs():
     want = [np.nan if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in pairs]
     assert np.array_equal(got.to_numpy(), want, equal_nan=True)
     assert list(matched_characters(["abxcd", "a"], ["abcd", "b"])) == [4, 0]
+
+
+def _packed(sets, seed):
+    from plumbline.operators import matching as M
+
+    rng = np.random.default_rng(seed)
+    rank = rng.permutation(M.BUCKETS).astype(np.int32)
+    hashed = rng.integers(0, 2**32, 100_000).astype(np.uint32).view(np.int32)
+    rank[hashed[:2000].astype(np.int64) % M.BUCKETS] = np.arange(2000) % 2000  # the first words are the common ones
+    return pd.DataFrame({"set": range(len(sets)), "n": [len(x) for x in sets], "packed": M.packed_words(rank).func(pd.Series([hashed[np.sort(list(x))] for x in sets]))})
+
+
+def test_sets_of_words_are_sent_packed():
+    """Numbers come back in order, and common words take about a byte, where hashes took four."""
+    from plumbline.operators.matching import packed_words, unpacked_words
+
+    rng = np.random.default_rng(3)
+    sets = [set(rng.integers(0, 2000, 600)) for _ in range(2100)] + [{7}, {99_999}, set(range(50_000))]
+    table = _packed(sets, 1)
+    word, held = unpacked_words(table["packed"].to_numpy())
+    assert len(held) == len(sets) and (held <= table["n"]).all() and held.sum() > 0.98 * table["n"].sum() and (word >= 0).all()
+    cuts = np.cumsum(held)[:-1]
+    assert all((np.diff(x) > 0).all() for x in np.split(word, cuts)) and len({x.tobytes() for x in np.split(word, cuts)[:2100]}) == 2100
+    assert sum(map(len, table["packed"][:2100])) < 1.6 * table["n"][:2100].sum()
+    assert len(packed_words(np.arange(4, dtype=np.int32)).func(pd.Series([], dtype=object))) == 0
+
+
+def test_large_sets_meet_in_blocks_as_in_a_plain_loop(monkeypatch):
+    """Sets of thousands of words, too, in one block and in two, for several thresholds, with groups cut small; few are counted."""
+    from plumbline.operators import matching as M
+
+    rng = np.random.default_rng(5)
+    base = [set(rng.choice(4000, int(rng.integers(1200, 2300)), replace=False)) for _ in range(60)] + [set(rng.choice(300, int(rng.integers(1, 60)))) for _ in range(60)]
+    sets = base + [set(rng.choice(list(x), max(1, int(len(x) * share)), replace=False)) | set(rng.choice(9000, int(len(x) * 0.1))) for x in base for share in (0.55, 0.75, 0.95)]
+    table = _packed(sets, 2)
+    monkeypatch.setattr(M, "POSTINGS", 3000)
+    monkeypatch.setattr(M, "TOGETHER", 50)
+    for least in (0.5, 0.7, 1.0):
+        run = M.alike_in_blocks(least, M.BUCKETS << M.FINER)
+        alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least  # noqa: B023, E731
+        want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if min(map(len, (sets[a], sets[b]))) >= least * max(map(len, (sets[a], sets[b]))) and alike(a, b)}
+        got = [tuple(sorted(x)) for x in run(table.assign(side=0, own=True, own_cell=True)).itertuples(index=False)]
+        assert len(got) == len(set(got)) and want <= set(got) and len(got) <= 1.1 * len(want) + 3
+        half = table.assign(side=table["set"] % 2, own=False, own_cell=True)
+        got = [tuple(sorted(x)) for x in run(half).itertuples(index=False)]
+        across = {(a, b) for a, b in want if (a - b) % 2}
+        assert len(got) == len(set(got)) and across <= set(got) and len(got) <= 1.1 * len(across) + 3
+    assert run(table[:5].assign(side=0, own=False, own_cell=False)).empty
